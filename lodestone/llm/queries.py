@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import audio, url_filter
+from lodestone.llm import audio, mixing, secrets, url_filter
 from lodestone.llm.common import read
 
 URL_RULES = [
@@ -47,12 +47,58 @@ def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.store(read(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("copies", "group")
+
+
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3, 1, 2][((row_number() OVER (ORDER BY source IS NULL, source COLLATE "C")) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source),
+filled AS (
+  SELECT *, source_size * 2.0::DOUBLE AS most, source_size * 2.0::DOUBLE / weight AS full_at FROM per),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+             - coalesce(sum(most) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(weight) OVER ()
+             - coalesce(sum(weight) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM filled),
+goals AS (
+  SELECT source, source_size,
+         CASE WHEN level >= full_at THEN most
+              ELSE max(CASE WHEN level < full_at THEN level END) OVER () * weight END AS target
+  FROM levels),
+steps AS (
+  SELECT *, CASE WHEN source_size > 0 THEN round(target / source_size * 16777216)::BIGINT ELSE 0 END AS step,
+         ('0x' || substr(md5(coalesce('s' || source, 'none')), 1, 6))::BIGINT AS shift
+  FROM goals),
+ranked AS (
+  SELECT doc_id, source, size,
+         row_number() OVER (PARTITION BY source ORDER BY
+           length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)),
+           coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, 0), doc_id, size) AS rank
+  FROM sized)
+SELECT doc_id, size, source_size, target,
+       size * (((rank * step + shift) >> 24) - (((rank - 1) * step + shift) >> 24)) AS taken
+FROM ranked JOIN steps ON ranked.source IS NOT DISTINCT FROM steps.source
+"""
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secret_scan": op3_secret_scan,
         "op5_url_filter": op5_url_filter,
+        "op6_source_mix": op6_source_mix,
         "op8_telephony_audio": op8_telephony_audio,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op5_url_filter": OP5_SQL, "op6_source_mix": OP6_SQL}
