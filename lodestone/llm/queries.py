@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import audio, mixing, secrets, url_filter
+from lodestone.llm import audio, language_id, mixing, quality, secrets, url_filter
 from lodestone.llm.common import read
 
 URL_RULES = [
@@ -91,11 +92,27 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = language_id.fold(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.predict(docs, model).withColumn("held_out", held_out)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = language_id.fold(F.col("doc_id"), 5) == 0
+    model = quality.train(docs, labels.filter(~held_out))
+    return quality.predict(docs, model).withColumn("held_out", held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_secret_scan": op3_secret_scan,
         "op5_url_filter": op5_url_filter,
         "op6_source_mix": op6_source_mix,
+        "op7_language_id": op7_language_id,
+        "op9_quality": op9_quality,
         "op8_telephony_audio": op8_telephony_audio,
     }
 
