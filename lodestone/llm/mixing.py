@@ -37,7 +37,7 @@ from lodestone.llm.common import n_words, written
 UNIT = 24
 #: Rows that a hash bucket holds of any one source and size step, about, at most.
 BUCKET_ROWS = 65_536
-LEAST_BUCKET_BITS = 8
+LEAST_BUCKET_BITS = 6
 
 
 def _hash(text: Column, digits: int) -> Column:
