@@ -58,3 +58,41 @@ def slices(texts: pa.Array, most_bytes: int = 4 << 20, most_rows: int = 512) ->
         held += int(size)
     if len(sizes) > at:
         yield at, len(sizes) - at
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 1) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of rows with equal ``keys``; the rows come sorted by them.
+
+    A table has ``least_rows`` rows or more where the input has, and never more than one group beyond that."""
+    held: list[pa.RecordBatch] = []
+    rows, enough = 0, least_rows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < enough:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(rows, bool)
+        for k in keys:
+            same &= np.asarray(pc.equal(table[k], table[k][rows - 1]))
+        cut = rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+            table, rows, enough = table.slice(cut), rows - cut, least_rows
+        else:
+            enough = 2 * rows
+        held = table.to_batches()
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import audio, language_id, mixing, quality, secrets, url_filter
+from lodestone.llm import audio, language_id, mixing, quality, secrets, substrings, url_filter
 from lodestone.llm.common import read
 
 URL_RULES = [
@@ -88,6 +88,35 @@ FROM ranked JOIN steps ON ranked.source IS NOT DISTINCT FROM steps.source
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(read(spark, sf_dir, "documents"), keep_text=False)
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+starts AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM words),
+phrases AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS phrase FROM starts),
+firsts AS (SELECT phrase, min(doc_id) AS least FROM phrases GROUP BY phrase),
+known AS (
+  SELECT doc_id, i FROM phrases JOIN firsts USING (phrase) WHERE least < doc_id),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM known),
+gone AS (SELECT doc_id, list(i) AS off FROM covered GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, count(*)::BIGINT AS n_spans
+  FROM (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM covered) WHERE gap IS NULL OR gap > 1
+  GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, w, list_filter(w, lambda x, i: NOT list_contains(coalesce(off, []), i)) AS k
+  FROM words LEFT JOIN gone USING (doc_id))
+SELECT kept.doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed,
+       sha256(array_to_string(k, ' ')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM kept LEFT JOIN runs ON kept.doc_id = runs.doc_id
+"""
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -108,6 +137,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_secret_scan": op3_secret_scan,
         "op5_url_filter": op5_url_filter,
         "op6_source_mix": op6_source_mix,
@@ -118,4 +148,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op6_source_mix": OP6_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_source_mix": OP6_SQL}
