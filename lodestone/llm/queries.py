@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import audio, language_id, mixing, quality, secrets, substrings, url_filter
+from lodestone.llm import audio, language_id, mixing, near_duplicates, quality, secrets, substrings, url_filter
 from lodestone.llm.common import read
 
 URL_RULES = [
@@ -121,6 +121,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.classes(read(spark, sf_dir, "documents"), width=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = language_id.fold(F.col("doc_id"), 4) == 2
@@ -139,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_secret_scan": op3_secret_scan,
+        "op4_near_dedup": op4_near_dedup,
         "op5_url_filter": op5_url_filter,
         "op6_source_mix": op6_source_mix,
         "op7_language_id": op7_language_id,
