@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import audio, language_id, mixing, near_duplicates, quality, secrets, substrings, url_filter
+from lodestone.llm import audio, language_id, mixing, near_duplicates, neighbours, quality, secrets, substrings, url_filter
 from lodestone.llm.common import read
 
 URL_RULES = [
@@ -140,6 +140,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model).withColumn("held_out", held_out)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
@@ -149,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_source_mix": op6_source_mix,
         "op7_language_id": op7_language_id,
         "op9_quality": op9_quality,
+        "op10_neighbours": op10_neighbours,
         "op8_telephony_audio": op8_telephony_audio,
     }
 
