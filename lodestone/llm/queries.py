@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import audio, language_id, mixing, near_duplicates, neighbours, quality, secrets, substrings, url_filter
+from lodestone.llm import audio, language_id, mixing, near_duplicates, neighbours, quality, secrets, sentencepiece_fst, substrings, url_filter
 from lodestone.llm.common import read
 
 URL_RULES = [
@@ -88,6 +88,11 @@ FROM ranked JOIN steps ON ranked.source IS NOT DISTINCT FROM steps.source
 """
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_fst.encode(read(spark, sf_dir, "documents"))
+    return found.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup(read(spark, sf_dir, "documents"), keep_text=False)
     return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
@@ -146,6 +151,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_secret_scan": op3_secret_scan,
         "op4_near_dedup": op4_near_dedup,
