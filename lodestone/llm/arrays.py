@@ -17,6 +17,8 @@ def random_u64(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Bytes of words hashed at once.
+HASHED_BYTES = 1 << 18
 _BYTES = random_u64(256, 11)
 _POWERS = random_u64(4096, 12)
 
@@ -45,18 +47,24 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A hash of each word's bytes and their places."""
-        if not len(self.start):
-            return np.empty(0, np.uint64)
+        """A hash of each word's bytes and their places, computed for about ``HASHED_BYTES`` at a time."""
         size = self.end - self.start
-        longest = int(size.max())
-        powers = _POWERS if longest <= len(_POWERS) else np.resize(_POWERS, longest) + np.arange(longest, dtype=np.uint64) // np.uint64(len(_POWERS)) * np.uint64(2)
+        ends = np.cumsum(size)
+        out, a = np.empty(len(size), np.uint64), 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HASHED_BYTES)))
+            out[a:b] = self._hashed(self.start[a:b], size[a:b])
+            a = b
+        return out
+
+    def _hashed(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         # only the words' own bytes are gathered
         place = np.arange(int(size.sum()), dtype=np.int64)
         at = np.cumsum(size) - size
         place -= np.repeat(at, size)
-        values = _BYTES[self.data[np.repeat(self.start, size) + place]]
-        values *= powers[place]
+        values = _BYTES[self.data[np.repeat(start, size) + place]]
+        turn, place = np.divmod(place, len(_POWERS)) if int(size.max()) > len(_POWERS) else (None, place)
+        values *= _POWERS[place] if turn is None else _POWERS[place] + turn.astype(np.uint64) * np.uint64(2)
         return mixed(np.add.reduceat(values, at) + size.astype(np.uint64))
 
 

@@ -43,7 +43,7 @@ from lodestone.llm.common import group_starts, slices, whole_groups, written
 
 WIDTH = 13
 ANCHOR = 5
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 4096
 #: Words of the corpus for each bucket, about.
 BUCKET_WORDS = 2_000_000
@@ -71,6 +71,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     [pa.array([block], pa.int64()), pa.array([words], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
                     names=["block", "n_words", "payload"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, "block long, n_words long, payload binary")
 
