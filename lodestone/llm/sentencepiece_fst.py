@@ -39,7 +39,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes from which a unit is composed by itself.
 LONG = 96
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Distinct units whose ids a task remembers.
+REMEMBERED = 1 << 20
 _SPACE, _LINE = 0x20, 0x0A
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,25 +133,25 @@ class Transducer:
     def paths(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the units ``data[start:end]``, one after the other, and how many each has."""
         size = end - start
-        base = np.cumsum(size + 1) - (size + 1)  # states of a unit: one more than it has bytes
+        base = (np.cumsum(size + 1) - (size + 1)).astype(np.int32)  # states of a unit: one more than it has bytes
         n = int((size + 1).sum())
-        unit = np.repeat(np.arange(len(size)), size)
-        offset = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+        unit = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        offset = (np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         byte = data[start[unit] + offset]
         state = base[unit] + offset
         begins = (byte & 0xC0) != 0x80
-        length = np.select([byte < 0x80, byte < 0xE0, byte < 0xF0], [1, 2, 3], 4)
+        length = np.array([1] * 12 + [2] * 2 + [3, 4], np.int32)[byte >> 4]
         padded = np.zeros(n + 1, np.uint8)
         padded[state] = byte
         # arcs of the pieces: all walks down the trie at once
         source = state[begins]
-        stop = (base + size)[unit[begins]]
+        stop = (base + size.astype(np.int32))[unit[begins]]
         single = source + np.minimum(length[begins], stop - source)
         known = np.zeros(len(source), bool)
         arcs = []
-        alive, node, to = np.arange(len(source)), np.zeros(len(source), np.int64), source.copy()
+        alive, node, to = np.arange(len(source), dtype=np.int32), np.zeros(len(source), np.int32), source.copy()
         while len(alive):
-            node = self.trie[node, padded[to]]
+            node = self.trie[np.minimum(node, len(self.trie) - 1), padded[to]]
             go = node > 0
             alive, node, to = alive[go], node[go], to[go] + 1
             piece = self.final[node]
@@ -159,14 +161,14 @@ class Transducer:
             go = to < stop[alive]
             alive, node, to = alive[go], node[go], to[go]
         bare = ~known
-        arcs.append((source[bare], single[bare], np.full(int(bare.sum()), -2, np.int64)))
+        arcs.append((source[bare], single[bare], np.full(int(bare.sum()), -2, np.int32)))
         tail, head, piece = (np.concatenate(x) for x in zip(*arcs, strict=True))
         # the shortest path: states in the order of their place in the unit
-        place = tail - np.repeat(base, size + 1)[tail]
+        place = (tail - np.repeat(base, size + 1)[tail]).astype(np.uint16)  # units are short
         order = np.argsort(place, kind="stable")
         tail, head, piece = tail[order], head[order], piece[order]
         cuts = np.searchsorted(place[order], np.arange((int(place.max()) if len(place) else -1) + 2))
-        last, back = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        last, back = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             ok = self.fits(last[tail[a:b]], piece[a:b])
             h = head[a:b][ok]
@@ -197,7 +199,7 @@ class Transducer:
             width = next(w for w, most in ((1, 0x80), (2, 0xE0), (3, 0xF0), (4, 0x100)) if unit[at] < most)
             node, known = 0, False
             for to in range(at + 1, n + 1):
-                node = int(self.trie[node, unit[to - 1]])
+                node = int(self.trie[min(node, len(self.trie) - 1), unit[to - 1]])
                 if not node:
                     break
                 piece = int(self.final[node])
@@ -219,8 +221,8 @@ class Transducer:
             at = back[at]
         return out[::-1]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each text has."""
+    def encode(self, texts: list[str | None], memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each text has; ``memory``: units composed before."""
         parts = [b" " + t.replace(MARK, " ").encode("utf-8") if t else b"" for t in texts]
         data = np.frombuffer(b"".join(parts) or b"\0", np.uint8)
         begins = np.cumsum([0, *map(len, parts)])
@@ -233,10 +235,13 @@ class Transducer:
         cut[begins[:-1][np.diff(begins) > 0]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        _, first, which = np.unique(Words(data, start, end, np.array([0, len(start)])).hashes(), return_index=True, return_inverse=True)
-        ids, counts = self._units(data, start[first], end[first])
+        hashes = Words(data, start, end, np.array([0, len(start)])).hashes()
+        names, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        memory = memory if memory is not None else Memory()
+        new = np.flatnonzero(~memory.knows(names))
+        memory.add(names[new], *self._units(data, start[first[new]], end[first[new]]))
+        ids, offset, counts = memory.of(names)
         n = counts[which]
-        offset = np.cumsum(counts) - counts
         flat = ids[np.repeat(offset[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         total = np.concatenate(([0], np.cumsum(n)))
         return flat.astype(np.int32), np.diff(total[np.searchsorted(start, begins)])
@@ -284,6 +289,33 @@ class Transducer:
         return [flat[a + (flat[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
 
 
+class Memory:
+    """Ids of units by the units' hashes; it forgets all but the newest units beyond ``REMEMBERED``."""
+
+    def __init__(self):
+        self.names, self.at, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
+
+    def knows(self, names: np.ndarray) -> np.ndarray:
+        if len(self.names) > REMEMBERED:
+            self.__init__()
+        if not len(self.names):
+            return np.zeros(len(names), bool)
+        return self.names[np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)] == names
+
+    def add(self, names: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        at = np.concatenate((self.at, len(self.ids) + np.cumsum(counts) - counts))
+        self.names, self.counts = np.concatenate((self.names, names)), np.concatenate((self.counts, counts))
+        order = np.argsort(self.names, kind="stable")
+        self.names, self.at, self.counts = self.names[order], at[order], self.counts[order]
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+
+    def of(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where those of each name begin and how many they are."""
+        place = np.searchsorted(self.names, names)
+        return self.ids, self.at[place], self.counts[place]
+
+
 def compile_model(path: str = MODEL) -> Transducer:
     """From a model file: BPE, identity normalisation, byte fallback; another kind is an error."""
     import sentencepiece
@@ -302,8 +334,8 @@ def compile_model(path: str = MODEL) -> Transducer:
         raise ValueError("a piece holds a line feed; units end there")
     # equal scores are one rank: the leftmost merge goes first
     score = {names[k]: model.get_score(k) for k in usual}
-    order = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
-    rank_of = {p: order[s] for p, s in score.items()}
+    places = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
+    rank_of = {p: places[s] for p, s in score.items()}
     number = {names[k]: k for k in usual}
     rank, left, right = (np.full(n, -1, np.int32) for _ in range(3))
     merges, reached = {}, set()
@@ -333,16 +365,20 @@ def compile_model(path: str = MODEL) -> Transducer:
                 final.append(-1)
             node = rows[node][x]
         final[node] = k
-    trie = np.zeros((len(rows), 256), np.int32)
-    for node, row in enumerate(rows):
-        for x, to in row.items():
-            trie[node, x] = to
+    # inner nodes come first; all leaves share the last row, which is empty
+    inner = [k for k, row in enumerate(rows) if row]
+    order = {k: n for n, k in enumerate(inner + [k for k, row in enumerate(rows) if not row])}
+    final = [final[k] for k in order]
+    trie = np.zeros((len(inner) + 1, 256), np.int32)
+    for k in inner:
+        for x, to in rows[k].items():
+            trie[order[k], x] = order[to]
     longest = max(len(p) for p in number if set(p) == {MARK})
     runs = [[number[q] for q in _merged(MARK * k, rank_of)] for k in range(longest + 1)]
     pieces = [b"" if k in special else text(k) for k in range(n)]
     for value, k in enumerate(byte_ids):
         pieces[k] = bytes([value])
-    made = Transducer(pieces, rank, left, right, Pairs(merges), trie, np.array(final), byte_ids[0], number[MARK], runs)
+    made = Transducer(pieces, rank, left, right, Pairs(merges), trie, np.array(final, np.int32), byte_ids[0], number[MARK], runs)
     if model.encode("a  bé", out_type=int) != made.encode(["a  bé"])[0].tolist():
         raise ValueError("the model is not BPE with identity normalisation and a mark before the text")
     return made
@@ -369,11 +405,12 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     kind = kept.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory()
         for batch in batches:
             for at, n in slices(batch.column(1), SLICE_BYTES, 1 << 20):
                 part = batch.slice(at, n)
                 texts = part.column(1).to_pylist()
-                ids, counts = shared.value.encode(texts)
+                ids, counts = shared.value.encode(texts, memory)
                 gone = np.array([t is None for t in texts])
                 columns = [pa.array(counts, pa.int64(), mask=gone), _lists(ids, counts, gone)]
                 if decode:
