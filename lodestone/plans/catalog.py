@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import registry, relational
+from lodestone.plans import registry
 
-FLAGSHIP = "agg_pricing_summary"
+FLAGSHIP = "s0_triage_report"
+MODULES = ["findings", "relational"]
+for _name in MODULES:
+    importlib.import_module(f"lodestone.plans.{_name}")
 
 
 def queries() -> dict[str, registry.Query]:
@@ -19,6 +24,3 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.QUERIES[FLAGSHIP](spark, sf_dir)
-
-
-__all__ = ["flagship", "oracle_sql", "queries", "relational"]

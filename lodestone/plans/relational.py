@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query
 
 
 @query(
@@ -13,9 +12,9 @@ from lodestone.plans.registry import query, table
     """SELECT l_returnflag, l_linestatus, count(*) AS n_lines, sum(l_quantity) AS sum_qty
        FROM lineitem GROUP BY l_returnflag, l_linestatus""",
 )
-def agg_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg_pricing_summary(t):
     return (
-        table(spark, sf_dir, "lineitem")
+        t.lineitem
         .groupBy("l_returnflag", "l_linestatus")
         .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty"))
     )
