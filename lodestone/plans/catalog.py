@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.plans import registry
 
 FLAGSHIP = "s0_triage_report"
-MODULES = ["findings", "joins", "relational"]
+MODULES = ["findings", "graphs", "joins", "quality", "relational", "surface"]
 for _name in MODULES:
     importlib.import_module(f"lodestone.plans.{_name}")
 
