@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph as op
 from lodestone.plans.registry import query
 
-SEEDS = "select fn_id as origin, fn_id as node from functions_v where fn_id % 100 = 1"
+SEEDS = "select fn_id as origin, fn_id as node from functions_v where name = 'f1'"
 
 
-def _seeds(t, of: int = 100):
-    """Entry points: functions whose name says so; here a rule on their number."""
-    rows = t.functions_v.filter(F.col("fn_id") % of == 1)
+def _seeds(t):
+    """Entry points: functions whose name says so."""
+    rows = t.functions_v.filter("name = 'f1'")
     return rows.select(F.col("fn_id").alias("origin"), F.col("fn_id").alias("node"))
 
 
@@ -37,9 +37,9 @@ def gr02(t):
     return t.functions_v.select("fn_id", F.col("name").rlike("^f(1|2)$").alias("is_entry"), F.contains("qualified_name", F.lit(".m7.")).alias("is_sink"))
 
 
-@query("gr03_reachable", "with recursive r(origin, node) as (select fn_id, fn_id from functions_v where fn_id % 500 = 1 union select origin, dst from r join edges_v on src = node) select origin, node from r")
+@query("gr03_reachable", "with recursive r(origin, node) as (select fn_id, fn_id from functions_v where name = 'f1' union select origin, dst from r join edges_v on src = node) select origin, node from r")
 def gr03(t):
-    return op.reach(t.edges_v, _seeds(t, 500)).select("origin", "node")
+    return op.reach(t.edges_v, _seeds(t)).select("origin", "node")
 
 
 @query("gr05_distances", _walk(3) + "select origin, node, dist from walk")
@@ -62,10 +62,11 @@ def gr07(t):
     return op.reach(t.edges_v.filter(F.col("overlay").isin("call", "cfg")), _seeds(t), 4)
 
 
-@query("gr08_source_sink", _walk(3) + "select origin, node as sink, dist from walk where node % 97 = 0 order by dist, origin, sink limit 100")
+@query("gr08_source_sink", _walk(3) + "select origin, node as sink, dist from walk where node in (select fn_id from functions_v where name = 'f7') order by dist, origin, sink limit 100")
 def gr08(t):
     """The first hundred are the feature: the enumeration has a limit of paths."""
-    found = op.reach(t.edges_v, _seeds(t), 3).filter("node % 97 = 0")
+    sinks = t.functions_v.filter("name = 'f7'").select(F.col("fn_id").alias("node"))
+    found = op.reach(t.edges_v, _seeds(t), 3).join(sinks, "node", "left_semi")
     return found.orderBy("dist", "origin", "node").limit(100).select("origin", F.col("node").alias("sink"), "dist")
 
 
@@ -122,14 +123,14 @@ def _flow(depth: int) -> str:
     steps = ["w0 as (select origin, node, false as clean, 0 as dist from (" + SEEDS + "))"]
     for k in range(1, depth + 1):
         seen = " union all ".join(f"select (origin, node, clean) from w{i}" for i in range(k))
-        steps.append(f"w{k} as (select distinct origin, e.dst as node, (clean or e.dst % 5 = 0) as clean, {k} as dist from w{k - 1} w join edges_v e on e.src = w.node where (origin, e.dst, (clean or e.dst % 5 = 0)) not in ({seen}))")
+        steps.append(f"w{k} as (select distinct origin, e.dst as node, (clean or e.dst in (select fn_id from functions_v where name in ('f5', 'f10', 'f15'))) as clean, {k} as dist from w{k - 1} w join edges_v e on e.src = w.node where (origin, e.dst, (clean or e.dst in (select fn_id from functions_v where name in ('f5', 'f10', 'f15')))) not in ({seen}))")
     return "with " + ", ".join(steps) + ", walk as (" + " union all ".join(f"select * from w{k}" for k in range(depth + 1)) + ") "
 
 
 @query("tn02_flows", _flow(3) + "select origin, node, (arg_min(struct_pack(c := clean, d := dist), (clean, dist))).c as clean, (arg_min(struct_pack(c := clean, d := dist), (clean, dist))).d as dist from walk group by 1, 2")
 def tn02(t):
     """TN02, TN07, TN08, WN08: facts flow along edges; a sanitiser marks them; the best flow of each (origin, node) stays."""
-    blocked = t.functions_v.filter("fn_id % 5 = 0").select(F.col("fn_id").alias("node"))
+    blocked = t.functions_v.filter("name in ('f5', 'f10', 'f15')").select(F.col("fn_id").alias("node"))
     return op.propagate(t.edges_v, _seeds(t), blocked, 3)
 
 
