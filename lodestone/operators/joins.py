@@ -42,8 +42,7 @@ def containing(points: DataFrame, intervals: DataFrame, key: str, line: str, out
     """Each point with the columns ``out`` of the narrowest interval of its key that holds its line, null if none does.
 
     On equal widths the least ``out`` wins.  Intervals have ``line_start`` and ``line_end``; rows of points that are alike stay apart."""
-    rows = points.withColumn("_row", F.struct(*points.columns)).select(key, line, "_row").distinct()
-    rows = rows.withColumn("_bucket", F.floor(F.col(line) / BUCKET))
+    rows = points.select(key, line).distinct().withColumn("_bucket", F.floor(F.col(line) / BUCKET))
     spans = intervals.withColumn("_bucket", _buckets(F.col("line_start"), F.col("line_end"))).select(
         key, "_bucket", "line_start", "line_end", *out
     )
