@@ -188,7 +188,7 @@ def _measured(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(2)):
+            for at, n in slices(batch.column(2), 1 << 20):
                 part = batch.slice(at, n)
                 found, first = shingle_sets(part.column(2).to_pylist(), width)
                 size = np.diff(first)
@@ -202,6 +202,7 @@ def _measured(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
                     [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(signature, pa.binary())],
                     names=["id", "key", "n_shingles", "node", "signature"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, f"id {kind}, key string, n_shingles long, node binary, signature binary")
 

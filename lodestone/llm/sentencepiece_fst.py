@@ -39,9 +39,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes from which a unit is composed by itself.
 LONG = 96
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Distinct units whose ids a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 _SPACE, _LINE = 0x20, 0x0A
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -418,6 +418,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                     columns.append(pa.array([None if x else t for x, t in zip(gone.tolist(), back, strict=True)], pa.string()))
                 names = [id_col, "n_tokens", "ids", "decoded"][: 1 + len(columns)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
+            pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>" + ", decoded string" * decode)
 
