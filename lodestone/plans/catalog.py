@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.plans import registry
 
 FLAGSHIP = "s0_triage_report"
-MODULES = ["findings", "flows", "graphs", "joins", "lifecycle", "quality", "relational", "rules", "streams", "surface"]
+MODULES = ["findings", "flows", "graphs", "joins", "lifecycle", "more", "quality", "relational", "rules", "streams", "surface"]
 for _name in MODULES:
     importlib.import_module(f"lodestone.plans.{_name}")
 
