@@ -42,6 +42,18 @@ def occurrences(findings: DataFrame) -> DataFrame:
     return first_of(findings, ["rule_id", "file_path", "line_start", "line_end"], [blocking_first(), F.desc("confidence"), *ROW])
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], first: str, width: int, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Row numbers within each key, in ``order``, which begins with the number ``first``.
+
+    Rows are counted in ranges of ``width`` of ``first``, the counts are summed up, and a task only sorts one range: a hot key is spread."""
+    ranged = rows.withColumn("_range", F.floor(F.col(first) / width))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(starts, [*keys, "_range"]).withColumn(name, F.col("_own") + F.col("_start")).drop("_range", "_own", "_start")
+
+
 def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """The first ``n`` rows of each key, each with ``omitted``, the number of the key's other rows."""
     totals = rows.groupBy(*keys).agg((F.count(F.lit(1)) - n).alias("omitted"))

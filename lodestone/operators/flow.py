@@ -28,7 +28,7 @@ def reaching_definitions(edges: DataFrame, defs: DataFrame, key: str, rounds: in
 
     Gen and kill: a definition stops at the next definition of its variable.  ``edges``: ``src``, ``dst``; ``defs``: ``variable``, ``at``."""
     kills = defs.select(key, "variable", F.col("at").alias("node"), F.lit(True).alias("_kill"))
-    links = edges.select(key, F.col("src").alias("node"), "dst").distinct()
+    links = written(edges.select(key, F.col("src").alias("node"), "dst").distinct(), "links")
     front = defs.select(key, "variable", F.col("at").alias("def_at"), F.col("at").alias("node"))
     first, seen = True, None
     for _ in range(rounds):
@@ -49,9 +49,9 @@ def balanced_reach(edges: DataFrame, seeds: DataFrame, depth: int, context: int)
     ``edges``: ``src``, ``dst``, ``kind`` (``call`` pushes ``site``, ``return`` has to pop the same, others leave the stack), ``site``.  Stacks deeper than
     ``context`` are an error, not a silent cut.  A return with an empty stack goes on to any caller."""
     seen = written(seeds.select("origin", "node", F.array().cast("array<long>").alias("stack")), "balanced")
-    front = seen
+    links, front = written(edges.withColumnRenamed("src", "node"), "links"), seen
     for _ in range(depth):
-        moved = front.join(edges.withColumnRenamed("src", "node"), "node")
+        moved = front.join(links, "node")
         top = F.try_element_at("stack", F.lit(-1))
         fits = (F.col("kind") != "return") | top.isNull() | (top == F.col("site"))
         deep = F.assert_true(F.size("stack") < context, "the call stack is deeper than its bound")
@@ -70,7 +70,7 @@ def balanced_reach(edges: DataFrame, seeds: DataFrame, depth: int, context: int)
 
 def simple_paths(edges: DataFrame, seeds: DataFrame, cutoff: int) -> DataFrame:
     """All simple paths of at most ``cutoff`` edges from the seeds: ``origin``, ``node``, ``path``.  The number of paths may grow with the degree to the cutoff."""
-    links = edges.select("src", "dst").distinct()
+    links = written(edges.select("src", "dst").distinct(), "links")
     front = written(seeds.select("origin", "node", F.array("node").alias("path")), "paths")
     every = front
     for _ in range(cutoff):

@@ -15,7 +15,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
     """``origin``, ``node``, ``dist``: what each seed reaches in at most ``depth`` steps (None: all), itself at 0.
 
     ``edges``: ``src``, ``dst``; ``seeds``: ``origin``, ``node``."""
-    links = edges.select("src", "dst").distinct()
+    links = written(edges.select("src", "dst").distinct(), "links")
     seen = written(seeds.select("origin", "node").distinct().withColumn("dist", F.lit(0)), "reach")
     front, step = seen, 0
     while depth is None or step < depth:
@@ -50,7 +50,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, blocked: DataFrame, depth: int
     """Facts that flow along edges: ``origin``, ``node``, ``clean`` (whether every such flow has passed a blocked node), ``dist`` of the best flow.
 
     Unsanitised flows win over sanitised ones, then shorter ones.  ``blocked``: ``node``."""
-    links = edges.select("src", "dst").distinct()
+    links = written(edges.select("src", "dst").distinct(), "links")
     stop = blocked.select(F.col("node").alias("dst"), F.lit(True).alias("_stop")).distinct()
     best = written(seeds.select("origin", "node").distinct().select("origin", "node", F.lit(False).alias("clean"), F.lit(0).alias("dist")), "flow")
     front = best

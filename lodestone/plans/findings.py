@@ -119,9 +119,9 @@ def flt20(t):
 @query("flt21_review_split", f"select {ROW}, confidence < 0.7 as review, case when confidence < 0.7 then (row_number() over (partition by file_path, confidence < 0.7 order by {ROW}) - 1) // 25 end as batch from findings_v")
 def flt21(t):
     """FLT21, FLT22: what is under the threshold goes to review, in batches of 25 of one file."""
-    review = F.col("confidence") < 0.7
-    nth = F.row_number().over(Window.partitionBy("file_path", review).orderBy(*op.ROW))
-    return t.findings_v.select(*op.ROW, review.alias("review"), F.when(review, F.floor((nth - 1) / 25)).alias("batch"))
+    rows = t.findings_v.withColumn("review", F.col("confidence") < 0.7)
+    placed = op.numbered(rows, ["file_path", "review"], "scan_id", 4096, op.ROW, "nth")
+    return placed.select(*op.ROW, "review", F.when(F.col("review"), F.floor((F.col("nth") - 1) / 25)).alias("batch"))
 
 
 @query(
