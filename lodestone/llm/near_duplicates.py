@@ -296,7 +296,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, id_
     )
     names = [F.col(f"`{n}`") for n in docs.columns]
     rows = docs.select(F.struct(*names).alias("_row"), _row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
-    bare = F.coalesce(F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
+    bare = ~F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     first = rows.filter(~bare).join(least.withColumnRenamed("row_key", "_key"), "_key")
     # repeated rows: one of them
     once = first.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row")))).filter("_nth = 1")
