@@ -121,3 +121,36 @@ def wilson(hits: Column, n: Column) -> tuple[Column, Column]:
 def evidence_id(prefix: str, *parts: Column) -> Column:
     """The first 32 hex digits of the SHA-256 of the parts, joined by NUL."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 32))
+
+
+def annotation_name(annotation: Column) -> Column:
+    """``@Name`` of ``@a.b.Name(...)`` and of ``@get:Name``; empty where there is no annotation."""
+    name = F.substring_index(F.regexp_extract(annotation, r"^\s*@(?:\w+:)?([\w.$]+)", 1), ".", -1)
+    return F.when(name != "", F.concat(F.lit("@"), name)).otherwise("")
+
+
+def annotation_strings(annotation: Column) -> Column:
+    """The distinct string literals, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(annotation, F.lit(r"""["']([^"']+)["']"""), F.lit(1))))
+
+
+# The escapes of a JavaScript string, and the pieces that a string is made of.
+_ESCAPES = ("nrtbfv", "\n\r\t\b\f\v")
+_PIECE = r"\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\\r\n|\\[\r\n]|\\0(?![0-9])|\\[^ux0-9\r\n]|[^\\]+"
+
+
+def decode_escapes(text: Column) -> Column:
+    """A JavaScript string without its escapes; null where an escape is broken, octal, beyond Unicode or half of a surrogate pair."""
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+
+    def plain(piece: Column) -> Column:
+        code = F.regexp_extract(piece, r"^\\(?:u\{|u|x)([0-9a-fA-F]+)", 1)
+        number = F.conv(code, 16, 10).cast("int")
+        char = F.when((number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        named = F.translate(F.substring(piece, 2, 1), *_ESCAPES)
+        single = F.when(piece == "\\0", "\x00").when(piece.rlike(r"^\\[\r\n]"), "").otherwise(named)
+        return F.when(code != "", char).when(F.startswith(piece, F.lit("\\")), single).otherwise(piece)
+
+    decoded = F.transform(pieces, plain)
+    whole = F.length(F.array_join(pieces, "")) == F.length(text)
+    return F.when(whole & ~F.exists(decoded, lambda d: d.isNull()), F.array_join(decoded, ""))

@@ -40,3 +40,14 @@ def markdown_table(findings: DataFrame, rows: int = 50) -> str:
     clean = lambda x: str(x).replace("|", "\\|").replace("\n", " ")
     body = [f"| {clean(r['severity'])} | {clean(r['rule_id'])} | {clean(r['file_path'])}:{r['line_start']} | {clean(r['message'])} |" for r in first]
     return "\n".join(["| severity | rule | place | message |", "|---|---|---|---|", *body])
+
+
+def merged_identities(known: DataFrame | None, findings: DataFrame) -> DataFrame:
+    """Identities after ``findings`` (``scan_id``, ``rule_id``, ``file_path``, ``message``) came in: ``identity``, ``first_scan``, ``last_scan``, ``occurrences``.
+
+    A batch is summed up before it meets what is known, and sums can be summed in any order, so batches may come late."""
+    own = F.sha2(F.concat_ws("\x1f", "rule_id", "file_path", "message"), 256)
+    parts = findings.groupBy(own.alias("identity")).agg(F.min("scan_id").alias("first_scan"), F.max("scan_id").alias("last_scan"), F.count(F.lit(1)).alias("occurrences"))
+    if known is None:
+        return parts
+    return known.unionByName(parts).groupBy("identity").agg(F.min("first_scan").alias("first_scan"), F.max("last_scan").alias("last_scan"), F.sum("occurrences").alias("occurrences"))
