@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as fn
 from lodestone.operators.storage import Store, shared_dir
 from lodestone.plans.registry import query
-from lodestone.sources import endpoints, evidence, files, sinks
+from lodestone.sources import artifacts, endpoints, evidence, files, manifests, sinks
 
 
 @query("fn09_annotations", "select p_partkey, '@Name' || (p_partkey % 7) as name, array_to_string(list_sort([p_brand, p_type]), '|') as strings from part")
@@ -173,3 +174,34 @@ def snk09(t):
     """Reports come in as two batches: the second updates the identities of the first."""
     early = sinks.merged_identities(None, t.findings_v.filter("scan_id % 2 = 0"))
     return sinks.merged_identities(early, t.findings_v.filter("scan_id % 2 = 1"))
+
+
+@query(
+    "src14_contract",
+    """select p_partkey as file, 'GET' as method, '/a/{x}' as route, 'header:trace|path:x|query:q' || p_size as params, 'required' as security, p_partkey % 3 = 0 as twice from part
+    union all select p_partkey, 'POST', '/a/{x}', 'header:trace', 'none', false from part union all select p_partkey, 'GET', '/a/{y}', '', 'optional', true from part where p_partkey % 3 = 0""",
+)
+def src14(t):
+    """References to parameters are followed; one contract in three has a route twice."""
+    get = F.concat(F.lit('"get":{"parameters":[{"name":"x","in":"path"},{"name":"q'), "p_size", F.lit('","in":"query"}]},"post":{"security":[]},"parameters":[{"$ref":"#/components/parameters/A"},{"$ref":"http://h/x"}]'))
+    other = F.when(F.col("p_partkey") % 3 == 0, ',"/a/{y}":{"get":{"security":[{},{"k":[]}]}}').otherwise("")
+    shared = F.lit('},"components":{"parameters":{"A":{"$ref":"#/components/parameters/B"},"B":{"name":"trace","in":"header"}}}}')
+    body = F.concat(F.lit('{"openapi":"3.0.1","security":[{"k":[]}],"paths":{"/a/{x}":{'), get, F.lit("}"), other, shared)
+    return artifacts.contract(t.part.select(F.col("p_partkey").alias("path"), body.alias("body"))).withColumn("params", F.array_join("params", "|"))
+
+
+@query(
+    "src33_flow_models",
+    """with c as (select *, case when file_path like '%.java' then 'java' when file_path like '%.py' then 'python' end as language from calls_v)
+    select m as model_id, role, language, count(*) as calls from c join (values ('f1', 'a.source', 'source', 'java', null), ('f2', 'a.sink', 'sink', 'java', 0), ('f2', 'a.sink', 'sink', 'python', 0),
+      ('f3', 'a.clean', 'sanitizer', 'python', null)) v(callee, m, role, lang, parity) on c.callee = v.callee and c.language = v.lang where parity is null or k_line % 2 = parity group by 1, 2, 3""",
+)
+def src33(t):
+    """Calls beside the models of a pack, one of which asks for a receiver."""
+    pack = manifests.models(t.spark, json.dumps({"models": [
+        {"id": "a.source", "role": "source", "languages": ["java"], "callee": "f1", "source_type": "http_param"},
+        {"id": "a.sink", "role": "sink", "languages": ["java", "python"], "callee": "f2", "sink_type": "os_command", "receiver_types": ["even"]},
+        {"id": "a.clean", "role": "sanitizer", "languages": ["python"], "callee": "f3", "sanitizes": ["xss"]},
+    ]}))
+    calls = t.calls_v.select("callee", files.language(F.col("file_path")).alias("language"), F.when(F.col("k_line") % 2 == 0, "even").alias("receiver"))
+    return manifests.modelled(calls, pack).groupBy("model_id", "role", "language").agg(F.count(F.lit(1)).alias("calls"))

@@ -124,3 +124,41 @@ def case_labels(spark: SparkSession, path: str) -> DataFrame:
 def shaped(value: Column, pattern: str) -> Column:
     """The value where it has the shape, else null."""
     return F.when(value.rlike(pattern), value)
+
+
+_PARAMETER = "struct<name:string,`in`:string,`$ref`:string>"
+_CONTRACT = f"""struct<openapi:string,swagger:string,security:array<map<string,array<string>>>,paths:map<string,map<string,string>>,
+  parameters:map<string,{_PARAMETER}>,components:struct<parameters:map<string,{_PARAMETER}>>>"""
+#: How many references may lead to a parameter.
+MAX_REFS = 12
+
+
+def contract(files: DataFrame) -> DataFrame:
+    """Operations of Swagger 2.0 and OpenAPI 3 documents: ``file``, ``method``, ``route``, ``params`` (``in:name``, sorted), ``security``, ``twice``.
+
+    Parameters of the path item and of the operation, references inside the document followed (others give none).  ``security`` is ``undeclared``, ``none``,
+    ``optional`` or ``required``; ``twice`` tells that another operation has the method and the template, parameters' names aside."""
+    version = F.coalesce("j.openapi", "j.swagger")
+    spec = files.select(F.col("path").alias("file"), F.from_json("body", _CONTRACT).alias("j")).filter(version.rlike(r"^(2\.0|3\.[012]\.[0-9]+)$"))
+    empty = F.create_map().cast(f"map<string,{_PARAMETER}>")
+    keyed = lambda column, start: F.transform_keys(F.coalesce(column, empty), lambda k, _: F.concat(F.lit(start), k))
+    shared = F.map_concat(keyed("j.parameters", "#/parameters/"), keyed("j.components.parameters", "#/components/parameters/"))
+    items = spec.select("file", F.col("j.security").alias("common"), shared.alias("shared"), F.explode("j.paths").alias("route", "item")).filter(F.startswith("route", F.lit("/")))
+    ops = items.select("*", F.explode("item").alias("verb", "op")).filter(F.col("verb").isin(METHODS))
+    read = ops.withColumns({
+        "o": F.from_json("op", f"struct<parameters:array<{_PARAMETER}>,security:array<map<string,array<string>>>>"),
+        "p": F.from_json(F.try_element_at("item", F.lit("parameters")), f"array<{_PARAMETER}>"),
+    })
+    none = F.array().cast(f"array<{_PARAMETER}>")
+
+    def followed(p: Column) -> Column:
+        hops = F.sequence(F.lit(1), F.lit(MAX_REFS))
+        return F.aggregate(hops, p, lambda at, _: F.when(at["$ref"].isNotNull(), F.try_element_at(F.col("shared"), at["$ref"])).otherwise(at))
+
+    every = F.filter(F.transform(F.concat(F.coalesce("p", none), F.coalesce("o.parameters", none)), followed), lambda p: p["name"].isNotNull())
+    names = F.array_sort(F.array_distinct(F.transform(every, lambda p: F.concat_ws(":", p["in"], p["name"]))))
+    wanted = F.coalesce("o.security", "common")
+    state = F.when(wanted.isNull(), "undeclared").when(F.size(wanted) == 0, "none").when(F.exists(wanted, lambda s: F.size(s) == 0), "optional").otherwise("required")
+    rows = read.select("file", F.upper("verb").alias("method"), "route", names.alias("params"), state.alias("security"), fn.canonical_template(F.col("route")).alias("_t"))
+    same = rows.groupBy("file", "method", "_t").agg((F.count(F.lit(1)) > 1).alias("twice"))
+    return rows.join(same, ["file", "method", "_t"]).drop("_t")

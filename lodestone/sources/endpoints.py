@@ -97,7 +97,7 @@ def _matches(text: Column, framework: str, pattern: str, method: int | str, path
 def from_sources(files: DataFrame) -> DataFrame:
     """Registrations in ``files`` (``file_path``, ``language``, ``text``): ``file_path``, ``framework``, ``method``, ``path``, ``line``.
 
-    One pass over the texts, without a shuffle; a pattern is only tried on its languages.  Null texts and other languages give no rows."""
+    One scan without a shuffle; a pattern is only tried on its languages.  Null texts and other languages give no rows."""
     nothing = F.array().cast("array<struct<framework:string,method:string,path:string,line:int>>")
     found = []
     for framework, languages, pattern, method, path in ROUTES:

@@ -1,10 +1,12 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
 from lodestone.operators.storage import Store
-from lodestone.sources import endpoints, evidence, files
+from lodestone.sources import artifacts, endpoints, evidence, files, manifests
 
 
 def test_escapes_that_cannot_be_decoded_are_null(spark):
@@ -117,3 +119,27 @@ def test_store(spark, tmp_path):
     store.clear("hashes", "1")
     assert store.load("hashes", "1").count() == 0
     assert store.load("hashes", "02").count() == 1
+
+
+def test_workspaces_and_models_are_checked(spark):
+    good = {"version": 1, "repositories": [{"id": "a", "path": "x/../a"}, {"id": "b", "path": "/b", "depends_on": ["a"]}]}
+    assert [(r.id, r.path, r.depends_on) for r in manifests.workspace(spark, json.dumps(good), "/w").collect()] == [("a", "/w/a", []), ("b", "/b", ["a"])]
+    repo = {"id": "a", "path": "a"}
+    for bad in [
+        {"version": 2, "repositories": [repo]}, {"repositories": []}, {"repositories": [repo, repo]}, {"repositories": [{**repo, "depends_on": ["a"]}]},
+        {"repositories": [{**repo, "depends_on": ["z"]}]}, {"repositories": [{**repo, "more": 1}]}, {"repositories": [{"id": "-", "path": "a"}]}, {"repositories": [{"id": "a"}]}, [], {},
+    ]:
+        with pytest.raises(ValueError):
+            manifests.workspace(spark, json.dumps(bad), "/w")
+    model = {"id": "m", "role": "sink", "languages": ["java"], "callee": "f", "sink_type": "sql"}
+    assert manifests.models(spark, json.dumps({"models": [model]})).first().kind == "sql"
+    for bad in [[model, model], [{**model, "role": "source"}], [{**model, "role": "x"}], [{**model, "source_type": "y"}], [{"id": "m"}]]:
+        with pytest.raises(ValueError):
+            manifests.models(spark, json.dumps({"models": bad}))
+
+
+def test_contracts_that_are_none_give_no_rows(spark):
+    bodies = ["no", None, '{"openapi":"4.0.0","paths":{"/a":{"get":{}}}}', '{"swagger":"2.0"}', '{"swagger":"2.0","paths":{"x-a":{"get":{}},"/a":{"get":{},"x":{}}}}',
+              '{"swagger":"2.0","paths":{"/r":{"get":{"parameters":[{"$ref":"#/parameters/L"}]}}},"parameters":{"L":{"$ref":"#/parameters/L"}}}']
+    rows = artifacts.contract(spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "path string, body string")).select("file", "method", "route", "params", "security", "twice")
+    assert sorted(map(tuple, rows.collect())) == [("4", "GET", "/a", [], "undeclared", False), ("5", "GET", "/r", [], "undeclared", False)]
