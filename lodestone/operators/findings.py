@@ -42,6 +42,13 @@ def occurrences(findings: DataFrame) -> DataFrame:
     return first_of(findings, ["rule_id", "file_path", "line_start", "line_end"], [blocking_first(), F.desc("confidence"), *ROW])
 
 
+def _with_starts(ranged: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row beside its range's ``_start``; null keys are a key of their own."""
+    named = starts.select(*(F.col(k).alias(f"_of_{i}") for i, k in enumerate([*keys, "_range"])), "_start")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate([*keys, "_range"])]
+    return ranged.join(named, same).drop(*(f"_of_{i}" for i in range(len(same))))
+
+
 def numbered(rows: DataFrame, keys: Sequence[str], first: str, width: int, order: Sequence[Column | str], name: str) -> DataFrame:
     """Row numbers within each key, in ``order``, which begins with the number ``first``.
 
@@ -51,7 +58,21 @@ def numbered(rows: DataFrame, keys: Sequence[str], first: str, width: int, order
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return ranged.withColumn("_own", own).join(starts, [*keys, "_range"]).withColumn(name, F.col("_own") + F.col("_start")).drop("_range", "_own", "_start")
+    placed = _with_starts(ranged.withColumn("_own", own), starts, keys)
+    return placed.withColumn(name, F.col("_own") + F.col("_start")).drop("_range", "_own", "_start")
+
+
+def running_sum(rows: DataFrame, keys: Sequence[str], first: str, width: int, value: Column, name: str) -> DataFrame:
+    """The sum of ``value`` up to each row of its key by the number ``first``, rows of one number together; spread like ``numbered``.
+
+    Null until there is a value; a null key is a key of its own."""
+    ranged = rows.withColumns({"_range": F.floor(F.col(first) / width), "_value": value})
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_range", F.sum("_sum").over(before).alias("_start"))
+    own = F.sum("_value").over(Window.partitionBy(*keys, "_range").orderBy(first))
+    placed = _with_starts(ranged.withColumn("_own", own), starts, keys)
+    return placed.withColumn(name, F.coalesce(F.col("_own") + F.col("_start"), "_own", "_start")).drop("_range", "_value", "_own", "_start")
 
 
 def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import joins as op
+from lodestone.operators.findings import running_sum
 from lodestone.plans.registry import query
 
 CALL = ["k_order", "k_line", "k_part", "k_supp", "k_price"]
@@ -235,14 +236,15 @@ def wn12(t):
     """select conv_id, turn, round(sum(n_chars) over (partition by conv_id order by turn) / nullif(sum(n_chars) over (partition by conv_id), 0), 6) as done from turns_v""",
 )
 def wn13(t):
-    w = Window.partitionBy("conv_id")
-    return t.turns_v.select("conv_id", "turn", F.round(F.sum("n_chars").over(w.orderBy("turn")) / F.nullif(F.sum("n_chars").over(w), F.lit(0)), 6).alias("done"))
+    totals = t.turns_v.groupBy(F.col("conv_id").alias("_of")).agg(F.sum("n_chars").alias("_all"))
+    upto = running_sum(t.turns_v, ["conv_id"], "turn", 1024, F.col("n_chars"), "_upto")
+    rows = upto.join(totals, F.col("conv_id").eqNullSafe(F.col("_of")))
+    return rows.select("conv_id", "turn", F.round(F.col("_upto") / F.nullif(F.col("_all"), F.lit(0)), 6).alias("done"))
 
 
 @query("wn14_budget", "select doc_id, line from (select doc_id, line, sum(length(code) + 1) over (partition by doc_id order by line) as used from source_lines_v) where used <= 2000")
 def wn14(t):
-    used = F.sum(F.length("code") + 1).over(Window.partitionBy("doc_id").orderBy("line"))
-    return t.source_lines_v.withColumn("used", used).filter("used <= 2000").select("doc_id", "line")
+    return running_sum(t.source_lines_v, ["doc_id"], "line", 1024, F.length("code") + 1, "used").filter("used <= 2000").select("doc_id", "line")
 
 
 @query("wn15_retry_schedule", "select event_id, attempt, ts + to_seconds(5 * (power(2, attempt - 1))::bigint) as due from events, unnest([1, 2, 3]) a(attempt) where event_type = 'error'")

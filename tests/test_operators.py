@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
-from lodestone.operators import graph, joins, lifecycle, rules
+from lodestone.operators import findings, graph, joins, lifecycle, rules
 
 
 def test_nearest_and_containing_equal_brute_force(spark):
@@ -75,3 +75,17 @@ def test_claims(spark):
     jobs = spark.createDataFrame([(1, "queued", 1, 0, 0), (2, "queued", 9, 0, 0), (3, "running", 0, 2, 3), (4, "running", 0, 9, 1)], "job_id int, status string, due int, lease_until int, attempts int")
     out = lifecycle.claimable(jobs, F.lit(5)).collect()
     assert sorted((r.job_id, r.next_status, r.next_attempts) for r in out) == [(1, "running", 1), (3, "failed", 3)]
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [("a", i, i % 7 if i % 11 else None) for i in range(50)] + [("a", 20, 5), (None, 1, 2), (None, 40, 3), ("b", 3, None), ("b", 30, 4)]
+    frame = spark.createDataFrame(rows, "k string, n int, v int")
+    got = sorted(map(repr, (tuple(r) for r in findings.running_sum(frame, ["k"], "n", 8, F.col("v"), "s").collect())))
+    below = lambda k, n: [v for j, m, v in rows if j == k and m <= n and v is not None]
+    assert got == sorted(repr((k, n, v, sum(below(k, n)) if below(k, n) else None)) for k, n, v in rows)
+    assert findings.running_sum(frame.limit(0), ["k"], "n", 8, F.col("v"), "s").count() == 0
+
+
+def test_numbers_of_null_keys(spark):
+    frame = spark.createDataFrame([(None, 1), (None, 9), ("a", 2)], "k string, n int")
+    assert sorted(map(repr, (tuple(r) for r in findings.numbered(frame, ["k"], "n", 4, ["n"], "nth").collect()))) == ["('a', 2, 1)", "(None, 1, 1)", "(None, 9, 2)"]
