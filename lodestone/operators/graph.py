@@ -46,15 +46,34 @@ def shortest_parents(edges: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(step, ["origin", "node", "dist"], "left")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, blocked: DataFrame, depth: int) -> DataFrame:
+def nearest_origin(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node``, ``dist``, ``origin``: the nearest seed of each node that any seed reaches, the least one of equally near ones.
+
+    One row a node: all nodes of a level are found together, and the least origin of a node is the least of its predecessors' a level before."""
+    links = written(edges.select("src", "dst").distinct(), "links")
+    least = F.min("origin").alias("origin")
+    seen = written(seeds.groupBy("node").agg(least).select("node", F.lit(0).alias("dist"), "origin"), "nearest")
+    front, step = seen, 0
+    while True:
+        step += 1
+        new = front.join(links, front["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(least)
+        new = written(new.join(seen, "node", "left_anti").select("node", F.lit(step).alias("dist"), "origin"), "front")
+        if new.isEmpty():
+            return seen
+        seen, front = seen.union(new), new
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, blocked: DataFrame, depth: int | None = None) -> DataFrame:
     """Facts that flow along edges: ``origin``, ``node``, ``clean`` (whether every such flow has passed a blocked node), ``dist`` of the best flow.
 
+    At most ``depth`` steps; None: until nothing is new, which (origin, node, clean) bounds.  With a depth a node is clean by the flows of that length only.
     Unsanitised flows win over sanitised ones, then shorter ones.  ``blocked``: ``node``."""
     links = written(edges.select("src", "dst").distinct(), "links")
     stop = blocked.select(F.col("node").alias("dst"), F.lit(True).alias("_stop")).distinct()
     best = written(seeds.select("origin", "node").distinct().select("origin", "node", F.lit(False).alias("clean"), F.lit(0).alias("dist")), "flow")
-    front = best
-    for step in range(1, depth + 1):
+    front, step = best, 0
+    while depth is None or step < depth:
+        step += 1
         moved = front.join(links, front["node"] == links["src"]).join(stop, "dst", "left")
         moved = moved.select("origin", F.col("dst").alias("node"), (F.col("clean") | F.coalesce("_stop", F.lit(False))).alias("clean")).distinct()
         new = written(moved.withColumn("dist", F.lit(step)).join(best, ["origin", "node", "clean"], "left_anti"), "flow")

@@ -38,6 +38,19 @@ def test_reach_ends_on_cycles_and_flows_prefer_unsanitised(spark):
     assert flows[4] == (True, 1) and flows[5] == (False, 2)
 
 
+def test_far_nodes_are_reached_and_long_flows_stay_unsanitised(spark):
+    chain = [(k, k + 1) for k in range(1, 9)]
+    edges = spark.createDataFrame([*chain, (1, 20), (20, 9), (30, 8), (9, 1)], "src int, dst int")
+    seeds = spark.createDataFrame([(1, 1), (30, 30)], "origin int, node int")
+    near = {r.node: (r.dist, r.origin) for r in graph.nearest_origin(edges, seeds).collect()}
+    assert near == {1: (0, 1), 30: (0, 30), 20: (1, 1), 8: (1, 30), 9: (2, 1), **{k: (k - 1, 1) for k in range(2, 8)}}
+    every = {(r.origin, r.node): r.dist for r in graph.reach(edges, seeds).collect()}
+    assert near == {n: min((d, o) for (o, m), d in every.items() if m == n) for _, n in every}
+    # 9 is reached sanitised in two steps, unsanitised in eight
+    flows = {r.node: (r.clean, r.dist) for r in graph.propagate(edges, seeds.limit(1), spark.createDataFrame([(20,)], "node int")).collect()}
+    assert flows[9] == (False, 8) and flows[20] == (True, 1)
+
+
 def test_rule_blocks_and_sequences(spark):
     code = ["open", "body", "close", "open", "guard", "close", "open"]
     lines = spark.createDataFrame([(1, k + 1, c) for k, c in enumerate(code)], "doc_id int, line int, code string")
