@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.graph import nearest_origin
 from lodestone.operators.storage import written
 
 
@@ -23,15 +24,16 @@ def control_edges(statements: DataFrame, key: str, line: str, kind: Column) -> D
     return found.select(key, "e.*").filter("src is not null and dst is not null")
 
 
-def reaching_definitions(edges: DataFrame, defs: DataFrame, key: str, rounds: int) -> DataFrame:
-    """``key``, ``variable``, ``def_at``, ``node``: definitions that reach the entry of a node in at most ``rounds`` steps.
+def reaching_definitions(edges: DataFrame, defs: DataFrame, key: str, rounds: int | None = None) -> DataFrame:
+    """``key``, ``variable``, ``def_at``, ``node``: definitions that reach the entry of a node in at most ``rounds`` steps (None: all).
 
     Gen and kill: a definition stops at the next definition of its variable.  ``edges``: ``src``, ``dst``; ``defs``: ``variable``, ``at``."""
     kills = defs.select(key, "variable", F.col("at").alias("node"), F.lit(True).alias("_kill"))
     links = written(edges.select(key, F.col("src").alias("node"), "dst").distinct(), "links")
     front = defs.select(key, "variable", F.col("at").alias("def_at"), F.col("at").alias("node"))
-    first, seen = True, None
-    for _ in range(rounds):
+    first, seen, done = True, None, 0
+    while rounds is None or done < rounds:
+        done += 1
         # what leaves a node: its own definitions, and those that reach it and are not killed there
         leaving = front if first else front.join(kills, [key, "variable", "node"], "left").filter("_kill is null").drop("_kill")
         moved = leaving.join(links, [key, "node"]).select(key, "variable", "def_at", F.col("dst").alias("node")).distinct()
@@ -68,6 +70,51 @@ def balanced_reach(edges: DataFrame, seeds: DataFrame, depth: int, context: int)
     return seen.select("origin", "node").distinct()
 
 
+def context_balanced(edges: DataFrame, seeds: DataFrame, max_stack: int = 32, max_states: int = 100_000) -> DataFrame:
+    """What seeds reach on paths of any length that end with an empty stack: ``origin``, ``node``.
+
+    Edges as in ``balanced_reach``; a return needs its own call on top of the stack.  A call beyond ``max_stack``, or an origin of more than ``max_states``
+    states (node, stack), is an error."""
+    seen = written(seeds.select("origin", "node", F.array().cast("array<long>").alias("stack")).distinct(), "balanced")
+    links, front = written(edges.withColumnRenamed("src", "node"), "links"), seen
+    while True:
+        if not seen.groupBy("origin").count().filter(F.col("count") > max_states).isEmpty():
+            raise ValueError(f"more than {max_states} states of one origin")
+        fits = (F.col("kind") != "return") | F.coalesce(F.try_element_at("stack", F.lit(-1)) == F.col("site"), F.lit(False))
+        moved = front.join(links, "node").filter(fits & ((F.col("kind") == "call") & F.col("site").isNull()).eqNullSafe(False))
+        if not moved.filter((F.col("kind") == "call") & (F.size("stack") >= max_stack)).isEmpty():
+            raise ValueError(f"the call stack is deeper than {max_stack}")
+        stack = (
+            F.when(F.col("kind") == "call", F.concat("stack", F.array("site")))
+            .when(F.col("kind") == "return", F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0))))
+            .otherwise(F.col("stack"))
+        )
+        moved = moved.select("origin", F.col("dst").alias("node"), stack.alias("stack")).distinct()
+        new = written(moved.join(seen, ["origin", "node", "stack"], "left_anti"), "balanced")
+        if new.isEmpty():
+            return seen.filter(F.size("stack") == 0).select("origin", "node")
+        seen, front = seen.union(new), new
+
+
+def paths_between(edges: DataFrame, seeds: DataFrame, sinks: DataFrame, cutoff: int = 10) -> DataFrame:
+    """All simple paths of 1 to ``cutoff`` edges from a seed to a sink (``node``): ``origin``, ``node``, ``path``.
+
+    A path is only carried on where its end can still reach a sink in the steps that are left."""
+    links = written(edges.select("src", "dst").distinct(), "links")
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ends = sinks.select("node").distinct()
+    left = nearest_origin(back, ends.select(F.col("node").alias("origin"), "node")).select(F.col("node").alias("dst"), F.col("dist").alias("_left")).filter(F.col("_left") < cutoff)
+    links = written(links.join(left, "dst"), "links")
+    front, every = written(seeds.select("origin", "node", F.array("node").alias("path")).distinct(), "paths"), None
+    for step in range(1, cutoff + 1):
+        moved = front.join(links, front["node"] == links["src"]).filter((F.col("_left") <= cutoff - step) & ~F.array_contains("path", F.col("dst")))
+        front = written(moved.select("origin", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")), "paths")
+        every = front if every is None else every.union(front)
+        if front.isEmpty():
+            break
+    return every.join(ends, "node", "left_semi").select("origin", "node", "path")
+
+
 def simple_paths(edges: DataFrame, seeds: DataFrame, cutoff: int) -> DataFrame:
     """All simple paths of at most ``cutoff`` edges from the seeds: ``origin``, ``node``, ``path``.  The number of paths may grow with the degree to the cutoff."""
     links = written(edges.select("src", "dst").distinct(), "links")

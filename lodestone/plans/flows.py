@@ -34,7 +34,7 @@ def gr19(t):
 )
 def gr20(t):
     defs = t.turns_v.filter("n_chars > 100").select("conv_id", F.col("role").alias("variable"), F.col("turn").alias("at"))
-    return op.reaching_definitions(_edges(t), defs, "conv_id", 64)
+    return op.reaching_definitions(_edges(t), defs, "conv_id")
 
 
 @query(

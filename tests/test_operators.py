@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
-from lodestone.operators import findings, graph, joins, lifecycle, rules
+from lodestone.operators import findings, flow, graph, joins, lifecycle, rules
 
 
 def test_nearest_and_containing_equal_brute_force(spark):
@@ -51,6 +52,36 @@ def test_far_nodes_are_reached_and_long_flows_stay_unsanitised(spark):
     assert flows[9] == (False, 8) and flows[20] == (True, 1)
 
 
+def test_definitions_reach_beyond_64_steps(spark):
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(70)], "f int, src int, dst int")
+    found = flow.reaching_definitions(edges, spark.createDataFrame([(1, "x", 0)], "f int, variable string, at int"), "f")
+    assert sorted(r.node for r in found.collect()) == list(range(1, 71))
+
+
+def test_balanced_paths_end_with_an_empty_stack_and_bounds_raise(spark):
+    rows = [(1, 2, "call", 7), (2, 3, "call", 8), (3, 4, "return", 8), (4, 5, "return", 7), (4, 6, "return", 9), (1, 10, "return", 7), (5, 11, "flow", None)]
+    edges = spark.createDataFrame(rows, "src int, dst int, kind string, site long")
+    seeds = spark.createDataFrame([(1, 1)], "origin int, node int")
+    assert {r.node for r in flow.context_balanced(edges, seeds).collect()} == {1, 5, 11}
+    with pytest.raises(ValueError, match="deeper"):
+        flow.context_balanced(edges, seeds, 1)
+    with pytest.raises(ValueError, match="states"):
+        flow.context_balanced(edges, seeds, 32, 3)
+
+
+def test_simple_paths_to_sinks(spark):
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(20)} | {(k, k + 1) for k in range(20, 28)})
+    ends = {3, 8, 26}
+
+    def walk(path):
+        return ([path] if len(path) > 1 and path[-1] in ends else []) + [q for a, b in pairs if a == path[-1] and b not in path and len(path) <= 6 for q in walk((*path, b))]
+
+    seeds = spark.createDataFrame([(0, 0), (20, 20)], "origin int, node int")
+    found = flow.paths_between(spark.createDataFrame(pairs, "src int, dst int"), seeds, spark.createDataFrame([(n,) for n in ends], "node int"), 6)
+    assert sorted(tuple(r.path) for r in found.collect()) == sorted(walk((0,)) + walk((20,))) and (20, 21, 22, 23, 24, 25, 26) in walk((20,))
+
+
 def test_rule_blocks_and_sequences(spark):
     code = ["open", "body", "close", "open", "guard", "close", "open"]
     lines = spark.createDataFrame([(1, k + 1, c) for k, c in enumerate(code)], "doc_id int, line int, code string")
