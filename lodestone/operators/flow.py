@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph import nearest_origin
+from lodestone.operators.graph import nearest_origin, reach
 from lodestone.operators.storage import written
 
 
@@ -143,3 +143,32 @@ def dispatch(calls: DataFrame, methods: DataFrame, parents: DataFrame, depth: in
         if level < depth:
             open_ = here.filter("owner is null").join(parents.select(F.col("type").alias("at"), "parent"), "at").select("call_id", "name", F.col("parent").alias("at"))
     return found
+
+
+def dispatch_all(wanted: DataFrame, methods: DataFrame, parents: DataFrame) -> DataFrame:
+    """``type``, ``name``, ``owner``: the nearest type upwards that declares the name, however far; null where the nearest level has several.
+
+    Each (type, name) is looked up once.  ``methods``: ``type``, ``name``; ``parents``: ``type``, ``parent``, which may have cycles."""
+    declared = written(methods.select(F.col("type").alias("at"), "name", F.lit(True).alias("_here")).distinct(), "declared")
+    up = written(parents.select(F.col("type").alias("at"), "parent").distinct(), "parents")
+    seen = written(wanted.select("type", "name", F.col("type").alias("at")).distinct(), "dispatch")
+    front, found = seen, None
+    while True:
+        here = front.join(declared, ["at", "name"], "left")
+        done = here.filter("_here").groupBy("type", "name").agg(F.when(F.count_distinct("at") == 1, F.min("at")).alias("owner"))
+        done = written(done, "resolved")
+        found = done if found is None else found.union(done)
+        above = front.join(done, ["type", "name"], "left_anti").join(up, "at").select("type", "name", F.col("parent").alias("at")).distinct()
+        front = written(above.join(seen, ["type", "name", "at"], "left_anti"), "dispatch")
+        if front.isEmpty():
+            return found
+        seen = seen.union(front)
+
+
+def dispatch_targets(wanted: DataFrame, methods: DataFrame, parents: DataFrame) -> DataFrame:
+    """``type``, ``name``, ``owner``: the targets of a call over all subtypes of its declared type, itself among them (CHA)."""
+    asked = written(wanted.select("type", "name").distinct(), "wanted")
+    below = reach(parents.select(F.col("parent").alias("src"), F.col("type").alias("dst")), asked.select(F.col("type").alias("origin"), F.col("type").alias("node")))
+    of = written(asked.join(below.select(F.col("origin").alias("type"), F.col("node").alias("sub")), "type"), "subtypes")
+    owners = dispatch_all(of.select(F.col("sub").alias("type"), "name"), methods, parents).filter("owner is not null")
+    return of.join(owners.withColumnRenamed("type", "sub"), ["sub", "name"]).select("type", "name", "owner").distinct()

@@ -84,7 +84,7 @@ TYPES = "select p_partkey as type, p_partkey // 3 as parent from part where p_pa
     from c left join m m0 on m0.type = t0 and m0.name = 'f' || (k_part % 50 + k_line % 2) left join m m1 on k_part >= 3 and m1.type = t1 and m1.name = 'f' || (k_part % 50 + k_line % 2) left join m m2 on k_part // 3 >= 3 and m2.type = t2 and m2.name = 'f' || (k_part % 50 + k_line % 2)""",
 )
 def gr17(t):
-    """GR16, GR17, JN35: the nearest type upwards that declares the called name; part numbers stand for types, a third of one for its parent."""
+    """Three levels of GR17: the nearest type upwards that declares the called name; part numbers stand for types, a third of one for its parent."""
     key = ["k_order", "k_line", "k_part", "k_supp", "k_price"]
     name = F.concat(F.lit("f"), (F.col("k_part") % 50 + F.col("k_line") % 2).cast("string"))
     calls = t.calls_v.select(F.struct(*key).alias("call_id"), F.col("k_part").alias("type"), name.alias("name"))
@@ -95,6 +95,38 @@ def gr17(t):
     return rows.select("call_id.*", "owner")
 
 
+UP = "up(sub, anc, d) as (select p_partkey, p_partkey, 0 from part union all select sub, anc // 3, d + 1 from up where anc >= 3)"
+WANTED = "w as (select distinct k_part as type, 'f' || (k_part % 50 + k_line % 2) as name from calls_v)"
+
+
+def _hierarchy(t):
+    methods = t.functions_v.select(F.col("fn_id").alias("type"), "name").distinct()
+    parents = t.part.filter("p_partkey >= 3").select(F.col("p_partkey").alias("type"), F.floor(F.col("p_partkey") / 3).alias("parent"))
+    name = F.concat(F.lit("f"), (F.col("k_part") % 50 + F.col("k_line") % 2).cast("string"))
+    return t.calls_v.withColumns({"type": F.col("k_part"), "name": name}), methods, parents
+
+
+@query(
+    "gr17_all_dispatch",
+    f"""with recursive {UP}, {WANTED}, o as (select w.type, w.name, arg_min(anc, d) as owner from w join up on sub = w.type join functions_v f on f.fn_id = anc and f.name = w.name group by 1, 2)
+    select k_order, k_line, k_part, k_supp, k_price, owner from calls_v left join o on o.type = k_part and o.name = 'f' || (k_part % 50 + k_line % 2)""",
+)
+def gr17_all(t):
+    """The nearest declaring type at any height."""
+    calls, methods, parents = _hierarchy(t)
+    return calls.join(op.dispatch_all(calls, methods, parents), ["type", "name"], "left").select("k_order", "k_line", "k_part", "k_supp", "k_price", "owner")
+
+
+@query(
+    "gr17_cha_targets",
+    f"""with recursive {UP}, {WANTED}, o as (select b.anc as type, w.name, b.sub, arg_min(a.anc, a.d) as owner from w join up b on b.anc = w.type join up a on a.sub = b.sub join functions_v f on f.fn_id = a.anc and f.name = w.name group by 1, 2, 3)
+    select distinct type, name, owner from o""",
+)
+def gr17_cha(t):
+    """The targets of each called name over all subtypes of the declared type."""
+    return op.dispatch_targets(*_hierarchy(t))
+
+
 @query("gr15_scope_closure", """with recursive r(origin, node) as (select n_nationkey, n_nationkey from nation union select origin, n2.n_nationkey from r join nation n1 on n1.n_nationkey = node join nation n2 on n2.n_nationkey = (n1.n_nationkey * 3 + n1.n_regionkey) % 25)
     select origin, node from r""")
 def gr15(t):

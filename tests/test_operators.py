@@ -82,6 +82,16 @@ def test_simple_paths_to_sinks(spark):
     assert sorted(tuple(r.path) for r in found.collect()) == sorted(walk((0,)) + walk((20,))) and (20, 21, 22, 23, 24, 25, 26) in walk((20,))
 
 
+def test_dispatch_climbs_to_the_top_and_asks_every_subtype(spark):
+    parents = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (1, 5), (6, 1), (7, 8), (7, 9)], "type int, parent int")
+    methods = spark.createDataFrame([(1, "m"), (3, "m"), (8, "n"), (9, "n"), (8, "k")], "type int, name string")
+    wanted = spark.createDataFrame([(5, "m"), (2, "m"), (6, "m"), (7, "n"), (7, "k"), (5, "z")], "type int, name string")
+    assert {(r.type, r.name): r.owner for r in flow.dispatch_all(wanted, methods, parents).collect()} == {(5, "m"): 3, (2, "m"): 1, (6, "m"): 1, (7, "n"): None, (7, "k"): 8}
+    line = spark.createDataFrame([(k, k - 1) for k in range(2, 7)], "type int, parent int")
+    targets = flow.dispatch_targets(spark.createDataFrame([(2, "m"), (6, "m")], "type int, name string"), methods, line)
+    assert {tuple(r) for r in targets.collect()} == {(2, "m", 1), (2, "m", 3), (6, "m", 3)}
+
+
 def test_rule_blocks_and_sequences(spark):
     code = ["open", "body", "close", "open", "guard", "close", "open"]
     lines = spark.createDataFrame([(1, k + 1, c) for k, c in enumerate(code)], "doc_id int, line int, code string")
