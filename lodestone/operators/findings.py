@@ -62,6 +62,17 @@ def numbered(rows: DataFrame, keys: Sequence[str], first: str, width: int, order
     return placed.withColumn(name, F.col("_own") + F.col("_start")).drop("_range", "_own", "_start")
 
 
+def ordered(rows: DataFrame, ranks: Sequence[str], score: str, width: int, name: str) -> DataFrame:
+    """Numbers all rows by ``ranks``, then ``score`` downwards, then ``ROW``; one task orders a range of ``width`` scans of one (ranks, score) at most."""
+    cell = [*ranks, score]
+    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*ranks, F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(c).alias(f"_of_{c}") for c in cell), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = numbered(rows, cell, ROW[0], width, ROW, name)
+    placed = own.join(starts, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cell])
+    return placed.withColumn(name, F.col(name) + F.col("_before")).drop("_before", *(f"_of_{c}" for c in cell))
+
+
 def running_sum(rows: DataFrame, keys: Sequence[str], first: str, width: int, value: Column, name: str) -> DataFrame:
     """The sum of ``value`` up to each row of its key by the number ``first``, rows of one number together; spread like ``numbered``.
 

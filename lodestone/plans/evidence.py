@@ -104,13 +104,27 @@ def src30(t):
     select repository_id, doc_id, size, digest from s where upto <= 200000""",
 )
 def src35(t):
-    """Each source's files within its budget of bytes, by folder and number."""
+    """Each source's files within small budgets of bytes, by folder and number."""
     number = F.lpad(F.col("doc_id").cast("string"), 12, "0")
     rows = t.documents.select(F.col("source").alias("repository_id"), F.substring(number, 1, 9).alias("folder"), number.alias("path"), F.encode("text", "UTF-8").alias("content"))
     kept, _ = files.snapshot(rows, 4000, 200_000)
     return kept.select("repository_id", F.col("path").cast("long").alias("doc_id"), "size", "digest")
 
 
+@query(
+    "src35_full_snapshot",
+    """with d as (select coalesce(source, '') as repository_id, doc_id, strlen(text) as size, sha256(text) as digest from documents where text is not null),
+      s as (select *, sum(size) over (partition by repository_id order by doc_id rows unbounded preceding) as upto from d where size <= 524288)
+    select repository_id, doc_id, size, digest from s where upto <= 33554432""",
+)
+def src35_full(t):
+    """The budgets of the reference: 512 KiB a file, 32 MiB a repository."""
+    number = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    rows = t.documents.select(F.col("source").alias("repository_id"), F.substring(number, 1, 9).alias("folder"), number.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    kept, _ = files.snapshot(rows, 512 << 10, 32 << 20)
+    return kept.select("repository_id", F.col("path").cast("long").alias("doc_id"), "size", "digest")
+
+
 @query(
     "src37_sarif_problems",
     """select scan_id, case when bool_or(k_part % 9 = 0) then 'rule or message' when bool_or(k_part % 11 = 0) then 'source range' when bool_or(k_part % 13 = 0) then 'source path' end as problem from findings_v group by 1""",

@@ -255,12 +255,18 @@ def ag23(t):
 
 @query("so01_final_order", f"select {ROW}, row_number() over (order by {RANK}, confidence desc, {ROW}) as place from findings_v where confidence > 0.9 and disposition = 'blocking' qualify place <= 100")
 def so01(t):
-    """The first hundred are the feature: a global sort needs no single task, a global number of every row would."""
+    """The first hundred blocking ones of high confidence."""
     first = t.findings_v.filter("confidence > 0.9 and disposition = 'blocking'").orderBy(op.ordinal(F.col("severity"), op.SEVERITIES), F.desc("confidence"), *op.ROW).limit(100)
     place = F.row_number().over(Window.orderBy(op.ordinal(F.col("severity"), op.SEVERITIES), F.desc("confidence"), *op.ROW))
     return first.select(*op.ROW, place.alias("place"))
 
 
+@query("so01_all_order", f"select {ROW}, row_number() over (order by {RANK}, confidence desc, {ROW}) as place from findings_v")
+def so01_all(t):
+    """Every finding's place: rows are numbered by ranges of scans within a (severity, confidence), whose counts are summed up."""
+    return op.ordered(t.findings_v.withColumn("_rank", op.ordinal(F.col("severity"), op.SEVERITIES)), ["_rank"], "confidence", 1 << 16, "place").select(*op.ROW, "place")
+
+
 @query("so02_page", f"select {ROW}, (select count(*) from findings_v) as total from findings_v order by {ROW} limit 25 offset 50")
 def so02(t):
     return op.page(t.findings_v.select(*op.ROW), op.ROW, 3, 25)

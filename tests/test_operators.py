@@ -143,3 +143,11 @@ def test_running_sums_over_ranges(spark):
 def test_numbers_of_null_keys(spark):
     frame = spark.createDataFrame([(None, 1), (None, 9), ("a", 2)], "k string, n int")
     assert sorted(map(repr, (tuple(r) for r in findings.numbered(frame, ["k"], "n", 4, ["n"], "nth").collect()))) == ["('a', 2, 1)", "(None, 1, 1)", "(None, 9, 2)"]
+
+
+def test_every_row_has_a_place_in_the_final_order(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(3), rng.choice([0.1, 0.5, None]), rng.randrange(40), k, 0, 0, 0.0) for k in range(120)]
+    frame = spark.createDataFrame(rows, "r int, c double, scan_id long, k_line int, k_part int, k_supp int, k_price double")
+    order = sorted(rows, key=lambda x: (x[0], x[1] is None, -(x[1] or 0), x[2:]))
+    assert sorted((r.place, r.k_line) for r in findings.ordered(frame, ["r"], "c", 8, "place").collect()) == [(i + 1, x[3]) for i, x in enumerate(order)]
