@@ -174,7 +174,7 @@ def fit(bags_of: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE
 ) -> Model:
-    """Fits on ``sample`` labelled documents at most, the first by a hash of the id."""
+    """Fits on ``sample`` labelled documents at most, the first by a hash of the id; of rows that repeat an id the least text counts."""
     chosen = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
@@ -183,7 +183,9 @@ def train(
         .limit(sample)
     )
     # a bounded number of ids
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_label", "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    # one row an id, so no more than the sample comes to the driver
+    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label", "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,8 +201,8 @@ def train(
                 ).filter(pa.array(small))
 
     found = sorted(rows.mapInArrow(run, "bag binary, label int, id string").collect(), key=lambda r: (r["id"], bytes(r["bag"])))
-    bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, WIDTH) for r in found[:sample]]
-    return fit(bags, np.array([r["label"] for r in found[:sample]], float))
+    bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, WIDTH) for r in found]
+    return fit(bags, np.array([r["label"] for r in found], float))
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -118,6 +118,15 @@ def test_audio(docs, none):
     assert audio.store(none).count() == 0
 
 
+def test_quality_fits_on_a_repeated_id_once(spark, monkeypatch):
+    rows = [(1, "good words here")] * 40 + [(1, "a least text")] + [(k, f"text number {k}") for k in range(2, 7)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 7)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append((len(bags), y.sum())))
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample=6)
+    assert seen == [(6, 3.0)]
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0, "t"), (5, 0, 0, "t"), (6, 0, 0, "t"), (7, None, None, "t"), (None, 1, 0, "t")], LABELS)
     model = quality.train(docs, labels)
