@@ -3,18 +3,27 @@
 Vectors are projected onto ``PROJECTED`` Gaussian directions (2-stable, so a projected distance is a true distance times a
 chi variable).  A kd-tree over the projections, its upper levels fitted on a bounded sample, cuts space
 into cells; a cell of many vectors is dealt into blocks.  Every vector is in one block, and every block has a
-kd-tree of its own.  A query walks a block's vectors in the order of their projected distance and verifies
-them on the original vectors.  It stops when the chi-square test holds: a vector nearer than the k-th found so
-far would have had a projected distance below the present one with probability ``CONFIDENCE``.
+kd-tree of its own.  A query takes a block's vectors in the order of their projected distance and verifies
+them on the original vectors, a few first, then four times as many at each turn.  It stops when the chi-square test holds: a
+vector nearer than the k-th found so far would have had a projected distance below the present one with probability
+``CONFIDENCE``.
 
-Two rounds make that walk distributed.  A query searches a block of its own cell first; that bounds its k-th distance.
-With this bound the same test rules out whole cells by their boxes, and the query goes to the blocks of the
-rest.  The k best of all blocks are kept, ties to the smaller id.
+The walk over blocks is distributed in rounds.  A query goes to the block it lies in, then to the blocks next by the distance
+of their boxes, up to ``WIDEN`` times as many in a round as before; so the rounds number the logarithm of the blocks.  After each round its k-th
+distance so far is known, and with that bound the same test rules out whole blocks, leaves of a block's tree and vectors.  No
+number of candidates is a bound: only the test ends a walk.
+
+A block meets its queries in packs of ``PACK`` rows, and where there are more than ``LANE`` queries, in lanes with a copy of the block
+each, so neither a task's memory nor its work grows with the number of queries.  The projected distances of a pack are one matrix product.
+
+What is left is quadratic: on data whose distances are concentrated (the 1,000th neighbour hardly farther than the 10th) boxes of
+a few thousand vectors rule out little, and each query meets most blocks; the README has the figures.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, neither do rows with a null id and
-vectors that have another length than the most frequent one (on a tie the smaller).  Repeated rows are
-separate candidates; a query never finds rows of its own id.  With fewer than k candidates all are found.  An empty table
-gives an empty table.  Columns other than the id and the vector are not carried over.
+vectors that have another length than the most frequent one (on a tie the smaller).  Rows are told apart by a number of their own: a query
+never finds its own row, but every other row, those that share its id or its vector too; rows that share an id are
+separate queries with a list of ranks each, and separate candidates.  Ties go to the smaller id.  With fewer than k candidates all
+are found.  An empty table gives an empty table.  Columns other than the id and the vector are not carried over.
 """
 
 from __future__ import annotations
@@ -25,19 +34,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import group_starts, whole_groups, written
 
-PROJECTED = 8
-CONFIDENCE = 0.98
+PROJECTED = 24
+CONFIDENCE = 0.9
 #: Rows that fit the upper levels of the tree, the first by a hash of their id; more levels than this are never fitted.
 SAMPLE, MOST_LEVELS = 16_384, 10
-BLOCK_ROWS = 2048
-LEAF = 32
-#: Projected neighbours verified at a time.
-STEP = 64
+BLOCK_ROWS = 4096
+LEAF = 64
+#: Projected neighbours verified at a query's first turn in a block.
+STEP = 128
+#: How many times as many blocks as before a round adds.
+WIDEN = 16
+#: Queries that a block answers at a time, and those that one copy of a block answers.
+PACK, LANE = 1024, 65_536
 
 
 def chi_square(x: float, freedom: int) -> float:
@@ -98,7 +112,7 @@ def fit(sample: np.ndarray, levels: int, projected: int = PROJECTED, seed: int =
 class Block:
     """Vectors of one block under a kd-tree over their projections."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray):
+    def __init__(self, num: np.ndarray, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray):
         parts, leaves = [np.arange(len(ids))], []
         while parts:
             own = parts.pop()
@@ -109,46 +123,52 @@ class Block:
             halves = own[np.argpartition(projected[own, axis], len(own) // 2)]
             parts += [halves[: len(own) // 2], halves[len(own) // 2 :]]
         order = np.concatenate(leaves)
-        self.ids, self.vectors, self.projected = ids[order], vectors[order], projected[order]
-        self.start = np.cumsum([0, *map(len, leaves)])
-        self.low = np.minimum.reduceat(self.projected, self.start[:-1])
-        self.high = np.maximum.reduceat(self.projected, self.start[:-1])
-
-    def nearest(self, own: int, query: np.ndarray, at: np.ndarray, k: int, bound: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the ``k`` nearest found; ``bound``: a k-th distance that is known already."""
-        gap = np.maximum(np.maximum(self.low - at, at - self.high), 0)
-        near = np.sqrt((gap * gap).sum(axis=1))
-        walk = np.argsort(near, kind="stable")
-        slack = 1e-9 * (1 + float(np.abs(at).sum()))
-        ids, dist = np.empty(0, self.ids.dtype), np.empty(0)
-        pool, far = np.empty(0, np.int64), np.empty(0)
-        done = 0
+        self.num, self.ids, self.vectors, self.projected = num[order], ids[order], vectors[order], projected[order]
+        start = np.cumsum([0, *map(len, leaves)])[:-1]
+        self.leaf = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+        self.low, self.high = np.minimum.reduceat(self.projected, start), np.maximum.reduceat(self.projected, start)
+        self.length = (self.projected**2).sum(axis=1)
+
+    def answer(self, own: np.ndarray, queries: np.ndarray, at: np.ndarray, bounds: np.ndarray, k: int, ratio: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows, and their distances, of the ``k`` nearest found; ``bounds``: k-th distances that are known already."""
+        slack = 1e-6 * (1 + np.abs(at).sum(axis=1))
+        wanted = box_distance(at, self.low, self.high) <= (ratio * bounds + slack)[:, None]
+        rows = np.flatnonzero(wanted.any(axis=0)[self.leaf])
+        far = self.length[rows] - 2 * at @ self.projected[rows].T + (at**2).sum(axis=1)[:, None]
+        far = np.sqrt(np.maximum(far, 0))
+        far[self.num[rows] == own[:, None]] = np.inf  # its own row
+        return [self._walk(rows, f, q, k, b, ratio, s) for f, q, b, s in zip(far, queries, bounds.tolist(), slack.tolist(), strict=True)]
+
+    def _walk(self, rows: np.ndarray, far: np.ndarray, query: np.ndarray, k: int, bound: float, ratio: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        best, dist = np.empty(0, np.int64), np.empty(0)
+        left, step = np.flatnonzero(far < np.inf), STEP
         while True:
-            # leaves until enough projected neighbours are sure to be the next ones
-            reach = near[walk[done]] if done < len(walk) else np.inf
-            while done < len(walk) and (far <= reach).sum() < STEP and reach <= ratio * bound + slack:
-                taken = walk[done : done + 4]
-                rows = np.concatenate([np.arange(self.start[j], self.start[j + 1]) for j in taken])
-                rows = rows[self.ids[rows] != own]
-                away = self.projected[rows] - at
-                pool, far = np.append(pool, rows), np.append(far, np.sqrt((away * away).sum(axis=1)))
-                done += len(taken)
-                reach = near[walk[done]] if done < len(walk) else np.inf
-            sure = np.flatnonzero((far <= reach) & (far <= ratio * bound + slack))
-            sure = sure[np.argsort(far[sure], kind="stable")][:STEP]
-            if not len(sure):
-                if done >= len(walk) or reach > ratio * bound + slack:
-                    return ids, dist
-                continue
-            away = self.vectors[pool[sure]] - query
-            ids, dist = np.append(ids, self.ids[pool[sure]]), np.append(dist, np.sqrt((away * away).sum(axis=1)))
-            best = np.lexsort((ids, dist))[:k]
-            ids, dist = ids[best], dist[best]
-            if len(ids) == k:
+            left = left[far[left] <= ratio * bound + slack]
+            if not len(left):
+                return best, dist
+            if len(left) > step:
+                split = np.argpartition(far[left], step)
+                now, left, step = left[split[:step]], left[split[step:]], 4 * step
+            else:
+                now, left = left, left[:0]
+            away = self.vectors[rows[now]] - query
+            found = np.sqrt((away * away).sum(axis=1))
+            near = found <= bound
+            best, dist = np.append(best, rows[now[near]]), np.append(dist, found[near])
+            first = np.lexsort((self.ids[best], dist))[:k]
+            best, dist = best[first], dist[first]
+            if len(best) == k:
                 bound = min(bound, float(dist[-1]))
-            left = np.ones(len(pool), bool)
-            left[sure] = False
-            pool, far = pool[left], far[left]
+
+
+def box_distance(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Points x boxes: how far a point is from a box."""
+    out = np.zeros((len(at), len(low)))
+    for axis in range(at.shape[1]):
+        x = at[:, axis, None]
+        gap = np.maximum(np.maximum(low[:, axis] - x, x - high[:, axis]), 0)
+        out += gap * gap
+    return np.sqrt(out)
 
 
 def _usable(vector: Column) -> Column:
@@ -156,6 +176,14 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
+_FOUND = ["num", "query_id", "row", "id", "score"]
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
@@ -174,94 +202,114 @@ def search(
 
     ``is_query`` is a condition on the id, which is an integer."""
     spark = vectors.sparkSession
-    usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
+    item = vectors.schema[vec_col].dataType.elementType
+    item = "float" if item.simpleString() == "float" else "double"  # float components stay as short as they are
+    usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{item}>").alias("vector"))
     usable = usable.filter(F.col("id").isNotNull() & _usable(F.col("vector")))
     lengths = usable.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
     length, total = (lengths[0]["length"], lengths[0]["count"]) if lengths else (1, 0)
     usable = usable.filter(F.size("vector") == length)
     levels = min(MOST_LEVELS, max(0, math.ceil(math.log2(max(1, total) / block_rows))))
     # a bounded number of rows
-    sample = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
+    sample = usable.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).select("vector").collect()
     cells = fit(np.array([r["vector"] for r in sample], float).reshape(-1, length), levels)
     shared = spark.sparkContext.broadcast(cells)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num = TaskContext.get().partitionId() << 32
         for batch in batches:
             if batch.num_rows:
                 projected = shared.value.project(_matrix(batch.column(1)))
+                own = np.arange(num, num + batch.num_rows)
+                num += batch.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(shared.value.of(projected)), pa.array(projected.tolist(), pa.list_(pa.float64()))],
-                    names=["id", "vector", "cell", "projected"],
+                    [pa.array(own), *batch.columns, pa.array(shared.value.of(projected)), _lists(projected)], names=["num", "id", "vector", "cell", "projected"]
                 )
 
-    placed = written(spark, usable.mapInArrow(place, "id long, vector array<double>, cell long, projected array<double>"), "ann-placed")
+    placed = written(spark, usable.mapInArrow(place, f"num long, id long, vector array<{item}>, cell long, projected array<double>"), "ann-placed")
     # a row for each cell, 2^MOST_LEVELS at most
     sides = [f(F.col("projected")[i]).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in range(PROJECTED)]
-    boxes = sorted(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *sides).collect(), key=lambda r: r["cell"])
-    named = np.array([r["cell"] for r in boxes], np.int64)
-    parts = np.array([math.ceil(r["n"] / block_rows) for r in boxes], np.int64)
+    measures = [F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("id"))).alias("asked"), *sides]
+    boxes = sorted(placed.groupBy("cell").agg(*measures).collect(), key=lambda r: r["cell"])
     low, high = (np.array([[r[f"{n}{i}"] for i in range(PROJECTED)] for r in boxes]).reshape(-1, PROJECTED) for n in ("low", "high"))
+    parts = np.array([math.ceil(r["n"] / block_rows) for r in boxes], np.int64)
+    named = np.repeat(np.array([r["cell"] for r in boxes], np.int64) << 32, parts) + np.concatenate([np.arange(0), *map(np.arange, parts)])
     ratio = stop_ratio(confidence, PROJECTED)
     layout = spark.sparkContext.broadcast((named, parts, low, high))
 
-    of_cell = F.create_map(*(F.lit(int(x)) for pair in zip(named, parts, strict=True) for x in pair)) if boxes else F.create_map(F.lit(0), F.lit(1))
-    own_block = (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), of_cell[F.col("cell").cast("int")])).alias("block")
-    rows = placed.select(own_block, F.lit(0).alias("turn"), "id", "vector", "projected", F.lit(math.inf).alias("bound"))
-    asked = placed.filter(is_query(F.col("id")))
-    first_asked = asked.select(own_block, F.lit(1).alias("turn"), "id", "vector", "projected", F.lit(math.inf).alias("bound"))
+    in_cell = [1] * (1 << levels)
+    for r, n in zip(boxes, parts.tolist(), strict=True):
+        in_cell[r["cell"]] = n
+    part = F.pmod(F.xxhash64("num"), F.get(F.array(*map(F.lit, in_cell)), F.col("cell").cast("int")))
+    own_block = (F.col("cell") * (1 << 32) + part).alias("block")
+    n_asked = sum(r["asked"] for r in boxes)
+    lanes, packs = max(1, math.ceil(n_asked / LANE)), max(1, math.ceil(n_asked / PACK))
+    pack = F.pmod(F.xxhash64(F.col("num") + 1), F.lit(packs)) + 1
+    rows = placed.select(own_block, F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).cast("long").alias("turn"), "num", "id", "vector", F.lit(0.0).alias("bound"))
+    asked = placed.filter(is_query(F.col("id"))).select(own_block, "num", F.col("id").alias("query_id"), "vector")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, block = None, None
-        # a block's rows come first, and together; its queries follow, in any number
-        for table in whole_groups(batches, ["block", "turn"]):
+        # a block's rows come first, and together; its queries follow, a pack at a time
+        for table in whole_groups(batches, ["block", "lane", "turn"]):
             names, turns = table["block"].to_numpy(), table["turn"].to_numpy()
-            cuts = group_starts(names, turns).tolist()
+            cuts = group_starts(names, table["lane"].to_numpy(), turns).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
-                part = table.slice(a, b - a).combine_chunks()
-                ids, vectors, projected = part["id"].to_numpy(), _matrix(part["vector"].chunk(0)), _matrix(part["projected"].chunk(0))
+                group = table.slice(a, b - a).combine_chunks()
+                num, vectors = group["num"].to_numpy(), _matrix(group["vector"].chunk(0))
+                projected = shared.value.project(vectors)
                 if turns[a] == 0:
-                    name, block = names[a], Block(ids, vectors, projected)
+                    name, block = names[a], Block(num, group["id"].to_numpy(), vectors, projected)
                     continue
                 if name != names[a]:
-                    continue
-                out = []
-                for own, query, at, bound in zip(ids.tolist(), vectors, projected, part["bound"].to_numpy(), strict=True):
-                    found, dist = block.nearest(own, query, at, k, bound, ratio)
-                    out.append((np.full(len(found), own), found, dist))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"]
-                )
-
-    def answers(queries: DataFrame) -> DataFrame:
-        dealt = rows.union(queries).repartition("block").sortWithinPartitions("block", "turn")
-        return dealt.mapInArrow(answer, "query_id long, id long, score double")
-
-    first = written(spark, answers(first_asked), "ann-first")
-    bounds = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(F.lit(math.inf)).alias("bound"))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts, bottom, top = layout.value
-        blocks = np.repeat(names << 32, counts) + np.concatenate([np.arange(c) for c in counts]) if len(names) else names
-        bottom, top = np.repeat(bottom, counts, axis=0), np.repeat(top, counts, axis=0)
-        for batch in batches:
-            for k_, (own, at, bound) in enumerate(zip(batch.column(0).to_pylist(), _matrix(batch.column(3)), batch.column(4).to_pylist(), strict=True)):
-                gap = np.maximum(np.maximum(bottom - at, at - top), 0)
-                near = np.sqrt((gap * gap).sum(axis=1)) <= ratio * bound + 1e-9 * (1 + float(np.abs(at).sum()))
-                goes = blocks[near & (blocks != own)]
-                rest = batch.slice(k_, 1).take(pa.array(np.zeros(len(goes), np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(goes), pa.array(np.ones(len(goes), np.int32)), *rest.columns[1:]],
-                    names=["block", "turn", "id", "vector", "projected", "bound"],
-                )
-
-    bounded = asked.select(own_block, "id", "vector", "projected").join(bounds, F.col("id") == F.col("query_id"), "left")
-    to_route = bounded.select("block", "id", "vector", "projected", F.coalesce("bound", F.lit(math.inf)).alias("bound"))
-    onward = to_route.mapInArrow(route, "block long, turn int, id long, vector array<double>, projected array<double>, bound double")
-    best = Window.partitionBy("query_id").orderBy("score", "id")
-    return (
-        first.union(answers(onward))
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", F.col("id").alias(id_col), "score")
-    )
-
+                    raise ValueError("a block has no rows")
+                for x in range(0, len(num), PACK):
+                    y = slice(x, x + PACK)
+                    found = block.answer(num[y], vectors[y], projected[y], group["bound"].to_numpy()[y], k, ratio)
+                    counts = [len(r) for r, _ in found]
+                    at = np.concatenate([r for r, _ in found])
+                    columns = [np.repeat(num[y], counts), np.repeat(group["id"].to_numpy()[y], counts), block.num[at], block.ids[at]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([d for _, d in found]))], names=_FOUND)
+
+    def route(first: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Sends a query to those of its blocks, by their boxes' distance, that are in places ``first`` to ``end``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, counts, bottom, top = layout.value
+            for batch in batches:
+                for x in range(0, batch.num_rows, PACK):
+                    some = batch.slice(x, PACK)
+                    at = shared.value.project(_matrix(some.column(3)))
+                    near = np.repeat(box_distance(at, bottom, top), counts, axis=1)
+                    reach = ratio * some.column(4).to_numpy() + 1e-6 * (1 + np.abs(at).sum(axis=1))
+                    sort_by = np.where(names == some.column(0).to_numpy()[:, None], -1.0, near)  # its own block comes first
+                    chosen = np.argsort(sort_by, axis=1, kind="stable")[:, first:end]
+                    query, place = np.nonzero(np.take_along_axis(near, chosen, axis=1) <= reach[:, None])
+                    if len(query):
+                        goes = pa.array(names[chosen[query, place]])
+                        yield pa.RecordBatch.from_arrays([goes, *(c.take(pa.array(query)) for c in some.columns[1:])], names=["block", "num", "id", "vector", "bound"])
+
+        return run
+
+    def answers(queries: DataFrame, first: int, end: int) -> DataFrame:
+        sent = queries.mapInArrow(route(first, end), f"block long, num long, id long, vector array<{item}>, bound double")
+        lane = F.pmod(F.xxhash64(F.col("num") + 2), F.lit(lanes)).cast("int").alias("lane")
+        dealt = rows.union(sent.select("block", lane, pack.alias("turn"), "num", "id", "vector", "bound"))
+        dealt = dealt.repartition("block", "lane").sortWithinPartitions("block", "lane", "turn")
+        return dealt.mapInArrow(answer, "num long, query_id long, row long, id long, score double")
+
+    best = Window.partitionBy("num").orderBy("score", "id", "row")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    found, first, end = None, 0, 1
+    while found is None or first < len(named):
+        bound = F.lit(math.inf)
+        queries = asked
+        if found is not None:
+            known = found.groupBy("num").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("bound"))
+            queries, bound = asked.join(known, "num", "left"), F.coalesce("bound", F.lit(math.inf))
+        new = answers(queries.select("block", "num", "query_id", "vector", bound.alias("bound")), first, end)
+        found = ranked(new if found is None else new.union(found.drop("rank")))
+        first, end = end, end * WIDEN
+        if first < len(named):
+            found = written(spark, found, "ann-found")
+    return found.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -352,6 +352,25 @@ def test_neighbours_recall(spark, sf_dir):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("block_rows, lane", [(4096, 65_536), (16, 65_536), (16, 20)])
+def test_neighbours_of_rows_that_share_ids(spark, monkeypatch, block_rows, lane):
+    """A third of all rows has one id, some of them one vector too; every query row has a list of its own."""
+    monkeypatch.setattr(neighbours, "LANE", lane)
+    random = np.random.default_rng(3)
+    rows = [(int(k) if k % 3 else 30, [round(float(x), 3) for x in random.normal(size=6)]) for k in range(1, 240)]
+    rows += [(30, rows[2][1]), (30, rows[2][1]), (31, rows[2][1]), (40, rows[0][1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    out = neighbours.search(vectors, lambda i: i % 10 == 0, k=4, confidence=0.999999999, block_rows=block_rows).collect()
+    exact = np.array([v for _, v in rows], np.float32).astype(float)
+    expected = []
+    for own, (i, _) in enumerate(rows):
+        if i % 10 == 0:
+            dist = np.sqrt(((exact - exact[own]) ** 2).sum(axis=1))
+            near = sorted((dist[k], rows[k][0]) for k in range(len(rows)) if k != own)[:4]
+            expected += [(i, n + 1, j, round(d, 9)) for n, (d, j) in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in out) == sorted(expected)
+
+
 def test_stopping_test():
     ratio = neighbours.stop_ratio(0.95, 8)
     assert abs(ratio**2 - 15.507) < 0.01
