@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import audio, language_id, mixing, near_duplicates, neighbours, quality, secrets, sentencepiece_fst, substrings, url_filter
-from lodestone.llm.common import read
+from lodestone.llm.common import read, written
 
 URL_RULES = [
     ("net", "/", "block"),
@@ -45,7 +45,10 @@ FROM hosts
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.store(read(spark, sf_dir, "documents"), keep_media=False)
+    """Two media tables are written and read back: the mu-law files, then the PCM at 4,000 Hz (a rate that keeps the disk in bounds)."""
+    media = written(spark, audio.store(read(spark, sf_dir, "documents")), "audio-media")
+    found = written(spark, audio.measure(media, rate=4000), "audio-pcm")
+    return found.select(*found.columns[:-1], F.length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,17 +292,57 @@ def test_attention_gradients():
 # 8
 
 
-def test_audio_round_trip(spark, texts):
+def plain_features(payload):
+    """``feature`` of one payload, sample by sample."""
+
+    def said(samples):
+        return f"{len(samples)}:{sum(map(abs, samples)) // len(samples)}:{sum(a * b < 0 for a, b in zip(samples, samples[1:], strict=False))}"
+
+    blocks = [adpcm(payload[at : at + 64]) for at in range(0, len(payload), 64)]
+    every, turns = [x for b in blocks for x in b], sum((a < 0) != (b < 0) for x in blocks for a, b in zip(x, x[1:], strict=False))
+    return f"mulaw={said([mulaw(c) for c in payload])};alaw={said([alaw(c) for c in payload])};adpcm={len(every)}:{sum(map(abs, every)) // len(every)}:{turns}"
+
+
+def mulaw(code):
+    code = ~code & 255
+    size = ((2 * (code & 15) + 33) << (code >> 4 & 7)) - 33  # G.711's 14-bit value
+    return 4 * (-size if code & 128 else size)
+
+
+def alaw(code):
+    code ^= 85
+    segment, step = code >> 4 & 7, code & 15
+    size = 2 * step + 1 if segment == 0 else (2 * step + 33) << segment - 1  # G.711's 13-bit value
+    return 8 * (size if code & 128 else -size)
+
+
+def test_audio_equals_sample_by_sample(spark, texts):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    stored = audio.store(frame)
-    for r in stored.collect():
+    stored = audio.store(frame).persist()
+    media = {r.doc_id: r.media for r in stored.collect()}
+    for r in audio.measure(stored, rate=6000).collect():
         data = (texts[r.doc_id] or "").encode()
         payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
-        assert audio.wav_samples(r.media) == (7, payload)
+        file = media[r.doc_id]
+        assert audio.wav_samples(file) == (7, payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
-        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(r.media), hashlib.sha256(r.media).hexdigest())
-    pcm = audio.store_pcm(stored).first().pcm
-    assert audio.wav_samples(pcm)[0] == 1
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest())
+        if len(payload) < 4000:
+            assert r.feature == plain_features(payload)
+            tag, pcm = audio.wav_samples(r.pcm)
+            linear = [mulaw(c) for c in payload]
+            at = [divmod(4 * k, 3) for k in range(-(-len(linear) * 3 // 4))]
+            expected = [((3 - p) * linear[i] + p * linear[min(i + 1, len(linear) - 1)]) // 3 for i, p in at]
+            assert tag == 1 and np.frombuffer(pcm, "<i2").tolist() == expected
+
+
+def test_audio_query_reads_its_tables_back(spark, sf_dir, texts):
+    rows = {r.doc_id: r for r in queries.op8_telephony_audio(spark, sf_dir).collect()}
+    assert rows.keys() == texts.keys()
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in audio.measure(audio.store(frame), rate=4000).collect():
+        own = rows[r.doc_id]
+        assert (own.feature, own.pcm_bytes, own.pcm_sha256) == (r.feature, len(r.pcm), hashlib.sha256(r.pcm).hexdigest())
 
 
 def adpcm(block):

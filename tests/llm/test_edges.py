@@ -112,10 +112,13 @@ def test_language(docs, none):
 
 
 def test_audio(docs, none):
-    out = {r.doc_id: r for r in audio.store(docs).collect()}
-    assert out[2].n_bytes == out[3].n_bytes == 0 and out[2].payload_bytes == 64 and out[2].media == out[3].media
+    stored = audio.store(docs)
+    out = {r.doc_id: r for r in stored.collect()}
+    assert out[2].n_bytes == out[3].n_bytes == 0 and out[2].media == out[3].media
     assert out[5].n_bytes == len(LONG)
-    assert audio.store(none).count() == 0
+    found = audio.measure(stored).collect()
+    assert len(found) == 10 and {r.payload_bytes for r in found if r.doc_id in (2, 3)} == {64}
+    assert audio.measure(audio.store(none)).count() == 0
 
 
 def test_quality_fits_on_a_repeated_id_once(spark, monkeypatch):
