@@ -98,7 +98,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup(read(spark, sf_dir, "documents"), keep_text=False)
-    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans", "factors")
 
 
 OP2_SQL = r"""

@@ -1,28 +1,33 @@
 """Substring dedup: relative Lempel-Ziv parsing against the blocks of the corpus.
 
-The corpus is cut into reference blocks of whole documents, written once.  Every block is indexed by its phrases, runs
-of ``width`` words, and every document is factored greedily against all indexed blocks: from a word on, the longest
-run of words whose phrases all occur in documents with a smaller id is a factor; a word where no phrase begins is
-a literal.  A factor has ``width`` words at least, and as it is extended phrase by phrase, the phrases across a boundary
-between two reference texts are checked as well: a factor ends only where the next phrase is new.  Factors are the
-duplicate spans.
+The corpus is cut into reference blocks of whole documents, written once.  Every block is indexed by the places of its phrases, runs
+of ``width`` words, and every document is factored greedily against all indexed blocks: the factor that begins at a
+word is the longest one that a phrase which covers the word gives, and a word that no phrase covers is
+a literal.  A factor is (first word, length, block, place): its words are those of the block from that place on, so a document can be
+read back from its factors and literals (``decoded``).  The source of a phrase is its first place in the document with the least id, and
+a factor runs on as long as the next phrase lies at the next place of the same source.
+
+Factors are checked at their boundaries: where one ends, the phrases across the boundary, which begin in it and reach beyond it, are looked
+at as well, and the one that reaches farthest begins the next factor.  So no repeated run of ``width`` words is lost between two factors, and the
+factors together are the duplicate spans.
 
 The index is spread over the cluster in two rounds, so that no task sees more than a bucket of it:
 
 1. The anchor of a phrase is the least hash of its runs of ``ANCHOR`` words; equal phrases have equal anchors.  Each block
    sends the distinct anchors of its phrases, 4 bytes each, to buckets by hash; a bucket answers, a bit each, which
    occur in several documents.  Only phrases with such an anchor go on.  A false alarm costs a row in round 2.
-2. Each block sends the 64-bit hashes of those phrases, each with the least id it has in the block; a bucket answers, a bit
-   each, which have a smaller id in another block.  Blocks know the rest themselves.
+2. Each block sends the 64-bit hashes of those phrases, each with the least id it has in the block and its first place there; a
+   bucket answers which have a smaller id in another block, and names the block and the place.  Blocks know the rest themselves.
 
-A phrase, however frequent, is one entry for each block.  Buckets number in proportion to the corpus, so a bucket's
-size is steady; messages and answers are linear in the text.
+Words are compared by 64-bit hashes of phrases.  A phrase, however frequent, is one entry for each block.  Buckets number in proportion
+to the corpus, so a bucket's size is steady; the entries of messages and answers are linear in the text, and a message holds one
+entry at least, so the messages are, too.
 
 Defined results: a null or an empty text has no words, no spans and an empty kept text; texts of fewer than ``width`` words
 stay whole; very long texts are parsed whole (a block of their own); a null id counts as larger than every other,
 so such a row loses what occurs under any id; rows that share an id never count as each other's source, so
-repeated rows get equal results; an empty table gives an empty table; columns other than the id and the text
-are not carried over.
+repeated rows get equal results but for the factors' sources; of equal ids the source is in the least block; an empty table gives
+an empty table; columns other than the id and the text are not carried over.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +54,7 @@ BLOCK_ROWS = 4096
 #: Words of the corpus for each bucket, about.
 BUCKET_WORDS = 2_000_000
 LEAST_BUCKETS = 64
+FACTOR = ["start", "length", "block", "place"]
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -115,61 +122,103 @@ class Block:
             (int(bucket[a]), short[a:b], several[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)
         ]
 
-    def candidates(self, n_buckets: int, answers: dict[int, bytes]) -> np.ndarray:
+    def candidates(self, n_buckets: int, answers: dict[int, Answer]) -> np.ndarray:
         """Which phrases have an anchor that occurs in several documents."""
         marked = []
         for bucket, short, _ in self.anchor_messages(n_buckets):
             if bucket in answers:
-                hit = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=len(short)).astype(bool)
+                hit = np.unpackbits(np.frombuffer(answers[bucket].bits, np.uint8), count=len(short)).astype(bool)
                 marked.append(np.uint64(bucket) << np.uint64(32) | short[hit].astype(np.uint64))
         if not marked or not len(self.start):
             return np.empty(0, np.int64)
         bucket, short = _places(self.anchors, n_buckets)
         return np.flatnonzero(np.isin(bucket.astype(np.uint64) << np.uint64(32) | short, np.concatenate(marked)))
 
-    def phrase_messages(self, n_buckets: int, chosen: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(bucket, sorted hashes, the least id of each)."""
+    def phrase_messages(self, n_buckets: int, chosen: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, sorted hashes, the least id of each, its first place under that id)."""
         if not len(chosen):
             return []
-        hashes, ids = self.phrases[chosen], self.order[self.doc[chosen]]
+        hashes, ids, at = self.phrases[chosen], self.order[self.doc[chosen]], self.start[chosen]
         bucket = _places(hashes, n_buckets)[0]
-        every = np.lexsort((ids, hashes, bucket))
-        bucket, hashes, ids = bucket[every], hashes[every], ids[every]
-        starts = group_starts(hashes)
-        bucket, hashes, ids = bucket[starts], hashes[starts], ids[starts]
+        every = np.lexsort((at, ids, hashes, bucket))
+        every = every[group_starts(hashes[every])]
+        bucket, hashes, ids, at = bucket[every], hashes[every], ids[every], at[every]
         cuts = group_starts(bucket).tolist()
-        return [(int(bucket[a]), hashes[a:b], ids[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+        return [(int(bucket[a]), hashes[a:b], ids[a:b], at[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
 
-    def known(self, n_buckets: int, chosen: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
-        """For each word, whether a phrase that starts there occurs under a smaller id."""
-        out = np.zeros(len(self.words.start), bool)
+    def sources(self, name: int, n_buckets: int, chosen: np.ndarray, answers: dict[int, Answer]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the block and the place of the source of the phrase that starts there; -1: there is none under a smaller id."""
+        blocks, places = np.full(len(self.words.start), -1, np.int64), np.full(len(self.words.start), -1, np.int64)
         messages = self.phrase_messages(n_buckets, chosen)
         if not messages:
-            return out
-        hashes = np.concatenate([h for _, h, _ in messages])
-        least = np.concatenate([i for _, _, i in messages])
-        earlier = np.concatenate([
-            np.unpackbits(np.frombuffer(answers[b], np.uint8), count=len(h)).astype(bool) if b in answers else np.zeros(len(h), bool)
-            for b, h, _ in messages
-        ])
+            return blocks, places
+        hashes, least, at = (np.concatenate([m[k] for m in messages]) for k in (1, 2, 3))
+        block, place = np.full(len(hashes), -1, np.int64), at.copy()
+        first = 0
+        for bucket, own, _, _ in messages:
+            if bucket in answers:
+                hit, known, found = answers[bucket].read(len(own))
+                block[first + hit], place[first + hit] = known, found
+            first += len(own)
         every = np.argsort(hashes)
-        place = every[np.searchsorted(hashes, self.phrases[chosen], sorter=every)]
-        out[self.start[chosen]] = earlier[place] | (least[place] < self.order[self.doc[chosen]])
-        return out
-
+        entry = every[np.searchsorted(hashes, self.phrases[chosen], sorter=every)]
+        here = (block[entry] < 0) & (least[entry] < self.order[self.doc[chosen]])
+        earlier = here | (block[entry] >= 0)
+        words = self.start[chosen][earlier]
+        blocks[words] = np.where(here, name, block[entry])[earlier]
+        places[words] = place[entry][earlier]
+        return blocks, places
+
+
+@dataclass
+class Answer:
+    """Which hashes of a message have a source elsewhere, and where: ``bits``, the blocks' names, which of them each has, its place."""
+
+    bits: bytes
+    blocks: bytes
+    which: bytes
+    places: bytes
+
+    def read(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hit = np.flatnonzero(np.unpackbits(np.frombuffer(self.bits, np.uint8), count=n))
+        return hit, np.frombuffer(self.blocks, np.int64)[np.frombuffer(self.which, np.uint32)], np.frombuffer(self.places, np.uint32).astype(np.int64)
+
+
+def factors(blocks: np.ndarray, places: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
+    """Greedy parse of one document: (first word, length, block, place) of its factors, in order; the words between are literals.
+
+    ``blocks``, ``places``: for each word the source of the phrase that starts there (block -1: none)."""
+    at = np.flatnonzero(blocks >= 0)
+    if not len(at):
+        return []
+    # runs of phrases that follow each other in one source
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(blocks[at]) != 0) | (np.diff(places[at]) != 1)
+    first = at[new]
+    runs = list(zip(first.tolist(), at[np.append(new[1:], True)].tolist(), blocks[first].tolist(), places[first].tolist(), strict=True))
+    out: list[tuple[int, int, int, int]] = []
+    end = k = 0
+    while k < len(runs):
+        # of the runs that begin no later than the next factor, the last one reaches farthest
+        while k + 1 < len(runs) and runs[k + 1][0] <= end:
+            k += 1
+        start, last, block, place = runs[k]
+        begin, stop = max(start, end), last + width
+        if stop > begin:
+            out.append((begin, stop - begin, block, place + begin - start))
+            end = stop
+        k += 1
+    return out
 
-def factors(known: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Greedy parse of one document: (first word, end) of its factors, in order; the words between are literals.
 
-    ``known``: for each word, whether the phrase that starts there is in the reference."""
-    edge = np.flatnonzero(np.diff(known, prepend=False, append=False))
+def spans(parsed: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """The runs of words that factors cover: (first word, end)."""
     out: list[tuple[int, int]] = []
-    for start, stop in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-        end = stop + width - 1
-        if out and start <= out[-1][1]:  # a boundary between two factors; no word between them is left
-            out[-1] = (out[-1][0], end)
+    for start, length, _, _ in parsed:
+        if out and start == out[-1][1]:
+            out[-1] = (out[-1][0], start + length)
         else:
-            out.append((start, end))
+            out.append((start, start + length))
     return out
 
 
@@ -181,13 +230,17 @@ def _rows(columns: list[list], types: list[pa.DataType], names: list[str]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-_MESSAGE = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-_MESSAGE_NAMES = ["bucket", "block", "hashes", "more"]
-_MESSAGE_SCHEMA = "bucket long, block long, hashes binary, more binary"
+_MESSAGE_NAMES = ["bucket", "block", "hashes", "more", "places"]
+_MESSAGE_SCHEMA = "bucket long, block long, hashes binary, more binary, places binary"
+_MESSAGE = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_ANSWER_NAMES = ["block", "bucket", "bits", "blocks", "which", "places"]
+_ANSWER_SCHEMA = "block long, bucket long, bits binary, blocks binary, which binary, places binary"
+_ANSWER = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+Judged = tuple[np.ndarray, np.ndarray | None, np.ndarray | None]
 
 
-def _answered(messages: DataFrame, judge) -> DataFrame:
-    """``judge(hashes of each message, more of each)`` gives a bit for each hash; ``block``, ``bucket``, ``bits``, where any is set."""
+def _answered(messages: DataFrame, judge: Callable[[pa.Table], list[Judged]]) -> DataFrame:
+    """``judge`` gives for each message of a bucket a bit for each hash, and where a set one has its source; an answer for each message with a bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket"]):
@@ -195,42 +248,46 @@ def _answered(messages: DataFrame, judge) -> DataFrame:
             cuts = group_starts(names).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
                 part = table.slice(a, b - a)
-                found = judge(part["hashes"].to_pylist(), part["more"].to_pylist())
-                some = [k for k, bits in enumerate(found) if bits.any()]
-                own = part["block"].to_pylist()
-                yield _rows(
-                    [[own[k] for k in some], [int(names[a])] * len(some), [np.packbits(found[k]).tobytes() for k in some]],
-                    [pa.int64(), pa.int64(), pa.binary()],
-                    ["block", "bucket", "bits"],
-                )
+                out = []
+                for block, (bits, sources, places) in zip(part["block"].to_pylist(), judge(part), strict=True):
+                    if bits.any():
+                        named, which = np.unique(sources, return_inverse=True) if sources is not None else (np.empty(0, np.int64),) * 2
+                        packed = np.packbits(bits).tobytes(), named.tobytes(), which.astype(np.uint32).tobytes()
+                        out.append([block, int(names[a]), *packed, b"" if places is None else places.astype(np.uint32).tobytes()])
+                yield _rows([list(c) for c in zip(*out, strict=True)] or [[]] * len(_ANSWER), _ANSWER, _ANSWER_NAMES)
 
-    return messages.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket long, bits binary")
+    return messages.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _ANSWER_SCHEMA)
 
 
 def _split(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1])
 
 
-def _in_several(hashes: list[bytes], more: list[bytes]) -> list[np.ndarray]:
-    each = [np.frombuffer(h, np.uint32) for h in hashes]
+def _in_several(messages: pa.Table) -> list[Judged]:
+    each = [np.frombuffer(h, np.uint32) for h in messages["hashes"].to_pylist()]
     sizes = [len(x) for x in each]
+    more = messages["more"].to_pylist()
     several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(more, sizes, strict=True)])
     _, which, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
     flagged = np.bincount(which, weights=several, minlength=len(count)) > 0
-    return _split(((count > 1) | flagged)[which], sizes)
+    return [(bits, None, None) for bits in _split(((count > 1) | flagged)[which], sizes)]
 
 
-def _under_smaller(hashes: list[bytes], more: list[bytes]) -> list[np.ndarray]:
-    each = [np.frombuffer(h, np.uint64) for h in hashes]
+def _first_sources(messages: pa.Table) -> list[Judged]:
+    each = [np.frombuffer(h, np.uint64) for h in messages["hashes"].to_pylist()]
     sizes = [len(x) for x in each]
-    ids = np.concatenate([_unpacked(m, n) for m, n in zip(more, sizes, strict=True)])
+    ids = np.concatenate([_unpacked(m, n) for m, n in zip(messages["more"].to_pylist(), sizes, strict=True)])
+    places = np.concatenate([np.frombuffer(p, np.uint32) for p in messages["places"].to_pylist()])
+    blocks = np.repeat(messages["block"].to_numpy(), sizes)
     every = np.concatenate(each)
-    order = np.argsort(every, kind="stable")
+    order = np.lexsort((blocks, ids, every))
     starts = group_starts(every[order])
-    least = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff([*starts, len(order)]))
-    out = np.empty(len(order), bool)
-    out[order] = least < ids[order]
-    return _split(out, sizes)
+    first = np.empty(len(order), np.int64)  # of each entry, that of its hash's source
+    first[order] = np.repeat(order[starts], np.diff([*starts, len(order)]))
+    out = []
+    for bits, source in zip(_split(ids[first] < ids, sizes), _split(first, sizes), strict=True):
+        out.append((bits, blocks[source[bits]], places[source[bits]]))
+    return out
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -246,20 +303,22 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def _by_block(answers: DataFrame, name: str) -> DataFrame:
-    """One row a block; its size is bounded by a bit for each distinct phrase of the block."""
-    return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    """One row a block; its size is bounded by the distinct phrases of the block."""
+    return answers.groupBy("block").agg(F.collect_list(F.struct(*_ANSWER_NAMES[1:])).alias(name))
 
 
-def _as_dict(answers: list[dict] | None) -> dict[int, bytes]:
-    return {x["bucket"]: x["bits"] for x in answers or []}
+def _as_dict(answers: list[dict] | None) -> dict[int, Answer]:
+    return {x["bucket"]: Answer(x["bits"], x["blocks"], x["which"], x["places"]) for x in answers or []}
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """A row per document: the id, ``n_words``, ``n_removed``, ``kept_sha256``, ``spans`` and ``kept`` (with ``keep_text``).
+def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, reference: DataFrame | None = None) -> DataFrame:
+    """A row per document: the id, ``n_words``, ``n_removed``, ``kept_sha256``, ``spans``, ``factors`` and ``kept`` (with ``keep_text``).
 
-    ``spans``: the factors as (first word, end).  ``kept``: the other words, joined by one space."""
+    ``factors``: (first word, length, block, place in the block's words); ``spans``: the words they cover, (first word, end); ``kept``: the
+    other words, joined by one space.  ``reference``: what ``blocks`` gives for ``docs``, where a user has written it; a word's place in a
+    block counts the words of all its texts, in their order."""
     spark = docs.sparkSession
-    reference = written(spark, blocks(docs, id_col, text_col), "reference-blocks")
+    reference = written(spark, blocks(docs, id_col, text_col), "reference-blocks") if reference is None else reference
     total = reference.agg(F.sum("n_words")).first()[0] or 0
     n_buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET_WORDS))
 
@@ -268,7 +327,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = Block(payload.as_py(), width).anchor_messages(n_buckets)
                 yield _rows(
-                    [[b for b, _, _ in found], [block] * len(found), [s.astype(np.uint32).tobytes() for _, s, _ in found], [np.packbits(m).tobytes() for _, _, m in found]],
+                    [[b for b, _, _ in found], [block] * len(found), [s.astype(np.uint32).tobytes() for _, s, _ in found], [np.packbits(m).tobytes() for _, _, m in found], [b""] * len(found)],
                     _MESSAGE,
                     _MESSAGE_NAMES,
                 )
@@ -282,40 +341,41 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
                 own = Block(batch.column(1)[k].as_py(), width)
                 found = own.phrase_messages(n_buckets, own.candidates(n_buckets, _as_dict(batch.column(2)[k].as_py())))
                 yield _rows(
-                    [[b for b, _, _ in found], [block] * len(found), [h.tobytes() for _, h, _ in found], [_packed(i) for _, _, i in found]],
+                    [[m[0] for m in found], [block] * len(found), [m[1].tobytes() for m in found], [_packed(m[2]) for m in found], [m[3].astype(np.uint32).tobytes() for m in found]],
                     _MESSAGE,
                     _MESSAGE_NAMES,
                 )
 
     # a block that got no answer has no phrase to send
     asked = reference.select("block", "payload").join(_by_block(first, "anchors"), "block")
-    second = written(spark, _answered(asked.mapInArrow(send_phrases, _MESSAGE_SCHEMA), _under_smaller), "reference-phrases")
+    second = written(spark, _answered(asked.mapInArrow(send_phrases, _MESSAGE_SCHEMA), _first_sources), "reference-phrases")
 
     fields = [
         ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
-        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string()),
+        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ("factors", pa.list_(pa.struct([(n, pa.int64()) for n in FACTOR]))), ("kept", pa.string()),
     ]
     fields = fields if keep_text else fields[:-1]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                own = Block(batch.column(0)[k].as_py(), width)
-                chosen = own.candidates(n_buckets, _as_dict(batch.column(1)[k].as_py()))
-                known = own.known(n_buckets, chosen, _as_dict(batch.column(2)[k].as_py()))
+                own = Block(batch.column(1)[k].as_py(), width)
+                chosen = own.candidates(n_buckets, _as_dict(batch.column(2)[k].as_py()))
+                sources, places = own.sources(batch.column(0)[k].as_py(), n_buckets, chosen, _as_dict(batch.column(3)[k].as_py()))
                 out = []
                 for doc, text in enumerate(own.texts):
                     a, b = own.words.first[doc], own.words.first[doc + 1]
-                    spans = factors(known[a:b], width) if b > a else []
+                    parsed = factors(sources[a:b], places[a:b], width)
                     words = (text or "").encode("utf-8").split()
-                    if spans:
+                    if parsed:
                         keep = np.ones(len(words), bool)
-                        for start, end in spans:
-                            keep[start:end] = False
+                        for start, length, _, _ in parsed:
+                            keep[start : start + length] = False
                         words = list(itertools.compress(words, keep.tolist()))
                     kept = b" ".join(words)
-                    row = [int(b - a), int(b - a) - len(words), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans]]
-                    out.append(row + [kept.decode("utf-8")] * keep_text)
+                    row = [int(b - a), int(b - a) - len(words), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans(parsed)]]
+                    out.append(row + [[dict(zip(FACTOR, f, strict=True)) for f in parsed]] + [kept.decode("utf-8")] * keep_text)
                 columns = [list(c) for c in zip(*out, strict=True)]
                 yield _rows([own.ids, *columns], [pa.int64(), *(t for _, t in fields)], [id_col, *(n for n, _ in fields)])
 
@@ -323,7 +383,33 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
         reference.select("block", "payload")
         .join(_by_block(first, "anchors"), "block", "left")
         .join(_by_block(second, "phrases"), "block", "left")
-        .select("payload", "anchors", "phrases")
+        .select("block", "payload", "anchors", "phrases")
     )
     schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+    schema += f", factors array<struct<{','.join(f'{n}:long' for n in FACTOR)}>>"
     return every.mapInArrow(parse, schema + ", kept string" * keep_text)
+
+
+def decoded(found: DataFrame, reference: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The words of every factor, read from its reference block: the id, ``start``, ``words``; to check a parse, or to show where a passage comes from.
+
+    ``found``: what ``dedup`` gives with the same ``reference``.  A block comes before the factors that ask for it, so it is opened once."""
+    asked = found.select(F.col(id_col).cast("long").alias("id"), F.explode("factors").alias("f"))
+    asked = asked.select("f.block", F.lit(1).alias("turn"), F.lit(None).cast("binary").alias("payload"), "id", "f.start", "f.place", "f.length")
+    own = [F.lit(None).cast("long").alias(n) for n in asked.columns[3:]]
+    rows = reference.select("block", F.lit(0).alias("turn"), "payload", *own).union(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[bytes] = []
+        for batch in batches:
+            out = []
+            for k, turn in enumerate(batch.column(1).to_pylist()):
+                if turn == 0:
+                    texts = pa.ipc.open_stream(batch.column(2)[k].as_py()).read_all()["text"].to_pylist()
+                    words = [w for t in texts for w in (t or "").encode().split()]
+                else:
+                    own, start, place, length = (batch.column(c)[k].as_py() for c in range(3, 7))
+                    out.append([own, start, b" ".join(words[place : place + length]).decode()])
+            yield _rows([list(c) for c in zip(*out, strict=True)] or [[], [], []], [pa.int64(), pa.int64(), pa.string()], [id_col, "start", "words"])
+
+    return rows.repartition("block").sortWithinPartitions("block", "turn").mapInArrow(run, f"`{id_col}` long, start long, words string")

@@ -101,8 +101,31 @@ def test_substrings_equal_brute_force(spark):
 
 
 def test_factors_are_greedy():
-    known = np.array([1, 1, 0, 0, 1, 0, 0, 0, 0, 1], bool)
-    assert substrings.factors(known, 3) == [(0, 7), (9, 12)]
+    """Two runs of phrases, the second from another source and across the first one's end; then one by itself."""
+    source = np.array([5, 5, -1, 6, 6, -1, -1, -1, -1, 5, -1, -1, -1])
+    place = np.array([10, 11, -1, 40, 41, -1, -1, -1, -1, 20, -1, -1, -1])
+    parsed = substrings.factors(source, place, 3)
+    assert parsed == [(0, 4, 5, 10), (4, 3, 6, 41), (9, 3, 5, 20)]
+    assert substrings.spans(parsed) == [(0, 7), (9, 12)]
+    # a run that another one outreaches gives no factor
+    assert substrings.factors(np.array([1, 2, 3, -1, -1, -1]), np.array([7, 8, 9, -1, -1, -1]), 3) == [(0, 3, 1, 7), (3, 2, 3, 10)]
+
+
+def test_factors_decode_to_the_text(spark, texts):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7).persist()
+    reference = substrings.blocks(frame).persist()
+    found = substrings.dedup(frame, reference=reference).persist()
+    read = {(r.doc_id, r.start): r.words for r in substrings.decoded(found, reference).collect()}
+    n, several = 0, 0
+    for r in found.collect():
+        words = WORD.findall(texts[r.doc_id] or "")
+        end = 0
+        for f in r.factors:
+            assert f.start >= end and read[r.doc_id, f.start] == " ".join(words[f.start : f.start + f.length])
+            end = f.start + f.length
+        n, several = n + len(r.factors), several + (len(r.factors) > len(r.spans))
+        assert sum(f.length for f in r.factors) == r.n_removed
+    assert n == len(read) > 20 and several
 
 
 # 3
