@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compiled from a model file (BPE with byte fallback), three transducers are composed with each input:
-
-* the normaliser: spaces become the mark U+2581, one mark is put before a text;
-* the pieces: a trie with an arc for each piece, and for each character without a piece an arc that writes its bytes;
-* the pair acceptor: its states are pieces, and an arc from piece ``a`` to piece ``b`` weighs 0 if BPE leaves ``a`` beside ``b``,
-  infinity if BPE would have merged across their boundary.
-
-A sequence of pieces is the BPE segmentation of its text if and only if each neighbouring pair is one that BPE leaves (its
-merges go by rank, so a merge that crosses a boundary shows in the pair around it).  Hence the tropical shortest path of the
-composition has weight 0 and is the segmentation, and of all arcs that enter a state of the input exactly one is on a
-path of finite weight; the shortest-path step keeps it as that state's back pointer.  Whether a pair weighs 0 follows by
-undoing its merges, latest first, and looking for a merge across the boundary that would have come earlier.
+Compiled from a model file (BPE with byte fallback) or from pieces with log-probabilities (``compile_unigram``), three transducers are
+composed with each input:
+
+* the normaliser: rewriting rules, leftmost and longest first, and the mark before a text (``Normaliser``);
+* the pieces: a trie with an arc for each piece, of the piece's weight, and for each character without a piece a chain of arcs
+  that write its bytes, one arc a byte;
+* for BPE, the pair acceptor: its states are pieces, and an arc from piece ``a`` to piece ``b`` weighs 0 if BPE leaves ``a`` beside
+  ``b``, infinity if BPE would have merged across their boundary.
+
+Encoding is the tropical shortest path of the composition: in the order of their places, states relax the arcs that leave them (the sum along
+a path, the least over paths), and back pointers give the pieces.  In a unigram model a piece weighs minus its log-probability, and
+many paths are finite.  In a BPE model pieces weigh 0: a sequence of pieces is the BPE segmentation of its text if and only if each
+neighbouring pair is one that BPE leaves (its merges go by rank, so a merge that crosses a boundary shows in the pair around it); so of all
+arcs that enter a state exactly one is on a path of finite weight, and knowing the last piece of a state is knowing the acceptor's state.
+Whether a pair weighs 0 follows by undoing its merges, latest first, and looking for a merge across the boundary that would have come earlier.
 
 Pieces never hold a mark behind another character, so units (a run of spaces and what follows it) are independent: each
 distinct unit of a batch is composed once, all units together by numpy; a unit longer than ``LONG`` bytes is composed by itself.
@@ -24,6 +27,7 @@ table gives an empty table; columns other than the id and the text are not carri
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,15 +94,32 @@ def _merged(text: str, rank: dict[str, int]) -> list[str]:
         parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
 
+class Normaliser:
+    """A transducer of rewriting rules, leftmost and longest first; what no rule matches is copied, and ``before`` is put before a text."""
+
+    def __init__(self, rules: dict[str, str], before: str):
+        self.rules, self.before = {k.encode("utf-8"): v.encode("utf-8") for k, v in rules.items()}, before.encode("utf-8")
+        self.machine = re.compile(b"|".join(map(re.escape, sorted(self.rules, key=len, reverse=True))))
+
+    def __call__(self, text: str) -> bytes:
+        data = text.encode("utf-8")
+        return self.before + (self.machine.sub(lambda m: self.rules[m[0]], data) if self.rules else data)
+
+
 @dataclass
 class Transducer:
-    """``rank``, ``left``, ``right``: of each piece, the order of its merge and the pieces merged (-1: a character)."""
+    """``rank``, ``left``, ``right``: of each piece, the order of its merge and the pieces merged (-1: a character).
+
+    ``weight``: of each piece's arc; ``fallback``: of a chain of bytes, on its first arc.  ``merges``: None where every pair fits."""
 
+    normaliser: Normaliser
     pieces: list[bytes]
+    weight: np.ndarray
+    fallback: float
     rank: np.ndarray
     left: np.ndarray
     right: np.ndarray
-    merges: Pairs
+    merges: Pairs | None
     trie: np.ndarray
     final: np.ndarray
     bytes_from: int
@@ -106,8 +127,10 @@ class Transducer:
     runs: list[list[int]]
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the pair acceptor's arc from ``a`` to ``b`` weighs 0; a piece below 0 is a text's edge or a character without a piece."""
+        """Whether the pair acceptor's arc from ``a`` to ``b`` weighs 0; a piece below 0 is a unit's edge."""
         out = np.ones(len(a), bool)
+        if self.merges is None:
+            return out
         at = np.flatnonzero((a >= 0) & (b >= 0))
         a, b = a[at], b[at]
         limit = np.full(len(at), np.iinfo(np.int32).max, np.int32)
@@ -160,30 +183,31 @@ class Transducer:
             arcs.append((source[alive[hit]], to[hit], piece[hit]))
             go = to < stop[alive]
             alive, node, to = alive[go], node[go], to[go]
-        bare = ~known
-        arcs.append((source[bare], single[bare], np.full(int(bare.sum()), -2, np.int32)))
+        # byte fallback: a chain of arcs, one a byte, for a character without a piece
+        width = (single - source)[~known]
+        inner = np.arange(int(width.sum()), dtype=np.int32) - np.repeat(np.cumsum(width) - width, width).astype(np.int32)
+        chain = np.repeat(source[~known], width) + inner
+        arcs.append((chain, chain + 1, self.bytes_from + padded[chain].astype(np.int32)))
+        cost = [self.weight[p] for _, _, p in arcs[:-1]] + [np.where(inner == 0, self.fallback, 0.0)]
         tail, head, piece = (np.concatenate(x) for x in zip(*arcs, strict=True))
-        # the shortest path: states in the order of their place in the unit
+        cost = np.concatenate(cost)
+        # the shortest path: states relax their arcs in the order of their place in the unit; no two arcs of a place enter one state
         place = (tail - np.repeat(base, size + 1)[tail]).astype(np.uint16)  # units are short
         order = np.argsort(place, kind="stable")
-        tail, head, piece = tail[order], head[order], piece[order]
+        tail, head, piece, cost = tail[order], head[order], piece[order], cost[order]
         cuts = np.searchsorted(place[order], np.arange((int(place.max()) if len(place) else -1) + 2))
-        last, back = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        last, back, dist = np.full(n, -1, np.int32), np.full(n, -1, np.int32), np.full(n, np.inf)
+        dist[base] = 0
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            ok = self.fits(last[tail[a:b]], piece[a:b])
-            h = head[a:b][ok]
-            last[h], back[h] = piece[a:b][ok], tail[a:b][ok]
+            t, h, p = tail[a:b], head[a:b], piece[a:b]
+            total = dist[t] + cost[a:b]
+            nearer = (total < dist[h]) & self.fits(last[t], p)
+            h = h[nearer]
+            dist[h], last[h], back[h] = total[nearer], p[nearer], t[nearer]
         on = np.zeros(n, bool)
         at = (base + size)[size > 0]
         while len(at):
             on[at] = True
-            bytes_ = at[last[at] == -2]
-            for k in range(4):  # a character without a piece: its bytes
-                inner = bytes_ - k
-                inner = inner[inner > back[bytes_]]
-                on[inner] = True
-                last[inner] = self.bytes_from + padded[inner - 1]
-                bytes_ = bytes_[bytes_ - k > back[bytes_]]
             at = back[at]
             at = at[back[at] >= 0]
         owner = np.repeat(np.arange(len(size)), size + 1)
@@ -192,7 +216,15 @@ class Transducer:
     def path(self, unit: bytes) -> list[int]:
         """Pieces of one unit, however long: the same composition, state by state."""
         n = len(unit)
-        last, back, seen = [-1] * (n + 1), [-1] * (n + 1), {}
+        last, back, dist, seen = [-1] * (n + 1), [-1] * (n + 1), [0.0] + [float("inf")] * n, {}
+
+        def relax(at: int, to: int, piece: int, cost: float) -> None:
+            pair = (last[at], piece)
+            if pair not in seen:
+                seen[pair] = bool(self.fits(np.array(pair[:1]), np.array(pair[1:]))[0])
+            if seen[pair] and dist[at] + cost < dist[to]:
+                last[to], back[to], dist[to] = piece, at, dist[at] + cost
+
         for at in range(n):
             if unit[at] & 0xC0 == 0x80:
                 continue
@@ -205,25 +237,19 @@ class Transducer:
                 piece = int(self.final[node])
                 if piece >= 0:
                     known |= to == at + width
-                    pair = (last[at], piece)
-                    if pair not in seen:
-                        seen[pair] = bool(self.fits(np.array(pair[:1]), np.array(pair[1:]))[0])
-                    if seen[pair]:
-                        last[to], back[to] = piece, at
+                    relax(at, to, piece, float(self.weight[piece]))
             if not known:
-                last[at + width], back[at + width] = -2, at
+                for k in range(at, at + width):
+                    relax(k, k + 1, self.bytes_from + unit[k], self.fallback if k == at else 0.0)
         out, at = [], n
         while at > 0:
-            if last[at] == -2:
-                out += [self.bytes_from + x for x in reversed(unit[back[at] : at])]
-            else:
-                out.append(last[at])
+            out.append(last[at])
             at = back[at]
         return out[::-1]
 
     def encode(self, texts: list[str | None], memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has; ``memory``: units composed before."""
-        parts = [b" " + t.replace(MARK, " ").encode("utf-8") if t else b"" for t in texts]
+        parts = [self.normaliser(t) if t else b"" for t in texts]
         data = np.frombuffer(b"".join(parts) or b"\0", np.uint8)
         begins = np.cumsum([0, *map(len, parts)])
         if begins[-1] == 0:
@@ -353,12 +379,41 @@ def compile_model(path: str = MODEL) -> Transducer:
             if p[:cut] in number and p[cut:] in number:
                 merges[number[p[:cut]], number[p[cut:]]] = rank_of[p]
     text = lambda k: names[k].replace(MARK, " ").encode("utf-8")
+    # runs have their own table
+    trie, final = _trie({k: text(k) for k in sorted(reached) if len(names[k]) == 1 or set(names[k]) != {MARK}})
+    longest = max(len(p) for p in number if set(p) == {MARK})
+    runs = [[number[q] for q in _merged(MARK * k, rank_of)] for k in range(longest + 1)]
+    pieces = [b"" if k in special else text(k) for k in range(n)]
+    for value, k in enumerate(byte_ids):
+        pieces[k] = bytes([value])
+    made = Transducer(Normaliser({MARK: " "}, " "), pieces, np.zeros(n), 0.0, rank, left, right, Pairs(merges), trie, final, byte_ids[0], number[MARK], runs)
+    probe = "a  b\u00e9 e\u0301 \ufb01\u2460\u00a0\uff21"
+    if model.encode(probe, out_type=int) != made.encode([probe])[0].tolist():
+        raise ValueError("the model is not BPE with identity normalisation and a mark before the text")
+    return made
+
+
+def compile_unigram(scores: dict[str, float], rules: dict[str, str] | None = None, penalty: float = 10.0) -> Transducer:
+    """From pieces and their log-probabilities: ids 0 to 255 are the bytes, then the mark, then the pieces in their order.
+
+    The mark is a piece by itself if it has no score (then it weighs as a chain of bytes does): the least score less ``penalty``."""
+    if any(MARK in p.lstrip(MARK) or p.startswith(MARK * 2) or "\n" in p or not p for p in scores):
+        raise ValueError("a piece is empty, or holds a line feed, or a mark that is not its first character")
+    names = [MARK, *(p for p in scores if p != MARK)]
+    pieces = [bytes([x]) for x in range(256)] + [p.replace(MARK, " ").encode("utf-8") for p in names]
+    fallback = penalty - min(scores.values(), default=0.0)
+    weight = np.array([fallback] * 256 + [-scores[p] if p in scores else fallback for p in names])
+    none = np.full(len(pieces), -1, np.int32)
+    trie, final = _trie({256 + k: pieces[256 + k] for k in range(len(names))})
+    return Transducer(Normaliser({MARK: " ", **(rules or {})}, " "), pieces, weight, fallback, none, none, none, None, trie, final, 0, 256, [[], [256]])
+
+
+def _trie(texts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes x bytes (0: no arc), and the piece that ends at each node (-1: none)."""
     rows, final = [{}], [-1]
-    for k in sorted(reached):
-        if len(names[k]) > 1 and set(names[k]) == {MARK}:
-            continue  # runs have their own table
+    for k, data in texts.items():
         node = 0
-        for x in text(k):
+        for x in data:
             if x not in rows[node]:
                 rows[node][x] = len(rows)
                 rows.append({})
@@ -368,20 +423,11 @@ def compile_model(path: str = MODEL) -> Transducer:
     # inner nodes come first; all leaves share the last row, which is empty
     inner = [k for k, row in enumerate(rows) if row]
     order = {k: n for n, k in enumerate(inner + [k for k, row in enumerate(rows) if not row])}
-    final = [final[k] for k in order]
     trie = np.zeros((len(inner) + 1, 256), np.int32)
     for k in inner:
         for x, to in rows[k].items():
             trie[order[k], x] = order[to]
-    longest = max(len(p) for p in number if set(p) == {MARK})
-    runs = [[number[q] for q in _merged(MARK * k, rank_of)] for k in range(longest + 1)]
-    pieces = [b"" if k in special else text(k) for k in range(n)]
-    for value, k in enumerate(byte_ids):
-        pieces[k] = bytes([value])
-    made = Transducer(pieces, rank, left, right, Pairs(merges), trie, np.array(final, np.int32), byte_ids[0], number[MARK], runs)
-    if model.encode("a  bé", out_type=int) != made.encode(["a  bé"])[0].tolist():
-        raise ValueError("the model is not BPE with identity normalisation and a mark before the text")
-    return made
+    return trie, np.array([final[k] for k in order], np.int32)
 
 
 class _without(dict):

@@ -70,6 +70,37 @@ def test_transducer_on_documents_and_long_units(transducer, library, texts):
     assert transducer.decode(ids, counts) == [(t or "").replace("▁", " ") for t in every]
 
 
+def cheapest(data, machine, known):
+    """The least weight of any segmentation of ``data`` (bytes), by trying them all, and the segmentations of that weight."""
+    if not data:
+        return [(0.0, ())]
+    width = next(w for w, most in ((1, 0x80), (2, 0xE0), (3, 0xF0), (4, 0x100)) if data[0] < most)
+    firsts = [(machine.weight[k], (k,), len(p)) for p, k in known.items() if data.startswith(p)]
+    if data[:width] not in known:
+        firsts.append((machine.fallback, tuple(data[:width]), width))
+    every = [(w + x, ids + rest) for w, ids, n in firsts for x, rest in cheapest(data[n:], machine, known)]
+    least = min(w for w, _ in every)
+    return [(w, ids) for w, ids in every if w < least + 1e-9]
+
+
+@given(st.text("abc\u00e9\u4f60 \u2581", max_size=9), st.lists(st.text("abc\u00e9", min_size=1, max_size=4), max_size=9), st.integers(0, 2**32))
+@settings(max_examples=200, deadline=None)
+def test_weighted_paths_equal_brute_force(text, names, seed):
+    """Many segmentations have a finite weight; the machine finds one of the least."""
+    random = np.random.default_rng(seed)
+    names = [("\u2581" if random.random() < 0.3 else "") + p for p in names] + ["\u2581", "a"]
+    machine = sentencepiece_fst.compile_unigram({p: -float(random.integers(1, 40)) for p in names}, {"\u00e9": "ab"})
+    known = {p: 256 + k for k, p in enumerate(machine.pieces[256:])}
+    ids = machine.encode([text])[0].tolist()
+    data = machine.normaliser(text) if text else b""
+    assert data == ((" " + text.replace("\u2581", " ").replace("\u00e9", "ab")).encode() if text else b"")
+    assert b"".join(machine.pieces[k] for k in ids) == data
+    assert tuple(ids) in [x for _, x in cheapest(data, machine, known)]
+    # a unit composed by itself goes the same way
+    if data and b" " not in data[1:]:
+        assert tuple(machine.path(data)) in [x for _, x in cheapest(data, machine, known)]
+
+
 # 2
 
 
