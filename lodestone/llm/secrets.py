@@ -2,7 +2,7 @@
 
 Base spans come from three patterns.  The method adds spans: a token (a run of key characters) is scored by two
 first-order character Markov models, one trained on random strings and one on ordinary identifiers; where the
-mean log-likelihood ratio of its transitions exceeds ``threshold``, the token is a secret of kind ``markov``.
+log-likelihood ratio of its transitions exceeds ``PRIOR`` and ``threshold`` for each of them, the token is a secret of kind ``markov``.
 Both models come from labelled samples (``train``): transition counts with add-one smoothing over the alphabet.
 The sample set is bounded and made from rules (``labelled_samples``), so the model never depends on the corpus.
 
@@ -31,10 +31,12 @@ LEAST_ASSIGNED = 12
 
 #: Characters of a token that the models know, in the order of their index.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-LEAST_TOKEN = 20
+LEAST_TOKEN = 16
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % LEAST_TOKEN
-#: Mean log-likelihood ratio (nats a transition) from which a token counts as random.
-THRESHOLD = 0.9
+#: A token counts as random where its log-likelihood ratio exceeds ``PRIOR`` and ``THRESHOLD`` for each transition (nats), so a short token
+#: has to be more conspicuous than a long one.  Chosen on labelled tokens of another origin than the samples: the 2,636 names of 16 characters or more in
+#: Python's standard library, none of which fires, and keys of nine alphabets and five lengths.
+PRIOR, THRESHOLD = 7.5, 0.5
 #: Bound of the sample set: so many strings of either label.
 SAMPLES = 4000
 
@@ -56,36 +58,54 @@ IDENTIFIER_WORDS = (
     "view visible volume warning width window worker wrapper"
 ).split()
 
+# Words of other languages that ordinary tokens are made of.
+NATURAL_WORDS = (
+    "abend arbeit bild brief buch deutsch einfach erde fenster freund garten gegen geschichte gesellschaft haus heute himmel jahr kirche "
+    "leben licht mensch morgen nacht ordnung recht schiff schnell schule sprache stadt strasse stunde tisch vergangenheit verkehr wasser "
+    "welt winter wirtschaft wissenschaft zeitung zwischen ami arbre beaucoup bonjour chambre chemin cheval chose coeur demain eau enfant femme feuille "
+    "fleur garçon gouvernement heure homme jour journal lumière maison matin monde montagne oiseau parole petit peuple pierre quelque rivière "
+    "semaine soleil temps travail vieux ville voiture agua amigo calle camino casa ciudad cuando dinero escuela espacio familia "
+    "gobierno hermano historia hombre iglesia juego lugar mañana mesa mundo noche nombre palabra pequeño pueblo siempre tiempo trabajo ventana verano verdad"
+).split()
+
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """``n`` random strings (base64, mixed hex and upper-case keys) and ``n`` identifiers: ``token``, ``is_random``."""
-    words = F.array(*map(F.lit, IDENTIFIER_WORDS))
-    digest = lambda salt: F.unhex(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 512))
-    # base64 without the padding; the pool of random characters that one row draws from
-    pool = F.regexp_replace(F.base64(digest("r")), "[^A-Za-z0-9+/]", "")
-    random = spark.range(n).select(
-        F.when(F.col("id") % 4 < 3, F.substring(pool, 1, 40))
-        .otherwise(F.translate(F.substring(pool, 1, 40), "+/", "-_"))
-        .alias("token"),
-        F.lit(True).alias("is_random"),
-    )
-    word = lambda k: F.element_at(
-        words, (F.pmod(F.crc32(F.concat(F.lit(f"w{k}"), F.col("id").cast("string"))), F.lit(len(IDENTIFIER_WORDS))) + 1).cast("int")
+    """``n`` random strings and ``n`` identifiers: ``token``, ``is_random``.
+
+    Random ones are base64, base64 for urls, letters and digits, capitals and digits, hex in either case, and letters alone, of 16 to 64
+    characters.  Identifiers are one to five words in the usual styles, some with a number behind."""
+    salted = lambda salt: F.concat(F.lit(salt), F.col("id").cast("string"))
+    pick = lambda salt, n: F.pmod(F.crc32(salted(salt)), F.lit(n)).cast("int")
+    digest = F.unhex(F.concat(F.sha2(salted("r"), 512), F.sha2(salted("s"), 512)))
+    # the pool of random characters that one row draws from
+    pool, shape = F.regexp_replace(F.base64(digest), "[^A-Za-z0-9+/]", ""), pick("shape", 8)
+    made = (
+        F.when(shape <= 1, pool)
+        .when(shape == 2, F.translate(pool, "+/", "-_"))
+        .when(shape == 3, F.regexp_replace(pool, "[+/]", ""))
+        .when(shape == 4, F.upper(F.regexp_replace(pool, "[+/]", "")))
+        .when(shape == 5, F.lower(F.hex(digest)))
+        .when(shape == 6, F.hex(digest))
+        .otherwise(F.regexp_replace(pool, "[^A-Za-z]", ""))
     )
-    style = F.pmod(F.crc32(F.concat(F.lit("style"), F.col("id").cast("string"))), F.lit(6))
-    parts = F.array(*(word(k) for k in range(4)))
+    random = spark.range(n).select(F.substring(made, F.lit(1), pick("length", 49) + 16).alias("token"), F.lit(True).alias("is_random"))
+    words = F.array(*map(F.lit, IDENTIFIER_WORDS + NATURAL_WORDS))
+    parts = F.slice(F.array(*(F.element_at(words, pick(f"w{k}", len(IDENTIFIER_WORDS + NATURAL_WORDS)) + 1) for k in range(5))), F.lit(1), pick("parts", 5) + 1)
     title = F.transform(parts, F.initcap)
-    names = spark.range(n).select(
+    style = pick("style", 9)
+    named = (
         F.when(style == 0, F.array_join(parts, "_"))
         .when(style == 1, F.array_join(parts, "-"))
         .when(style == 2, F.array_join(title, ""))
-        .when(style == 3, F.concat(word(0), F.array_join(F.slice(title, 2, 3), "")))
+        .when(style == 3, F.concat(parts[0], F.array_join(F.slice(title, 2, 4), "")))
         .when(style == 4, F.array_join(parts, "/"))
-        .otherwise(F.upper(F.array_join(parts, "_")))
-        .alias("token"),
-        F.lit(False).alias("is_random"),
+        .when(style == 5, F.upper(F.array_join(parts, "_")))
+        .when(style == 6, F.array_join(parts, ""))
+        .when(style == 7, F.upper(F.array_join(parts, "")))
+        .otherwise(F.array_join(title, "-"))
     )
-    return random.union(names)
+    number = F.when(pick("numbered", 4) == 0, F.concat(F.lit("_"), pick("number", 3000).cast("string"))).otherwise("")
+    return random.union(spark.range(n).select(F.concat(named, number).alias("token"), F.lit(False).alias("is_random")))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -126,17 +146,19 @@ def _matches(text: str, pattern: str, group: int, if_: str) -> Column:
     Lengths are summed in chunks of 256 matches, then over the chunks, so that many matches in one text stay cheap."""
     kind = "array<struct<s:int,e:int,g:string>>"
     p = _quoted(pattern)
+    # the whole match is extracted once
+    wanted, more = (2, f", regexp_extract_all({text}, {p}, {group}))") if group else (1, ")")
     return F.expr(f"""
       CASE WHEN {if_} THEN
         element_at(transform(array(
-            arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))), z ->
+            arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0){more}), z ->
           element_at(transform(array(transform(sequence(0, (size(z) - 2) div 256), c ->
             aggregate(slice(z, CAST(c AS int) * 256 + 1, least(256, size(z) - 1 - CAST(c AS int) * 256)),
               named_struct('n', 0, 'found', CAST(array() AS {kind})),
               (acc, x) -> named_struct(
                 'n', acc.n + length(x.`0`) + length(x.`1`),
                 'found', concat(acc.found, array(named_struct(
-                  's', acc.n + length(x.`0`), 'e', acc.n + length(x.`0`) + length(x.`1`), 'g', x.`2`))))))), chunks ->
+                  's', acc.n + length(x.`0`), 'e', acc.n + length(x.`0`) + length(x.`1`), 'g', x.`{wanted}`))))))), chunks ->
             flatten(zip_with(chunks,
               aggregate(chunks, named_struct('n', 0, 'found', CAST(array() AS array<int>)),
                 (acc, c) -> named_struct('n', acc.n + c.n, 'found', concat(acc.found, array(acc.n)))).found,
@@ -172,8 +194,7 @@ def find(
     table = "array(" + ",".join(f"{x:.17g}D" for x in ratios) + ")"
     score = f"""
       element_at(transform(array(transform(split(m.g, ''), c -> instr('{ALPHABET}', c) - 1)), a ->
-        aggregate(sequence(0, size(a) - 2), 0D, (t, i) -> t + get(ratios, get(a, i) * {k} + get(a, i + 1)))
-          / (size(a) - 1)), 1)"""
+        aggregate(sequence(0, size(a) - 2), 0D, (t, i) -> t + get(ratios, get(a, i) * {k} + get(a, i + 1)))), 1)"""
     found = (
         docs.select(
             F.col(f"`{id_col}`").alias("_id"),
@@ -198,7 +219,7 @@ def find(
                 _as_spans(
                     "token",
                     "markov",
-                    f"NOT exists(base, b -> b.s < m.e AND b.e > m.s) AND m.g RLIKE '[0-9]' AND {score} > {threshold:.17g}D",
+                    f"NOT exists(base, b -> b.s < m.e AND b.e > m.s) AND {score} > {PRIOR:.17g}D + {threshold:.17g}D * (length(m.g) - 1)",
                 )
             ),
         )

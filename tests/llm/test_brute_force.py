@@ -191,14 +191,65 @@ def test_secret_base_equals_brute_force(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k, _, _, _ in BASE)
 
 
-def test_markov_models_tell_random_strings_from_identifiers(spark):
+def markov_spans(text, ratios):
+    """The method's spans, token by token."""
+    places, k = {c: n for n, c in enumerate(secrets.ALPHABET)}, len(secrets.ALPHABET)
+    taken = [tuple(map(int, s.split(":")[1:])) for s in base_spans(text)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+        token = m[0]
+        score = sum(ratios[places[a] * k + places[b]] for a, b in zip(token, token[1:], strict=False))
+        free = all(b <= m.start() or a >= m.end() for a, b in taken)
+        if len(token) >= 16 and free and score > secrets.PRIOR + secrets.THRESHOLD * (len(token) - 1):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+@pytest.fixture(scope="module")
+def ratios(spark):
+    return secrets.train(secrets.labelled_samples(spark))
+
+
+def key(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+KEYS = {
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "letters and digits": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "capitals and digits": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "small letters and digits": "abcdefghijklmnopqrstuvwxyz0123456789", "hex in capitals": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+}
+
+
+def test_markov_spans_equal_token_by_token(spark, ratios):
+    rng = random.Random(5)
+    bits = ["see ", ", ", "\n", "é", "\U0001f600", "password=", "name_of_a_thing", "andthentheotherone", "key-"]
+    texts = dict(enumerate("".join(key(rng, rng.choice(list(KEYS.values())), rng.randrange(3, 40)) if rng.random() < 0.4 else rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(200)))
+    found = 0
+    for r in secrets.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ratios).collect():
+        own = [s for s in r.spans.split(",") if s.startswith("markov")]
+        assert own == markov_spans(texts[r.doc_id], ratios), texts[r.doc_id]
+        assert r.n_markov == len(own)
+        found += len(own)
+    assert found > 100
+
+
+def test_markov_models_on_tokens_of_another_origin(spark, ratios):
+    """Planted keys of alphabets and lengths that no sample has together, and names that people gave."""
+    import collections, datetime, email.message, http.client, inspect, logging, socket, ssl, subprocess, tarfile, unittest, urllib.request, xml.dom.minidom  # noqa: E401, F401
+
+    modules = [collections, datetime, email.message, http.client, inspect, logging, socket, ssl, subprocess, tarfile, unittest, urllib.request, xml.dom.minidom]
+    names = {n for m in modules for k in dir(m) for n in [k, *dir(getattr(m, k))]}
+    names = sorted(n for n in names if len(n) >= 16 and n.isascii())
     rng = random.Random(9)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(100)]
-    names = ["_".join(rng.choice(secrets.IDENTIFIER_WORDS) for _ in range(5)) + "_v2" for _ in range(100)]
-    frame = spark.createDataFrame([(k, f"see {t} here") for k, t in enumerate(keys + names)], "doc_id long, text string")
-    hits = {r.doc_id for r in secrets.scan(frame).filter("n_markov > 0").collect()}
-    assert len([k for k in hits if k < 100]) >= 95 and not [k for k in hits if k >= 100]
+    keys = [(kind, key(rng, KEYS[kind], n)) for kind in KEYS for n in (24, 40) for _ in range(50)]
+    texts = [f"it says {t}, there" for t in [*names, *(k for _, k in keys)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hit = {r.doc_id for r in secrets.scan(frame, ratios).filter("n_markov + n_hex > 0").collect()}
+    assert len(names) > 400 and not [names[k] for k in hit if k < len(names)]
+    for kind in KEYS:
+        own = [len(names) + k for k, (other, _) in enumerate(keys) if other == kind]
+        assert len(hit & set(own)) >= 0.75 * len(own), kind
 
 
 def test_redaction(spark):
