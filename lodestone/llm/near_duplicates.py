@@ -48,6 +48,8 @@ SYMBOLS, CHUNKS, DISTANCE = 64, 14, 27
 #: Nodes of a key, and shingles of a class, that a group of a cell holds, about.
 GROUP_NODES = 4096
 GROUP_SHINGLES = 2_000_000
+#: Rows of keys up to which they are broadcast, some 20 MB as hashes and 60 MB as strings; beyond it the same join shuffles the texts.
+MOST_HASHES, MOST_KEYS = 1_000_000, 500_000
 
 _FLIPS, _FACTORS = random_u64(SYMBOLS, 21), random_u64(SYMBOLS, 22)
 _KEY_FACTORS = random_u64(SYMBOLS * SYMBOLS, 23).reshape(SYMBOLS, SYMBOLS)
@@ -265,7 +267,12 @@ def classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, id_col:
         .select("class", "num", "key", "groups", explode)
         .select("class", "num", F.col("key").alias("row_key"), cell.alias("cell"))
     )
-    texts = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).dropDuplicates(["row_key"])
+    texts = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    # most documents are in no class; where the keys of the others are few, the rest never leaves the scan
+    wanted = member.select(F.xxhash64("key").alias("hash")).distinct()
+    if wanted.count() <= MOST_HASHES:
+        texts = texts.join(F.broadcast(wanted), F.xxhash64("row_key") == F.col("hash"), "left_semi")
+    texts = texts.dropDuplicates(["row_key"])
     links = _forest(texts.join(placed, "row_key"), ["class", "cell"], lambda t: _by_sets(t, width, similar), 64)
     linked = written(spark, components(spark, links), "near-components")
 
@@ -286,18 +293,26 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, id_
     """The rows of ``docs``, whole, without near-duplicates: of each component one row with its least id stays.
 
     Rows without words have no duplicates and stay; a component of null ids only keeps one row."""
+    spark = docs.sparkSession
     found = classes(docs, width, similar, id_col, text_col)
-    least = (
-        found.filter("node IS NOT NULL AND (kept OR component_id IS NULL)")
-        .select("row_key", "component_id", "node")
+    some = found.filter("node IS NOT NULL")
+    chosen = (
+        some.filter("kept OR component_id IS NULL")
         .groupBy(F.coalesce(F.col("component_id").cast("string"), F.hex("node")).alias("component"))
         .agg(F.min("row_key").alias("row_key"))
-        .select("row_key")
+        .select("row_key", F.lit(True).alias("chosen"))
     )
+    # what becomes of a key's rows, where they are not one row that stays
+    fate = some.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).join(chosen, "row_key", "left")
+    fate = written(spark, fate.filter("chosen IS NULL OR n > 1").select(F.col("row_key").alias("_key"), F.col("chosen").isNotNull().alias("_again")), "near-fates")
     names = [F.col(f"`{n}`") for n in docs.columns]
-    rows = docs.select(F.struct(*names).alias("_row"), _row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
-    bare = ~F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    first = rows.filter(~bare).join(least.withColumnRenamed("row_key", "_key"), "_key")
-    # repeated rows: one of them
-    once = first.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row")))).filter("_nth = 1")
-    return rows.filter(bare).select("_row.*").union(once.select("_row.*"))
+    rows = docs.select(F.struct(*names).alias("_row"), F.coalesce(_row_key(id_col, text_col), F.lit("")).alias("_key"))
+    first = Window.partitionBy("_key").orderBy(F.xxhash64("_row"))
+    once = lambda r: r.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row.*")
+    if fate.count() <= MOST_KEYS:
+        # only rows that are repeated are shuffled
+        decided = rows.join(F.broadcast(fate), "_key", "left")
+        return decided.filter("_again IS NULL").select("_row.*").union(once(decided.filter("_again")))
+    # rows without words are many under one key; they stay where they are
+    bare = ~F.coalesce(F.col("_row")[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return rows.filter(bare).select("_row.*").union(once(rows.filter(~bare).join(fate, "_key", "left").filter("_again IS NULL OR _again")))

@@ -5,9 +5,9 @@ hashed byte pairs; a gated attention layer weighs the passages (softmax of w . (
 logistic layer scores the weighted mean.  Encoder, attention and classifier are learned together from the labels of
 documents (Adam on the cross-entropy).  Whole texts are encoded, in fitting and in scoring.
 
-The fit runs on a bounded sample of labelled rows: ``SAMPLE`` documents, the first by a hash of the id; of these, bags
-of more than ``MAX_BAG`` passages are left out of the fit, which bounds what reaches the driver.  Scoring covers every
-row in tasks.
+The fit runs on a bounded sample of labelled rows: the first ``SAMPLE`` documents by a hash of the id, up to ``MOST_PASSAGES`` passages
+together, which bounds what reaches the driver (a document of more passages than that takes no part in the fit).  So long documents are fitted like
+short ones.  Scoring covers every row in tasks.
 
 Defined results: a null or an empty text has one empty passage and is scored like any other; without labels the
 score is 0.5 everywhere, with one label only it is that label's smoothed share; an id with several labels has their
@@ -22,15 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrays import words_of
-from lodestone.llm.common import slices
+from lodestone.llm.common import n_words, slices
 
 PASSAGE = 64
 SAMPLE = 6000
-MAX_BAG = 256
+MOST_PASSAGES = 150_000
 PAIRS = 32
 CLASSES = 8
 WIDTH = CLASSES + 10 + PAIRS
@@ -184,8 +184,12 @@ def train(
     )
     # a bounded number of ids
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    # one row an id, so no more than the sample comes to the driver
-    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label", "_id")
+    # one row an id, in the order of the hash while the passages fit; no more than the bounds come to the driver
+    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    rows = rows.withColumn("_n", F.greatest(F.lit(1), F.ceil(n_words(F.col("_text")) / PASSAGE))).filter(F.col("_n") <= MOST_PASSAGES)
+    upto = F.sum("_n").over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = rows.select("_id", "_n").withColumn("_upto", upto).filter(F.col("_upto") <= MOST_PASSAGES).select("_id")
+    rows = rows.join(F.broadcast(fitting), "_id", "left_semi").select("_text", "_label", "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,12 +197,10 @@ def train(
                 part = batch.slice(at, n)
                 passages, bags = encode(part.column(0).to_pylist())
                 ends = np.cumsum(bags)
-                small = bags <= MAX_BAG
-                held = [passages[e - b : e].tobytes() if ok else None for e, b, ok in zip(ends, bags, small, strict=True)]
+                held = [passages[e - b : e].tobytes() for e, b in zip(ends, bags, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(held, pa.binary()), part.column(1).cast(pa.int32()), part.column(2).cast(pa.string())],
-                    names=["bag", "label", "id"],
-                ).filter(pa.array(small))
+                    [pa.array(held, pa.binary()), part.column(1).cast(pa.int32()), part.column(2).cast(pa.string())], names=["bag", "label", "id"]
+                )
 
     found = sorted(rows.mapInArrow(run, "bag binary, label int, id string").collect(), key=lambda r: (r["id"], bytes(r["bag"])))
     bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, WIDTH) for r in found]

@@ -168,7 +168,7 @@ def test_pipeline_runs(spark, sf_dir):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "n_tokens", "ids"]
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     kept = {r.doc_id for r in out.select("doc_id").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     assert kept and sum(labels.get(d) == 0 for d in kept) <= 2
