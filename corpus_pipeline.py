@@ -5,7 +5,9 @@ Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written
 
 Defined results: rows with null or empty texts pass through every filter that accepts their score (an empty text is scored like any
 other, is nobody's near-duplicate, has no secret, and takes no word of the mix, so it may be repeated or left out as its
-source's target asks); columns besides those of ``documents`` are carried up to the last stage; an empty table gives an
+source's target asks); very long texts go through every stage whole; of repeated rows, and of near-duplicates, one row with the least id
+stays, on a tie of ids the one whose text has the least digest; rows without words are never duplicates; null ids are documents
+like others; columns besides those of ``documents`` are carried up to the last stage, whatever their names; an empty table gives an
 empty table.
 """
 
@@ -40,8 +42,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids``."""
-    return sentencepiece_fst.encode(docs, decode=False)
+    """``doc_id``, ``n_tokens``, ``ids`` and ``decoded_sha256``, a digest of the text that the ids decode to."""
+    return sentencepiece_fst.encode(docs).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
@@ -52,7 +54,7 @@ STAGES = [
     ("sentencepiece encoding", encoded),
 ]
 
-#: The classifier is fitted and the similarity join is iterative; the tests hold the stages against brute force.
+#: The classifier is fitted and the similarity join is iterative; ``tests/llm/test_twins.py`` holds every stage against brute force.
 ORACLE_SQL = None
 
 
