@@ -1,31 +1,60 @@
 """Graph queries by frontier joins.
 
-Each step joins the frontier with the edges and drops what was seen before; steps are written, so a lost executor costs one
-step.  Edges shuffle once a step, frontiers only hold what is new."""
+Searches from many origins at once carry sets of origins as bits: a row is (node, word, 64 origins), so a step joins one row for 64 pairs of
+(origin, node), and what reaches a node by many edges is combined by ``bit_or`` before it is shuffled.  Steps are written, so a lost executor costs one
+step; a step reads the frontier, the edges and one table of what was seen.  Pairs are only written out at the end."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.storage import written
 
+WORD = 64
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """``origin``, ``node``, ``dist``: what each seed reaches in at most ``depth`` steps (None: all), itself at 0.
 
-    ``edges``: ``src``, ``dst``; ``seeds``: ``origin``, ``node``."""
-    links = written(edges.select("src", "dst").distinct(), "links")
-    seen = written(seeds.select("origin", "node").distinct().withColumn("dist", F.lit(0)), "reach")
-    front, step = seen, 0
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """``origin``, ``word``, ``bit``: places for the distinct origins, about 64 to a word; no task sorts more than a few words."""
+    origins = seeds.select("origin").distinct()
+    words = max(1, -(-origins.count() // WORD))
+    bucket = F.pmod(F.xxhash64("origin"), F.lit(words))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("origin")) - 1
+    return origins.withColumn("_bucket", bucket).withColumn("_nth", place).select("origin", F.struct("_bucket", F.floor(F.col("_nth") / WORD).alias("_more")).alias("word"), (F.col("_nth") % WORD).alias("bit"))
+
+
+def _levels(links: DataFrame, numbers: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
+    """``node``, ``word``, ``bits``, ``dist``: the origins that reach a node first after so many steps."""
+    start = seeds.join(numbers, "origin").groupBy("node", "word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit AS int))")).alias("bits"))
+    front = written(start.withColumn("dist", F.lit(0)), "front")
+    found, seen, step = front, front.select("node", "word", "bits"), 0
     while depth is None or step < depth:
         step += 1
-        new = front.join(links, front["node"] == links["src"]).select("origin", F.col("dst").alias("node")).distinct()
-        new = written(new.join(seen, ["origin", "node"], "left_anti").withColumn("dist", F.lit(step)), "front")
-        if new.isEmpty():
+        moved = front.join(links, front["node"] == links["src"]).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("moved"))
+        known = moved.join(seen, ["node", "word"], "left")
+        new = F.expr("moved & ~coalesce(bits, 0L)")
+        front = written(known.select("node", "word", new.alias("bits"), F.lit(step).alias("dist")).filter("bits <> 0"), "front")
+        if front.isEmpty():
             break
-        seen, front = seen.union(new), new
-    return seen
+        found = found.union(front)
+        seen = written(seen.union(front.select("node", "word", "bits")).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "seen")
+    return found
+
+
+def _pairs(levels: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``origin``, ``node``, ``dist`` of every bit that is set."""
+    bits = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), i -> getbit(bits, i) = 1)")).alias("bit")
+    return levels.select("node", "word", "dist", bits).join(numbers, ["word", "bit"]).select("origin", "node", "dist")
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """``origin``, ``node``, ``dist``: what each seed reaches in at most ``depth`` steps (None: all), itself at 0.
+
+    ``edges``: ``src``, ``dst``; ``seeds``: ``origin``, ``node``.  Null ends and seeds take no part.  The rows number what is asked for, origins times nodes at most."""
+    links = written(edges.select("src", "dst").distinct(), "links")
+    seeds = written(seeds.select("origin", "node").dropna().distinct(), "seeds")
+    numbers = written(_numbered(seeds), "origins")
+    return _pairs(_levels(links, numbers, seeds, depth), numbers)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -66,19 +95,14 @@ def nearest_origin(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, blocked: DataFrame, depth: int | None = None) -> DataFrame:
     """Facts that flow along edges: ``origin``, ``node``, ``clean`` (whether every such flow has passed a blocked node), ``dist`` of the best flow.
 
-    At most ``depth`` steps; None: until nothing is new, which (origin, node, clean) bounds.  With a depth a node is clean by the flows of that length only.
-    Unsanitised flows win over sanitised ones, then shorter ones.  ``blocked``: ``node``."""
-    links = written(edges.select("src", "dst").distinct(), "links")
-    stop = blocked.select(F.col("node").alias("dst"), F.lit(True).alias("_stop")).distinct()
-    best = written(seeds.select("origin", "node").distinct().select("origin", "node", F.lit(False).alias("clean"), F.lit(0).alias("dist")), "flow")
-    front, step = best, 0
-    while depth is None or step < depth:
-        step += 1
-        moved = front.join(links, front["node"] == links["src"]).join(stop, "dst", "left")
-        moved = moved.select("origin", F.col("dst").alias("node"), (F.col("clean") | F.coalesce("_stop", F.lit(False))).alias("clean")).distinct()
-        new = written(moved.withColumn("dist", F.lit(step)).join(best, ["origin", "node", "clean"], "left_anti"), "flow")
-        if new.isEmpty():
-            break
-        best, front = best.union(new), new
-    top = F.min(F.struct("clean", "dist"))
-    return best.groupBy("origin", "node").agg(top.alias("b")).select("origin", "node", "b.clean", "b.dist")
+    At most ``depth`` steps; None: until nothing is new.  With a depth a node is clean by the flows of that length only.
+    Unsanitised flows win over sanitised ones, then shorter ones.  ``blocked``: ``node``.  It is a search over nodes that stand twice, for flows
+    that have met a blocked node and for those that have not."""
+    stop = blocked.select(F.col("node").alias("dst"), F.lit(True).alias("_stop")).dropna().distinct()
+    marked = edges.select("src", "dst").distinct().join(stop, "dst", "left").withColumn("_stop", F.coalesce("_stop", F.lit(False)))
+    at = lambda node, clean: F.struct(F.col(node).alias("node"), clean.alias("clean"))
+    twice = marked.select(F.col("src"), "dst", "_stop", F.explode(F.array(F.lit(False), F.lit(True))).alias("_clean"))
+    twice = twice.select(at("src", F.col("_clean")).alias("src"), at("dst", F.col("_clean") | F.col("_stop")).alias("dst"))
+    found = reach(twice, seeds.dropna(subset=["origin", "node"]).select("origin", at("node", F.lit(False)).alias("node")), depth)
+    best = found.groupBy("origin", F.col("node.node").alias("node")).agg(F.min(F.struct("node.clean", "dist")).alias("b"))
+    return best.select("origin", "node", "b.clean", "b.dist")
