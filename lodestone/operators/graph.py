@@ -106,3 +106,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, blocked: DataFrame, depth: int
     found = reach(twice, seeds.dropna(subset=["origin", "node"]).select("origin", at("node", F.lit(False)).alias("node")), depth)
     best = found.groupBy("origin", F.col("node.node").alias("node")).agg(F.min(F.struct("node.clean", "dist")).alias("b"))
     return best.select("origin", "node", "b.clean", "b.dist")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node``, ``root``: the least node of its connected component, for every node with an edge.  ``edges``: ``src``, ``dst``, in either direction.
+
+    Alternating stars: in a round a node's larger neighbours, then its smaller ones, are tied to the least of all.  The rounds number the logarithm of
+    a component's size; each is one aggregate and one equi-join over as many edges as there were, and is written."""
+    down = lambda e: e.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    ends = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).dropna()
+    alone = ends.filter("u = v").select(F.col("u").alias("node")).distinct()
+    held, state = written(down(ends), "stars"), None
+    while True:
+        now = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+        both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = down(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        held = written(down(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)), "stars")
+    roots = held.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
+    found = held.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    return found.union(alone.join(found, "node", "left_anti").withColumn("root", F.col("node")))

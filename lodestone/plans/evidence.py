@@ -98,7 +98,7 @@ def src30(t):
 
 
 @query(
-    "src35_source_snapshot",
+    "src35_small_snapshot",
     """with d as (select coalesce(source, '') as repository_id, doc_id, strlen(text) as size, sha256(text) as digest from documents where text is not null),
       s as (select *, sum(size) over (partition by repository_id order by doc_id rows unbounded preceding) as upto from d where size <= 4000)
     select repository_id, doc_id, size, digest from s where upto <= 200000""",
@@ -112,7 +112,7 @@ def src35(t):
 
 
 @query(
-    "src35_full_snapshot",
+    "src35_source_snapshot",
     """with d as (select coalesce(source, '') as repository_id, doc_id, strlen(text) as size, sha256(text) as digest from documents where text is not null),
       s as (select *, sum(size) over (partition by repository_id order by doc_id rows unbounded preceding) as upto from d where size <= 524288)
     select repository_id, doc_id, size, digest from s where upto <= 33554432""",

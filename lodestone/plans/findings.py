@@ -253,7 +253,7 @@ def ag23(t):
     return rows.groupBy("project_id").agg(F.sum("n").alias("findings"), F.bool_or(F.col("status") == "partial").alias("truncated"), F.array_join(F.array_sort(F.collect_set("branch")), ",").alias("branches"))
 
 
-@query("so01_final_order", f"select {ROW}, row_number() over (order by {RANK}, confidence desc, {ROW}) as place from findings_v where confidence > 0.9 and disposition = 'blocking' qualify place <= 100")
+@query("so01_first_hundred", f"select {ROW}, row_number() over (order by {RANK}, confidence desc, {ROW}) as place from findings_v where confidence > 0.9 and disposition = 'blocking' qualify place <= 100")
 def so01(t):
     """The first hundred blocking ones of high confidence."""
     first = t.findings_v.filter("confidence > 0.9 and disposition = 'blocking'").orderBy(op.ordinal(F.col("severity"), op.SEVERITIES), F.desc("confidence"), *op.ROW).limit(100)
@@ -261,7 +261,7 @@ def so01(t):
     return first.select(*op.ROW, place.alias("place"))
 
 
-@query("so01_all_order", f"select {ROW}, row_number() over (order by {RANK}, confidence desc, {ROW}) as place from findings_v")
+@query("so01_final_order", f"select {ROW}, row_number() over (order by {RANK}, confidence desc, {ROW}) as place from findings_v")
 def so01_all(t):
     """Every finding's place: rows are numbered by ranges of scans within a (severity, confidence), whose counts are summed up."""
     return op.ordered(t.findings_v.withColumn("_rank", op.ordinal(F.col("severity"), op.SEVERITIES)), ["_rank"], "confidence", 1 << 16, "place").select(*op.ROW, "place")

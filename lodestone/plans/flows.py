@@ -47,7 +47,7 @@ def gr20_def_use(t):
 
 
 @query(
-    "gr09_balanced_paths",
+    "gr09_balanced_paths_within",
     """with recursive e as (select src, dst, 'call' as kind, callsite_id as site from edges_v where overlay = 'call' union all select dst, src, 'return', callsite_id from edges_v where overlay = 'call'),
     r(origin, node, stack, d) as (select fn_id, fn_id, []::bigint[], 0 from functions_v where name = 'f1'
       union select origin, e.dst, case when kind = 'call' then list_append(stack, site) when len(stack) > 0 then list_slice(stack, 1, len(stack) - 1) else stack end, d + 1
@@ -63,7 +63,7 @@ def gr09(t):
 
 
 @query(
-    "gr04_simple_paths",
+    "gr04_simple_paths_within",
     """with e as (select distinct src, dst from edges_v where overlay = 'cfg'), s as (select fn_id as o from functions_v where name = 'f1'),
     a as (select o, dst as n1 from s join e on src = o where dst <> o), b as (select o, n1, dst as n2 from a join e on src = n1 where dst not in (o, n1))
     select o as origin, o as node, o::varchar as path from s union all select o, n1, o || '>' || n1 from a union all select o, n2, o || '>' || n1 || '>' || n2 from b""",
@@ -74,11 +74,49 @@ def gr04(t):
     return paths.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
+@query(
+    "gr04_simple_paths",
+    f"""with recursive {EDGES}, g as (select distinct conv_id, src, dst from e), s as (select conv_id, min(turn) as origin from turns_v group by 1), z as (select conv_id, src as node from k where kind = 'return'),
+      r(conv_id, origin, node, path) as (select conv_id, origin, origin, [origin] from s union all select r.conv_id, origin, g.dst, list_append(path, g.dst) from r join g on g.conv_id = r.conv_id and g.src = r.node
+        where len(path) <= 10 and not list_contains(path, g.dst))
+    select conv_id, origin, node, array_to_string(path, '>') as path from r join z using (conv_id, node) where len(path) > 1""",
+)
+def gr04_whole(t):
+    """All simple paths of up to ten edges from a conversation's first turn to a turn that returns."""
+    at = lambda turn: F.struct("conv_id", F.col(turn).alias("turn"))
+    edges = _edges(t).select(at("src").alias("src"), at("dst").alias("dst"))
+    first = t.turns_v.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(at("turn").alias("origin"), at("turn").alias("node"))
+    paths = op.paths_between(edges, first, t.turns_v.filter("n_chars % 7 = 0").select(at("turn").alias("node")))
+    shown = F.array_join(F.transform("path", lambda x: x["turn"].cast("string")), ">")
+    return paths.select("origin.conv_id", F.col("origin.turn").alias("origin"), F.col("node.turn").alias("node"), shown.alias("path"))
+
+
+@query(
+    "gr09_balanced_paths",
+    """with recursive c as (select p_partkey as src, p_partkey // 3 as dst, p_partkey as site from part where p_partkey >= 3),
+    e as (select src, dst, 'call' as kind, site from c union all select q.dst, c.src, 'return', c.site from c join (select dst as at, dst from c union select dst, dst + 1 from c) q on q.at = c.dst
+      union all select p_partkey, p_partkey + 1, 'cfg', null from part where p_partkey % 3 = 0),
+    r(origin, node, stack) as (select fn_id, fn_id, []::bigint[] from functions_v where name = 'f1'
+      union select origin, e.dst, case kind when 'call' then list_append(stack, site) when 'return' then list_slice(stack, 1, len(stack) - 1) else stack end
+      from r join e on e.src = r.node where kind <> 'return' or (len(stack) > 0 and stack[-1] = site))
+    select distinct origin, node from r where len(stack) = 0""",
+)
+def gr09_whole(t):
+    """Calls to the parent type, a step aside in it, and returns to the very site: what is reached with an empty stack, on paths of any length."""
+    p = F.col("p_partkey")
+    calls = t.part.filter("p_partkey >= 3").select(p.alias("src"), F.floor(p / 3).alias("dst"), F.lit("call").alias("kind"), p.alias("site"))
+    exits = calls.select("src", F.explode(F.array(F.col("dst"), F.col("dst") + 1)).alias("at"), "site")
+    returns = exits.select(F.col("at").alias("src"), F.col("src").alias("dst"), F.lit("return").alias("kind"), "site")
+    aside = t.part.filter("p_partkey % 3 = 0").select(p.alias("src"), (p + 1).alias("dst"), F.lit("cfg").alias("kind"), F.lit(None).cast("long").alias("site"))
+    seeds = t.functions_v.filter("name = 'f1'").select(F.col("fn_id").alias("origin"), F.col("fn_id").alias("node"))
+    return op.context_balanced(calls.union(returns).union(aside), seeds)
+
+
 TYPES = "select p_partkey as type, p_partkey // 3 as parent from part where p_partkey >= 3"
 
 
 @query(
-    "gr17_dispatch",
+    "gr17_dispatch_within",
     """with m as (select distinct fn_id as type, name from functions_v), c as (select k_order, k_line, k_part, k_supp, k_price, callee as name, k_part as t0, k_part // 3 as t1, k_part // 9 as t2 from calls_v)
     select k_order, k_line, k_part, k_supp, k_price, case when m0.type is not null then t0 when m1.type is not null then t1 when m2.type is not null then t2 end as owner
     from c left join m m0 on m0.type = t0 and m0.name = 'f' || (k_part % 50 + k_line % 2) left join m m1 on k_part >= 3 and m1.type = t1 and m1.name = 'f' || (k_part % 50 + k_line % 2) left join m m2 on k_part // 3 >= 3 and m2.type = t2 and m2.name = 'f' || (k_part % 50 + k_line % 2)""",
@@ -107,7 +145,7 @@ def _hierarchy(t):
 
 
 @query(
-    "gr17_all_dispatch",
+    "gr17_dispatch",
     f"""with recursive {UP}, {WANTED}, o as (select w.type, w.name, arg_min(anc, d) as owner from w join up on sub = w.type join functions_v f on f.fn_id = anc and f.name = w.name group by 1, 2)
     select k_order, k_line, k_part, k_supp, k_price, owner from calls_v left join o on o.type = k_part and o.name = 'f' || (k_part % 50 + k_line % 2)""",
 )

@@ -50,22 +50,22 @@ def gr03(t):
     return op.reach(t.edges_v, _seeds(t)).select("origin", "node")
 
 
-@query("gr05_distances", _walk(3) + "select origin, node, dist from walk")
+@query("gr05_distances_within", _walk(3) + "select origin, node, dist from walk")
 def gr05(t):
     return op.reach(t.edges_v, _seeds(t), 3)
 
 
-@query("gr05_all_distances", _closure() + "select origin, node, dist from walk")
+@query("gr05_distances", _closure() + "select origin, node, dist from walk")
 def gr05_all(t):
     return op.reach(t.edges_v, _seeds(t))
 
 
-@query("gr05_shortest_parents", _walk(3) + "select w.origin, w.node, w.dist, (select min(p.node) from walk p join edges_v e on e.src = p.node and e.dst = w.node where p.origin = w.origin and p.dist = w.dist - 1) as parent from walk w")
+@query("gr05_shortest_parents_within", _walk(3) + "select w.origin, w.node, w.dist, (select min(p.node) from walk p join edges_v e on e.src = p.node and e.dst = w.node where p.origin = w.origin and p.dist = w.dist - 1) as parent from walk w")
 def gr05_parents(t):
     return op.shortest_parents(t.edges_v, op.reach(t.edges_v, _seeds(t), 3))
 
 
-@query("gr05_all_parents", _closure() + "select w.origin, w.node, any_value(w.dist) as dist, min(p.node) as parent from walk w left join edges_v e on e.dst = w.node left join walk p on p.origin = w.origin and p.node = e.src and p.dist = w.dist - 1 group by 1, 2")
+@query("gr05_shortest_parents", _closure() + "select w.origin, w.node, any_value(w.dist) as dist, min(p.node) as parent from walk w left join edges_v e on e.dst = w.node left join walk p on p.origin = w.origin and p.node = e.src and p.dist = w.dist - 1 group by 1, 2")
 def gr05_all_parents(t):
     return op.shortest_parents(t.edges_v, op.reach(t.edges_v, _seeds(t)))
 
@@ -75,17 +75,17 @@ def gr06(t):
     return t.edges_v.groupBy(F.col("src").alias("fn_id")).agg(F.count_distinct("dst").alias("callees"), F.array_join(F.array_sort(F.collect_set("overlay")), ",").alias("overlays"))
 
 
-@query("gr07_overlay_reach", _walk(4, "(select * from edges_v where overlay in ('call', 'cfg'))") + "select origin, node, dist from walk")
+@query("gr07_overlay_reach_within", _walk(4, "(select * from edges_v where overlay in ('call', 'cfg'))") + "select origin, node, dist from walk")
 def gr07(t):
     return op.reach(t.edges_v.filter(F.col("overlay").isin("call", "cfg")), _seeds(t), 4)
 
 
-@query("gr07_all_reach", _closure("(select * from edges_v where overlay in ('call', 'cfg'))") + "select origin, node, dist from walk")
+@query("gr07_overlay_reach", _closure("(select * from edges_v where overlay in ('call', 'cfg'))") + "select origin, node, dist from walk")
 def gr07_all(t):
     return op.reach(t.edges_v.filter(F.col("overlay").isin("call", "cfg")), _seeds(t))
 
 
-@query("gr08_source_sink", _walk(3) + "select origin, node as sink, dist from walk where node in (select fn_id from functions_v where name = 'f7') order by dist, origin, sink limit 100")
+@query("gr08_source_sink_within", _walk(3) + "select origin, node as sink, dist from walk where node in (select fn_id from functions_v where name = 'f7') order by dist, origin, sink limit 100")
 def gr08(t):
     """The first hundred are the feature: the enumeration has a limit of paths."""
     sinks = t.functions_v.filter("name = 'f7'").select(F.col("fn_id").alias("node"))
@@ -93,7 +93,7 @@ def gr08(t):
     return found.orderBy("dist", "origin", "node").limit(100).select("origin", F.col("node").alias("sink"), "dist")
 
 
-@query("gr08_all_source_sink", _closure() + "select origin, node as sink, dist from walk where node in (select fn_id from functions_v where name = 'f7') order by dist, origin, sink limit 100")
+@query("gr08_source_sink", _closure() + "select origin, node as sink, dist from walk where node in (select fn_id from functions_v where name = 'f7') order by dist, origin, sink limit 100")
 def gr08_all(t):
     """Paths of any length; the limit of paths is the feature."""
     sinks = t.functions_v.filter("name = 'f7'").select(F.col("fn_id").alias("node"))
@@ -101,23 +101,23 @@ def gr08_all(t):
     return found.orderBy("dist", "origin", "node").limit(100).select("origin", F.col("node").alias("sink"), "dist")
 
 
-@query("gr11_nearest_entry", _walk(3) + "select node, min(dist) as dist, arg_min(origin, (dist, origin)) as entry from walk group by 1")
+@query("gr11_nearest_entry_within", _walk(3) + "select node, min(dist) as dist, arg_min(origin, (dist, origin)) as entry from walk group by 1")
 def gr11(t):
     best = op.reach(t.edges_v, _seeds(t), 3).groupBy("node").agg(F.min(F.struct("dist", "origin")).alias("b"))
     return best.select("node", "b.dist", F.col("b.origin").alias("entry"))
 
 
-@query("gr11_all_nearest_entry", _closure() + "select node, min(dist) as dist, arg_min(origin, (dist, origin)) as entry from walk group by 1")
+@query("gr11_nearest_entry", _closure() + "select node, min(dist) as dist, arg_min(origin, (dist, origin)) as entry from walk group by 1")
 def gr11_all(t):
     return op.nearest_origin(t.edges_v, _seeds(t)).select("node", "dist", F.col("origin").alias("entry"))
 
 
-@query("gr12_reverse_paths", _walk(2, "(select dst as src, src as dst from edges_v)") + "select origin, node, dist from walk")
+@query("gr12_reverse_paths_within", _walk(2, "(select dst as src, src as dst from edges_v)") + "select origin, node, dist from walk")
 def gr12(t):
     return op.reach(t.edges_v.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _seeds(t), 2)
 
 
-@query("gr12_all_reverse", _closure("(select dst as src, src as dst from edges_v)") + "select origin, node, dist from walk")
+@query("gr12_reverse_paths", _closure("(select dst as src, src as dst from edges_v)") + "select origin, node, dist from walk")
 def gr12_all(t):
     return op.reach(t.edges_v.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _seeds(t))
 
@@ -168,7 +168,7 @@ def _flow(depth: int) -> str:
     return "with " + ", ".join(steps) + ", walk as (" + " union all ".join(f"select * from w{k}" for k in range(depth + 1)) + ") "
 
 
-@query("tn02_flows", _flow(3) + "select origin, node, (arg_min(struct_pack(c := clean, d := dist), (clean, dist))).c as clean, (arg_min(struct_pack(c := clean, d := dist), (clean, dist))).d as dist from walk group by 1, 2")
+@query("tn02_flows_within", _flow(3) + "select origin, node, (arg_min(struct_pack(c := clean, d := dist), (clean, dist))).c as clean, (arg_min(struct_pack(c := clean, d := dist), (clean, dist))).d as dist from walk group by 1, 2")
 def tn02(t):
     """TN02, TN07, TN08, WN08 within three steps: facts flow along edges; a sanitiser marks them; the best flow of each (origin, node) stays."""
     blocked = t.functions_v.filter("name in ('f5', 'f10', 'f15')").select(F.col("fn_id").alias("node"))
@@ -179,7 +179,7 @@ CLEAN = "(w.clean or e.dst in (select fn_id from functions_v where name in ('f5'
 
 
 @query(
-    "tn02_fixed_point",
+    "tn02_flows",
     f"""with recursive walk(origin, node, clean, dist) using key (origin, node, clean) as (select origin, node, false, 0 from ({SEEDS}) union select w.origin, e.dst, {CLEAN}, min(w.dist + 1) from walk w join edges_v e on e.src = w.node
       left join recurring.walk k on k.origin = w.origin and k.node = e.dst and k.clean = {CLEAN} where k.node is null group by 1, 2, 3)
     select origin, node, bool_and(clean) as clean, arg_min(dist, (clean, dist)) as dist from walk group by 1, 2""",

@@ -122,7 +122,7 @@ def gr24(t):
 
 
 @query(
-    "gr12_entry_components",
+    "gr12_entry_components_between",
     """with recursive u as (select distinct f.file_path as a, g.file_path as b from edges_v e join functions_v f on e.src = f.fn_id join functions_v g on e.dst = g.fn_id where overlay = 'call' and g.name = 'f7' and f.name = 'f1'),
     s as (select a, b from u union select b, a from u), r(a, b) as (select a, a from s union select r.a, s.b from r join s on s.a = r.b) select a as file_path, min(b) as root, count(*) as size from r group by 1""",
 )
@@ -136,7 +136,7 @@ def gr12_components(t):
 
 
 @query(
-    "gr12_all_components",
+    "gr12_entry_components",
     """with recursive u as (select distinct f.file_path as a, g.file_path as b from edges_v e join functions_v f on e.src = f.fn_id join functions_v g on e.dst = g.fn_id where overlay = 'call'),
     s as (select a, b from u union select b, a from u), r(a, b) as (select a, a from s union select r.a, s.b from r join s on s.a = r.b) select a as file_path, min(b) as root, count(*) as size from r group by 1""",
 )
@@ -144,9 +144,9 @@ def gr12_all_components(t):
     """Files that any calls connect, the least file for a name."""
     files = t.functions_v.select("fn_id", "file_path")
     e = t.edges_v.filter("overlay = 'call'").join(files.toDF("src", "a"), "src").join(files.toDF("dst", "b"), "dst")
-    links = graph.undirected(e.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    seeds = links.select(F.col("src").alias("origin"), F.col("src").alias("node")).distinct()
-    return graph.reach(links, seeds).groupBy(F.col("origin").alias("file_path")).agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("size"))
+    found = graph.components(e.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    return found.join(sizes, "root").select(F.col("node").alias("file_path"), "root", "size")
 
 
 @query("tn04_call_targets", "select c.k_order, c.k_line, c.k_part, c.k_supp, c.k_price, case when e.dst is not null then 'edge' when n.n = 1 then 'name' else 'open' end as how from calls_v c left join (select src, min(dst) as dst from edges_v where overlay = 'call' group by 1) e on e.src = c.k_part left join (select name, count(*) as n from functions_v group by 1) n on n.name = c.callee")
