@@ -186,7 +186,7 @@ def gr26(t):
 
 
 @query(
-    "jn03_overloads",
+    "jn03_place_score",
     f"""with s as (select c.k_order, c.k_line, c.k_part, c.k_supp, c.k_price, f.fn_id, case when f.file_path = c.file_path then 2 else 0 end + case when f.line_start < c.line then 1 else 0 end as score
       from calls_v c join functions_v f on f.name = c.callee),
     m as (select k_order, k_line, k_part, k_supp, k_price, max(score) as top from s group by all)

@@ -20,7 +20,7 @@ def jn01(t):
 
 
 @query(
-    "jn02_tiered_resolution",
+    "jn02_two_tiers",
     f"""with local as (select name, file_path, count(distinct fn_id) as n, min(fn_id) as id from functions_v group by 1, 2),
     everywhere as (select name, count(distinct fn_id) as n, min(fn_id) as id from functions_v group by 1)
     select {C}, case when l.n is not null then 'local' when g.n is not null then 'global' end as tier,
