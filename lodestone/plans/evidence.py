@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as fn
 from lodestone.operators.storage import Store, shared_dir
 from lodestone.plans.registry import query
-from lodestone.sources import artifacts, endpoints, evidence, files, manifests, sinks
+from lodestone.sources import artifacts, clients, endpoints, evidence, files, manifests, sinks
 
 
 @query("fn09_annotations", "select p_partkey, '@Name' || (p_partkey % 7) as name, array_to_string(list_sort([p_brand, p_type]), '|') as strings from part")
@@ -219,3 +219,42 @@ def src33(t):
     ]}))
     calls = t.calls_v.select("callee", files.language(F.col("file_path")).alias("language"), F.when(F.col("k_line") % 2 == 0, "even").alias("receiver"))
     return manifests.modelled(calls, pack).groupBy("model_id", "role", "language").agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query(
+    "src27_client_calls",
+    """with f as (select p_partkey as file_path, p_size as n, p_partkey % 4 as k, p_partkey % 3 = 0 as js from part)
+    select file_path, n + 1 as line, 'POST' as method, '/u/' || n as path, 'fetch' as client, false as dynamic from f where k = 0 and not js union all select file_path, n + 3, 'GET', '/v', 'fetch', false from f where k = 0 and not js
+    union all select file_path, n + 1, 'DELETE', '/{dynamic}/w', 'axios', true from f where k = 1 and not js union all select file_path, n + 2, 'PATCH', '/z/' || n, 'axios', false from f where k = 2 and not js
+    union all select file_path, n + 1, 'GET', '/', 'this.http', false from f where k = 3 and not js""",
+)
+def src27(t):
+    """Four ways to call; urls with queries, holes and origins; other clients, repeats, and languages that are not read."""
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    body = (
+        F.when(k == 0, F.concat(F.lit("fetch('https://h.x//u/"), n, F.lit("?a=1', {\n body, method: \"post\" });\n fetch(`/v#t`); fetch('/v'); fetch('no')")))
+        .when(k == 1, F.lit("axios.delete(`${base}/${id}/w`); Map.get('/m')").cast("string"))
+        .when(k == 2, F.concat(F.lit("call();\naxios({ method: 'patch',\n url: \"/z/"), n, F.lit("\" })")))
+        .otherwise("this.http.get( 'https://only.host' ); axios({ method: 'get' })")
+    )
+    body = F.when(k == 1, F.replace(body, F.lit("${base}/${id}"), F.lit("${id}/${id}"))).otherwise(body)
+    text = F.concat(F.repeat(F.lit("\n"), F.col("p_size").cast("int")), body)
+    files_ = t.part.select(F.col("p_partkey").alias("file_path"), F.when(F.col("p_partkey") % 3 == 0, "python").otherwise("javascript").alias("language"), text.alias("text"))
+    return clients.client_calls(files_)
+
+
+@query(
+    "src28_gateway_routes",
+    """select 'repo' || (p_size % 5) as repository_id, case when p_size % 3 = 0 then 'route-' || max(p_partkey) else 'r' || (p_size % 3) end as route_id, 'lb://s' || max(p_partkey) as uri, '/p' || p_size || '/**,/q' as patterns,
+      case when max(p_partkey) % 2 = 0 then 'GET,PUT' else '' end as methods, 'StripPrefix:1;RewritePath:/a(?<x>.*)|/b/${x}, c' as filters from part group by p_size, case when p_size % 3 = 0 then p_partkey end""",
+)
+def src28(t):
+    """Routes as configuration has them: the last of one id and its patterns counts, a nameless one has its own number."""
+    p, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    predicates = F.array(F.concat(F.lit("Path=/p"), n, F.lit("/**, /q")), F.when(p % 2 == 0, "Method=get,PUT").otherwise("After=2024-01-01"))
+    filters = F.array(F.lit("StripPrefix=1"), F.lit("RewritePath=/a(?<x>.*), '/b/${x}, c'"))
+    rows = t.part.select(F.concat(F.lit("repo"), (F.col("p_size") % 5).cast("string")).alias("repository_id"), p.alias("nth"), F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("r"), (F.col("p_size") % 3).cast("string"))).alias("id"),
+                         F.concat(F.lit("lb://s"), p.cast("string")).alias("uri"), predicates.alias("predicates"), filters.alias("filters"))
+    shown = F.array_join(F.transform("filters", lambda f: F.concat(f["name"], F.lit(":"), F.array_join(f["args"], "|"))), ";")
+    found = clients.configured_routes(rows)
+    return found.select("repository_id", "route_id", "uri", F.array_join("patterns", ",").alias("patterns"), F.array_join("methods", ",").alias("methods"), shown.alias("filters"))

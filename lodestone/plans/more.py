@@ -267,13 +267,13 @@ def lc14(t):
     return t.findings_v.join(kept, "k_part", "left").select("scan_id", "k_line", "k_part", "k_supp", "k_price", (F.col("last").isNotNull() & (F.col("line_end") <= F.col("last"))).alias("bound"))
 
 
-@query("src27_client_calls", "select page_id, ord, raw_url from (select *, row_number() over (partition by page_id, raw_url order by ord) as n from client_calls_v) where n = 1")
+@query("src27_links", "select page_id, ord, raw_url from (select *, row_number() over (partition by page_id, raw_url order by ord) as n from client_calls_v) where n = 1")
 def src27(t):
     """Calls extracted from pages by a pattern, each (page, url) once."""
     return first_of(t.client_calls_v, ["page_id", "raw_url"], ["ord"]).select("page_id", "ord", "raw_url")
 
 
-@query("src28_gateway_routes", "select repository_id, path, max(method) as method from routes_v group by 1, 2")
+@query("src28_methods", "select repository_id, path, max(method) as method from routes_v group by 1, 2")
 def src28(t):
     return t.routes_v.groupBy("repository_id", "path").agg(F.max("method").alias("method"))
 

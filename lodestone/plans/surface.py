@@ -8,6 +8,7 @@ from lodestone.functions import text as fn
 from lodestone.operators import routes as op
 from lodestone.operators.findings import first_of
 from lodestone.plans.registry import query
+from lodestone.sources import clients
 
 
 @query(
@@ -25,7 +26,7 @@ def jn12(t):
 
 
 @query(
-    "jn13_gateway",
+    "jn13_two_filters",
     """with g as (select page_id, path, page_id % 3 as strip, case when page_id % 2 = 0 then '/api' else '' end as prefix from endpoints_v)
     select page_id, prefix || '/' || array_to_string(string_split(path, '/')[strip + 2:], '/') as path from g""",
 )
@@ -35,7 +36,7 @@ def jn13(t):
 
 
 @query(
-    "jn14_observed_endpoints",
+    "jn14_pages_of_events",
     """select repository_id, e.method, count(distinct o.event_id) as observations, count(distinct e.path) as paths from observations_v o join endpoints_v e on o.event_id % 250 = e.page_id and (e.method = o.method or e.method = 'ALL') group by 1, 2""",
 )
 def jn14(t):
@@ -128,3 +129,39 @@ def st05(t):
 def st06(t):
     first = t.turns_v.groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
     return first.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("first", "role")))["role"], ",").alias("roles"))
+
+
+@query(
+    "jn13_gateway",
+    """with g as (select page_id, path, page_id % 5 as k, string_split(ltrim(path, '/'), '/') as parts from endpoints_v)
+    select page_id, regexp_replace(case k when 0 then '/api/' || array_to_string(parts[3:], '/') when 1 then '/fixed/' || (page_id % 7) when 2 then regexp_replace(path, '^/([a-z]+)/(.*)$', '/v2/\\2/\\1')
+      when 3 then regexp_replace(regexp_replace('/x/' || ltrim(path, '/'), '/+', '/', 'g'), '[0-9]+', '#', 'g') else path end, '/+', '/', 'g') as path from g""",
+)
+def jn13(t):
+    """All four filters, chained, and filters that say nothing."""
+    k, one = F.col("page_id") % 5, lambda name, *args: F.struct(F.lit(name).alias("name"), F.array(*(a if not isinstance(a, str) else F.lit(a) for a in args)).alias("args"))
+    filters = (
+        F.when(k == 0, F.array(one("StripPrefix", "2"), one("PrefixPath", "/api/")))
+        .when(k == 1, F.array(one("SetPath", F.concat(F.lit("/fixed/"), (F.col("page_id") % 7).cast("string")))))
+        .when(k == 2, F.array(one("RewritePath", "^/(?<lang>[a-z]+)/(?<rest>.*)$", "/v2/${rest}/${lang}")))
+        .when(k == 3, F.array(one("PrefixPath", "x"), one("RewritePath", "[0-9]+", "#")))
+        .otherwise(F.array(one("StripPrefix", "many"), one("AddHeader", "a")))
+    )
+    return t.endpoints_v.select("page_id", op.apply_filters(F.col("path"), filters).alias("path"))
+
+
+@query(
+    "jn14_observed_endpoints",
+    r"""with e as (select repository_id, method, path from routes_v union select repository_id, method, path from endpoints_v),
+    o as (select page_id * 1000 + ord as id, case when ord % 4 = 0 then 'POST' else 'GET' end as asked, regexp_replace(regexp_replace(regexp_replace(case when ord % 3 = 0 then '/gate' || raw_url else raw_url end, '^[a-z]+://[^/]+', ''), '[?#].*$', ''), '/+', '/', 'g') as p from client_calls_v),
+    b as (select * from o union all select id, asked, '/' || array_to_string(string_split(p, '/')[3:], '/') from o where starts_with(p, '/gate/') and asked = 'GET'),
+    m as (select distinct id, repository_id, method, path from b join e on (method = asked or method = 'ALL') and (p = path or (contains(path, '{') and regexp_full_match(p, regexp_replace(regexp_replace(path, '([.+*?^$()|])', '\\\1', 'g'), '[{][^}]*[}]', '[^/]+', 'g')))))
+    select e.repository_id, e.method, e.path, count(distinct id) as observations from e left join m on m.repository_id = e.repository_id and m.method = e.method and m.path = e.path group by 1, 2, 3""",
+)
+def jn14(t):
+    """Requests by path: straight, by templates, and behind a gateway that takes off its own segment."""
+    ends = t.routes_v.select("repository_id", "method", "path").union(t.endpoints_v.select("repository_id", "method", "path")).distinct()
+    url = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("/gate"), "raw_url")).otherwise(F.col("raw_url"))
+    seen = t.client_calls_v.select((F.col("page_id") * 1000 + F.col("ord")).alias("call_id"), F.when(F.col("ord") % 4 == 0, "POST").otherwise("GET").alias("method"), url.alias("client_path"))
+    gate = t.spark.createDataFrame([("gate", ["GET"], ["/gate/**"], [("StripPrefix", ["1"])])], f"route_id string, methods array<string>, patterns array<string>, filters array<{clients.FILTER}>")
+    return op.observed(seen, ends, gate)
