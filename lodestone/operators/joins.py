@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,39 @@ def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
     by_right = pairs.groupBy(right).agg(F.count(F.lit(1)).alias("_r"))
     both = pairs.join(by_left, left).join(by_right, right)
     return both.select(left, right, F.when((F.col("_l") == 1) & (F.col("_r") == 1), "matched").otherwise("review").alias("status"))
+
+
+def matched_lines(actual: DataFrame, expected: DataFrame, keys: Sequence[str], line: str, tolerance: int = 3) -> DataFrame:
+    """The greatest one-to-one matching of actual and expected rows of one key that are at most ``tolerance`` lines apart: ``keys``, ``line``, how many
+    of either are at the line (``actual``, ``expected``), and how many of them are matched (``actual_matched``, ``expected_matched``).
+
+    In the order of the lines each actual row takes the first expected one in reach that is left.  Rows at one line are counted first, so
+    a key has at most as many rows as its file has lines, and a key is parted wherever no two lines are within the tolerance.  Null lines match nothing and are left out."""
+    if tolerance < 0:
+        raise ValueError("the tolerance is negative")
+    count = lambda rows, name: rows.select(*keys, F.col(line).cast("long").alias("line"), *(F.lit(int(n == name)).alias(n) for n in ("actual", "expected")))
+    lines = count(actual, "actual").union(count(expected, "expected")).filter("line is not null").groupBy(*keys, "line")
+    lines = lines.agg(F.sum("actual").alias("actual"), F.sum("expected").alias("expected"))
+    over = Window.partitionBy(*keys).orderBy("line")
+    far = F.coalesce(F.col("line") - F.lag("line").over(over) > tolerance, F.lit(False)).cast("long")
+    parts = lines.withColumn("_far", far).withColumn("_part", F.sum("_far").over(over.rowsBetween(Window.unboundedPreceding, 0))).drop("_far")
+    both = parts.groupBy(*keys, "_part").agg((F.sum("actual") > 0).alias("_a"), (F.sum("expected") > 0).alias("_e"))
+    parts = parts.join(both, [*keys, "_part"])
+    alone = parts.filter("not (_a and _e)").select(*keys, "line", "actual", "expected", *(F.lit(0).cast("long").alias(f"{n}_matched") for n in ("actual", "expected")))
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("line").reset_index(drop=True)
+        at, given, left = rows["line"].tolist(), rows["actual"].tolist(), rows["expected"].tolist()
+        taken, first = [0] * len(at), 0
+        for k, n in enumerate(given):
+            while n and first < len(at) and at[first] <= at[k] + tolerance:
+                if at[first] < at[k] - tolerance or not left[first]:
+                    first += 1
+                    continue
+                m = min(n, left[first])
+                n, taken[k], left[first] = n - m, taken[k] + m, left[first] - m
+        rows["actual_matched"], rows["expected_matched"] = taken, rows["expected"] - left
+        return rows[[*keys, "line", "actual", "expected", "actual_matched", "expected_matched"]]
+
+    met = parts.filter("_a and _e").drop("_a", "_e")
+    return alone.union(met.groupBy(*keys, "_part").applyInPandas(match, alone.schema))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import flow as op
+from lodestone.operators import joins
 from lodestone.plans.registry import query
 
 KIND = "case when n_chars % 7 = 0 then 'return' when role = 'user' then 'branch' when n_chars % 5 = 0 then 'loop' else 'plain' end"
@@ -214,7 +215,7 @@ def jn04(t):
 
 
 @query(
-    "jn19_interval_matching",
+    "jn19_labels_in_reach",
     """with l as (select distinct rule_id || file_path as k, line_start as at from findings_v where severity = 'critical' and confidence > 0.97), p as (select distinct rule_id || file_path as k, line_start + 2 as at from findings_v where severity = 'critical' and confidence < 0.25)
     select l.k, count(*) as labels, count(*) filter (exists (select 1 from p where p.k = l.k and abs(p.at - l.at) <= 3)) as near from l group by 1""",
 )
@@ -368,3 +369,23 @@ def fn30(t):
     i = F.col("n_chars") % 6
     fits = (F.count(F.lit(1)) == F.count_distinct(i)) & (F.max(i) < F.count(F.lit(1)))
     return t.turns_v.groupBy("conv_id").agg(F.when(fits, "bound").otherwise("rejected").alias("batch"))
+
+
+@query(
+    "jn19_interval_matching",
+    """with recursive p as (select rule_id, file_path, line_start as at, row_number() over (partition by rule_id, file_path order by line_start) as i from findings_v where severity = 'critical' and confidence > 0.6),
+    l as (select rule_id, file_path, line_start + k_line % 5 as at, row_number() over (partition by rule_id, file_path order by line_start + k_line % 5) as j from findings_v where severity = 'critical' and confidence < 0.5),
+    r(rule_id, file_path, i, j, hits) as (select distinct rule_id, file_path, 1::bigint, 1::bigint, 0::bigint from p
+      union all select r.rule_id, r.file_path, case when l.at < p.at - 3 then i else i + 1 end, case when l.at <= p.at + 3 then j + 1 else j end, case when l.at between p.at - 3 and p.at + 3 then hits + 1 else hits end
+      from r join p using (rule_id, file_path, i) join l using (rule_id, file_path, j)),
+    best as (select rule_id, sum(hits)::bigint as tp from (select rule_id, file_path, max(hits) as hits from r group by 1, 2) group by 1)
+    select coalesce(a.rule_id, e.rule_id) as rule_id, coalesce(tp, 0)::bigint as tp, coalesce(a.n, 0) - coalesce(tp, 0)::bigint as fp, coalesce(e.n, 0) - coalesce(tp, 0)::bigint as fn
+    from (select rule_id, count(*) as n from p group by 1) a full join (select rule_id, count(*) as n from l group by 1) e using (rule_id) left join best on best.rule_id = coalesce(a.rule_id, e.rule_id)""",
+)
+def jn19_matching(t):
+    """Findings against labels within three lines, as many as can be matched one to one; counts for each rule."""
+    rows = t.findings_v.filter("severity = 'critical'")
+    labels = rows.filter("confidence < 0.5").withColumn("line_start", F.col("line_start") + F.col("k_line") % 5)
+    found = joins.matched_lines(rows.filter("confidence > 0.6"), labels, ["rule_id", "file_path"], "line_start")
+    tp, given, wanted = (F.sum(c) for c in ("actual_matched", "actual", "expected"))
+    return found.groupBy("rule_id").agg(tp.alias("tp"), (given - tp).alias("fp"), (wanted - tp).alias("fn"))
