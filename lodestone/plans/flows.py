@@ -250,7 +250,7 @@ def rl05(t):
     return t.source_lines_v.withColumn("g", guarded).filter((F.col("g") == 0) & F.contains("code", F.lit(" of "))).select("doc_id", "line")
 
 
-@query("rl15_unchecked_access", f"select fn_id, round(0.8 * case when exists (select 1 from edges_v where dst = fn_id and overlay = 'call' and src in (select fn_id from functions_v where name = 'f9')) then 0.6 else 1 end, 6) as confidence from functions_v where name in ('f1', 'f2', 'f3')")
+@query("rl15_by_names", f"select fn_id, round(0.8 * case when exists (select 1 from edges_v where dst = fn_id and overlay = 'call' and src in (select fn_id from functions_v where name = 'f9')) then 0.6 else 1 end, 6) as confidence from functions_v where name in ('f1', 'f2', 'f3')")
 def rl15(t):
     """Endpoint functions without an ownership check; a direct caller that authenticates scales the confidence."""
     guards = t.functions_v.filter("name = 'f9'").select(F.col("fn_id").alias("src"))
@@ -267,14 +267,14 @@ def tn11(t):
     return t.functions_v.join(auth, "fn_id", "left").select("fn_id", how.alias("defence"))
 
 
-@query("tn14_option_states", "select event_id, case when json_extract(props, '$.k') is null then 'missing' when json_extract(props, '$.k')::bigint % 3 = 0 then 'true' when json_extract(props, '$.k')::bigint % 3 = 1 then 'false' else 'unknown' end as state from events")
+@query("tn14_props", "select event_id, case when json_extract(props, '$.k') is null then 'missing' when json_extract(props, '$.k')::bigint % 3 = 0 then 'true' when json_extract(props, '$.k')::bigint % 3 = 1 then 'false' else 'unknown' end as state from events")
 def tn14(t):
     k = F.get_json_object("props", "$.k").cast("long")
     state = F.when(k.isNull(), "missing").when(k % 3 == 0, "true").when(k % 3 == 1, "false").otherwise("unknown")
     return t.events.select("event_id", state.alias("state"))
 
 
-@query("flt11_literal_origin", "select scan_id, line_start from findings_v group by 1, 2 having not bool_and(disposition = 'blocking')")
+@query("flt11_all_blocking", "select scan_id, line_start from findings_v group by 1, 2 having not bool_and(disposition = 'blocking')")
 def flt11(t):
     """A flow goes only if all sink calls on its line are harmless."""
     return t.findings_v.groupBy("scan_id", "line_start").agg(F.bool_and(F.col("disposition") == "blocking").alias("all_")).filter("not all_").drop("all_")

@@ -154,7 +154,7 @@ def gr25(t):
     return e.select("src", "dst", F.when(F.col("o") == "call", 0.9).otherwise(0.4).alias("confidence"))
 
 
-@query("tn01_seeds", "select fn_id, case when name in ('f1', 'f2') then 'source' when contains(qualified_name, '.m7.') then 'sink' end as kind from functions_v where name in ('f1', 'f2') or contains(qualified_name, '.m7.')")
+@query("tn01_by_names", "select fn_id, case when name in ('f1', 'f2') then 'source' when contains(qualified_name, '.m7.') then 'sink' end as kind from functions_v where name in ('f1', 'f2') or contains(qualified_name, '.m7.')")
 def tn01(t):
     kind = F.when(F.col("name").isin("f1", "f2"), "source").when(F.contains("qualified_name", F.lit(".m7.")), "sink")
     return t.functions_v.select("fn_id", kind.alias("kind")).filter("kind is not null")

@@ -166,7 +166,7 @@ def tn05(t):
     return t.turns_v.select("conv_id", "turn", F.array_join(last, ">").alias("context"))
 
 
-@query("tn06_library_model", "with m(name, kind, arg) as (values ('f1', 'source', -1), ('f7', 'sink', 0), ('f5', 'sanitizer', 0), ('f20', 'propagator', 1)) select kind, arg, count(*) as calls, count(distinct file_path) as files from calls_v join m on callee = name group by 1, 2")
+@query("tn06_model_counts", "with m(name, kind, arg) as (values ('f1', 'source', -1), ('f7', 'sink', 0), ('f5', 'sanitizer', 0), ('f20', 'propagator', 1)) select kind, arg, count(*) as calls, count(distinct file_path) as files from calls_v join m on callee = name group by 1, 2")
 def tn06(t):
     model = t.spark.createDataFrame([("f1", "source", -1), ("f7", "sink", 0), ("f5", "sanitizer", 0), ("f20", "propagator", 1)], "callee string, kind string, arg int")
     return t.calls_v.join(model, "callee").groupBy("kind", "arg").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("file_path").alias("files"))
@@ -186,13 +186,13 @@ def tn10(t):
     return marked.filter("sink and source_line is not null").select("file_path", "line", "source_line", F.coalesce(F.col("clean_line") > F.col("source_line"), F.lit(False)).alias("sanitised"))
 
 
-@query("tn13_argument_facts", "select event_id, json_extract(props, '$.k')::bigint as k, json_extract(props, '$.k') is not null as present from events")
+@query("tn13_props", "select event_id, json_extract(props, '$.k')::bigint as k, json_extract(props, '$.k') is not null as present from events")
 def tn13(t):
     facts = F.from_json("props", "k long")
     return t.events.select("event_id", facts["k"].alias("k"), facts["k"].isNotNull().alias("present"))
 
 
-@query("rl13_builtin_flows", "with r(kind, rule_id, cwe) as (values ('blocking', 'SQLI', 89), ('advisory', 'PATH', 22)) select f.file_path, r.rule_id, cwe, count(*) as n from findings_v f join r on r.kind = f.disposition where evidence_state = 'reachable' group by 1, 2, 3")
+@query("rl13_disposition_rules", "with r(kind, rule_id, cwe) as (values ('blocking', 'SQLI', 89), ('advisory', 'PATH', 22)) select f.file_path, r.rule_id, cwe, count(*) as n from findings_v f join r on r.kind = f.disposition where evidence_state = 'reachable' group by 1, 2, 3")
 def rl13(t):
     rules = t.spark.createDataFrame([("blocking", "SQLI", 89), ("advisory", "PATH", 22)], "disposition string, rule_id string, cwe int")
     rows = t.findings_v.filter("evidence_state = 'reachable'").select("file_path", "disposition")
@@ -225,7 +225,7 @@ def flt10(t):
     return sources.join(t.calls_v.filter("callee = 'f7'").select("file_path"), "file_path", "left_semi")
 
 
-@query("flt12_constant_queries", "select doc_id, line from source_lines_v where contains(code, ' of ') and not regexp_matches(code, '^[A-Z][a-z]+ [a-z ]+[.]$')")
+@query("flt12_prose_lines", "select doc_id, line from source_lines_v where contains(code, ' of ') and not regexp_matches(code, '^[A-Z][a-z]+ [a-z ]+[.]$')")
 def flt12(t):
     return t.source_lines_v.filter(F.contains("code", F.lit(" of ")) & ~F.col("code").rlike("^[A-Z][a-z]+ [a-z ]+[.]$")).select("doc_id", "line")
 
