@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import ascii_json
+
 
 def fingerprint(*parts: Column, version: str = "finding/v2") -> Column:
     """SHA-256 over a canonical JSON array of the version and the parts."""
@@ -70,3 +72,54 @@ def publishable(scans: DataFrame, project: str, started: str, finished: Column)
     """Scans that may become the baseline: none that began later had finished before them."""
     over = Window.partitionBy(project).orderBy(finished.asc(), started).rowsBetween(Window.unboundedPreceding, -1)
     return scans.withColumn("_latest", F.max(started).over(over)).withColumn("publishes", F.col("_latest").isNull() | (F.col("_latest") <= F.col(started))).drop("_latest")
+
+
+# The fingerprints of other producers that are trusted, the first one that is given before the next.
+PREFERRED = ["primaryLocationLineHash", "primaryLocationStartColumnFingerprint"]
+
+
+def producer_fingerprint(given: Column, own: Column, rule: Column, repository: Column, path: Column, preferred: list[str] | None = None) -> Column:
+    """``own`` (what this engine derives) unless a preferred producer's fingerprint is in the map ``given``; then a digest of it within its rule, repository and path.
+
+    Blank fingerprints count as missing; a producer's text never stands by itself, so it can't join findings of other rules or files."""
+    found = F.lit(None).cast("string")
+    for name in reversed(PREFERRED if preferred is None else preferred):
+        value = F.trim(F.element_at(given, F.lit(name)))
+        parts = F.to_json(F.array(F.lit("producer/v2"), F.trim(rule), F.trim(F.coalesce(repository, F.lit(""))), path, F.lit(name), value))
+        found = F.when(value != "", F.sha2(ascii_json(parts), 256)).otherwise(found)
+    return F.coalesce(found, own)
+
+
+def applicability(present: Column, affected: Column, reachable: Column, verified: Column) -> Column:
+    """What a known weakness means here, by evidence that may be missing (null): its component is present, the version is affected, a path reaches it, a run has shown it.
+
+    The first that holds: ``not_affected``, ``exploitable_in_fixture``, ``reachable``, ``version_exposed``, ``needs_evidence``."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(~F.coalesce(present, F.lit(True)) | ~F.coalesce(affected, F.lit(True)), "not_affected")
+        .when(yes(verified), "exploitable_in_fixture")
+        .when(yes(reachable) & yes(affected), "reachable")
+        .when(yes(present) & yes(affected), "version_exposed")
+        .otherwise("needs_evidence")
+    )
+
+
+def reidentified(known: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
+    """Identities after a scan: ``id``, ``status``, ``occurrences``, ``absent``, ``revision``, ``reason``.
+
+    ``known``: ``id``, ``status``, ``occurrences``, ``absent``, ``revision``, ``expires_at`` (of a decision; null: never); ``seen``: ``id``, once for each row found.
+    What is seen again counts one more and is absent no longer.  It is open again, under the next revision, where it was absent and decided as ``fixed`` or
+    ``false_positive`` (reason ``reappeared``), or where its decision has expired (``expired``, which goes first).  What is not seen stays as it is."""
+    new = seen.select("id").distinct().withColumn("_seen", F.lit(True))
+    both = known.join(new, "id", "full").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+    was_known = F.col("status").isNotNull()
+    expired = F.col("_seen") & was_known & F.coalesce(F.col("expires_at") <= now, F.lit(False))
+    again = F.col("_seen") & was_known & F.coalesce(F.col("absent"), F.lit(False)) & F.col("status").isin("fixed", "false_positive")
+    return both.select(
+        "id",
+        F.when(expired | again, "open").otherwise(F.coalesce("status", F.lit("open"))).alias("status"),
+        (F.coalesce("occurrences", F.lit(0)) + F.col("_seen").cast("long")).alias("occurrences"),
+        F.when(F.col("_seen"), False).otherwise(F.col("absent")).alias("absent"),
+        (F.coalesce("revision", F.lit(0)) + (expired | again).cast("int")).alias("revision"),
+        F.when(expired, "expired").when(again, "reappeared").alias("reason"),
+    )

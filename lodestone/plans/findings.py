@@ -65,7 +65,7 @@ def flt05(t):
     return op.visible(t.scans_v, t.members_v, 7, "triager").select("scan_id", "project_id", "status")
 
 
-@query("flt07_test_files", "select file_path, regexp_matches(file_path, '(^|/)(m1|m7)[^/]*$') as is_test, count(*) as n from findings_v group by 1, 2")
+@query("flt07_by_names", "select file_path, regexp_matches(file_path, '(^|/)(m1|m7)[^/]*$') as is_test, count(*) as n from findings_v group by 1, 2")
 def flt07(t):
     return t.findings_v.withColumn("is_test", F.col("file_path").rlike("(^|/)(m1|m7)[^/]*$")).groupBy("file_path", "is_test").agg(F.count(F.lit(1)).alias("n"))
 

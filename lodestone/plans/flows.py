@@ -315,7 +315,7 @@ def lc07(t):
     return seen.join(last, "project_id").select("project_id", "rule_id", (F.col("seen") < F.col("at")).alias("absent"))
 
 
-@query("lc11_applicability", "select p_partkey, case when p_size < 5 then 'not_affected' when p_size between 5 and 20 and p_retailprice > 950 then 'affected' when p_retailprice is null then 'unknown' else 'review' end as verdict from part")
+@query("lc11_ranges", "select p_partkey, case when p_size < 5 then 'not_affected' when p_size between 5 and 20 and p_retailprice > 950 then 'affected' when p_retailprice is null then 'unknown' else 'review' end as verdict from part")
 def lc11(t):
     verdict = F.when(F.col("p_size") < 5, "not_affected").when(F.col("p_size").between(5, 20) & (F.col("p_retailprice") > 950), "affected").when(F.col("p_retailprice").isNull(), "unknown").otherwise("review")
     return t.part.select("p_partkey", verdict.alias("verdict"))
@@ -337,7 +337,7 @@ def sm02(t):
     return t.events.select("event_id", "user_id", F.row_number().over(w).alias("fence"), held.alias("held"))
 
 
-@query("fn06_joined_paths", "select page_id, regexp_replace('/api/' || repository_id || '/' || path, '/+', '/', 'g') as route from endpoints_v")
+@query("fn06_joined_names", "select page_id, regexp_replace('/api/' || repository_id || '/' || path, '/+', '/', 'g') as route from endpoints_v")
 def fn06(t):
     return t.endpoints_v.select("page_id", F.regexp_replace(F.concat(F.lit("/api/"), "repository_id", F.lit("/"), "path"), "/+", "/").alias("route"))
 
@@ -348,7 +348,7 @@ def fn08(t):
     return t.part.select("p_partkey", F.lower(F.trim(F.regexp_replace(F.regexp_replace(full, "<[^>]*>", ""), "[^A-Za-z ]", ""))).alias("bare"))
 
 
-@query("fn25_canonical_json", """select event_id, sha256('{"id":' || event_id || ',"kind":"' || event_type || '","user":' || user_id || '}') as digest from events""")
+@query("fn25_plain_json", """select event_id, sha256('{"id":' || event_id || ',"kind":"' || event_type || '","user":' || user_id || '}') as digest from events""")
 def fn25(t):
     """Keys sorted, no blanks."""
     body = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("user")))

@@ -232,7 +232,7 @@ def wn12(t):
 
 
 @query(
-    "wn13_progress",
+    "wn13_share",
     """select conv_id, turn, round(sum(n_chars) over (partition by conv_id order by turn) / nullif(sum(n_chars) over (partition by conv_id), 0), 6) as done from turns_v""",
 )
 def wn13(t):

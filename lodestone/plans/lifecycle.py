@@ -32,7 +32,7 @@ def lc02(t):
     return rows.withColumn("fingerprint", op.legacy_fingerprint(F.col("rule_id"), F.col("file_path"), F.col("message")))
 
 
-@query("lc03_producer_precedence", "select p_partkey, coalesce(nullif(case when p_partkey % 3 = 0 then p_brand else '' end, ''), nullif(case when p_partkey % 2 = 0 then p_type else '' end, ''), substr(sha256(p_name), 1, 16)) as fingerprint from part")
+@query("lc03_two_names", "select p_partkey, coalesce(nullif(case when p_partkey % 3 = 0 then p_brand else '' end, ''), nullif(case when p_partkey % 2 = 0 then p_type else '' end, ''), substr(sha256(p_name), 1, 16)) as fingerprint from part")
 def lc03(t):
     first = F.nullif(F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(""), F.lit(""))
     second = F.nullif(F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(""), F.lit(""))

@@ -230,7 +230,7 @@ def flt12(t):
     return t.source_lines_v.filter(F.contains("code", F.lit(" of ")) & ~F.col("code").rlike("^[A-Z][a-z]+ [a-z ]+[.]$")).select("doc_id", "line")
 
 
-@query("fn10_symbols", "select fn_id, string_split(qualified_name, '.')[1] as package, string_split(qualified_name, '.')[2] as module, string_split(qualified_name, '.')[3] as symbol from functions_v")
+@query("fn10_dotted", "select fn_id, string_split(qualified_name, '.')[1] as package, string_split(qualified_name, '.')[2] as module, string_split(qualified_name, '.')[3] as symbol from functions_v")
 def fn10(t):
     part = lambda n: F.split_part("qualified_name", F.lit("."), F.lit(n))
     return t.functions_v.select("fn_id", part(1).alias("package"), part(2).alias("module"), part(3).alias("symbol"))
@@ -253,7 +253,7 @@ def fn23(t):
     return t.events.select("event_id", F.col("event_type").try_cast("long").alias("n"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
-@query("fn26_strict_json", "select event_id, json_valid(props) and not contains(props, 'NaN') and len(regexp_extract_all(props, '\"k\"')) = 1 as strict from events")
+@query("fn26_flat_json", "select event_id, json_valid(props) and not contains(props, 'NaN') and len(regexp_extract_all(props, '\"k\"')) = 1 as strict from events")
 def fn26(t):
     """Parses, holds no NaN, and names its key once."""
     ok = F.from_json("props", "map<string,string>").isNotNull() & ~F.contains("props", F.lit("NaN")) & (F.regexp_count("props", F.lit('"k"')) == 1)

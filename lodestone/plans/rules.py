@@ -120,7 +120,7 @@ def fn13(t):
     return t.source_lines_v.withColumn("snippet", F.array_join(around, "\n")).filter(F.contains("code", F.lit("Licensed"))).select("doc_id", "line", "snippet")
 
 
-@query("fn14_severity", "select event_type, case when value / 10 >= 9 then 'critical' when value / 10 >= 7 then 'high' when value / 10 >= 4 then 'medium' else 'low' end as severity, count(*) as n from events group by 1, 2")
+@query("fn14_scores", "select event_type, case when value / 10 >= 9 then 'critical' when value / 10 >= 7 then 'high' when value / 10 >= 4 then 'medium' else 'low' end as severity, count(*) as n from events group by 1, 2")
 def fn14(t):
     return t.events.groupBy("event_type", fn.severity_of(F.col("value") / 10).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -140,7 +140,7 @@ def fn27(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("fn28_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, regexp_full_match(strftime(o_orderdate, '%Y-%m-%d'), '[0-9]{4}-[0-9]{2}-[0-9]{2}') as valid from orders")
+@query("fn28_days", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, regexp_full_match(strftime(o_orderdate, '%Y-%m-%d'), '[0-9]{4}-[0-9]{2}-[0-9]{2}') as valid from orders")
 def fn28(t):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     valid = day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & (F.date_format(F.to_date(day), "yyyy-MM-dd") == day)
@@ -149,5 +149,5 @@ def fn28(t):
 
 @query("fn29_tags", "select p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(lower(p_type), ' '), lambda x: trim(x)), lambda x: x <> '')))[1:20], ',') as tags from part")
 def fn29(t):
-    tags = F.array_distinct(F.filter(F.transform(F.split(F.lower("p_type"), " "), F.trim), lambda x: x != ""))
+    tags = F.array_distinct(F.filter(F.transform(F.split(F.lower("p_type"), " "), lambda x: F.trim(x)), lambda x: x != ""))
     return t.part.select("p_partkey", F.array_join(F.slice(F.array_sort(tags), 1, 20), ",").alias("tags"))

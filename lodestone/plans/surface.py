@@ -45,7 +45,7 @@ def jn14(t):
     return pairs.groupBy("repository_id", "method").agg(F.count_distinct("event_id").alias("observations"), F.count_distinct("path").alias("paths"))
 
 
-@query("wn05_endpoint_dedup", "select repository_id, path, method, arg_min(page_id, (not auth_required, page_id)) as page_id from endpoints_v group by 1, 2, 3")
+@query("wn05_one_phase", "select repository_id, path, method, arg_min(page_id, (not auth_required, page_id)) as page_id from endpoints_v group by 1, 2, 3")
 def wn05(t):
     return first_of(t.endpoints_v, ["repository_id", "path", "method"], [~F.col("auth_required"), "page_id"]).select("repository_id", "path", "method", "page_id")
 
@@ -86,7 +86,7 @@ def fn03(t):
     return t.routes_v.select("path", fn.canonical_template(F.col("path")).alias("template"))
 
 
-@query("fn05_path_params", "select path, array_to_string(regexp_extract_all(path, '[{]([^}]*)[}]', 1), ',') as params from routes_v")
+@query("fn05_braces", "select path, array_to_string(regexp_extract_all(path, '[{]([^}]*)[}]', 1), ',') as params from routes_v")
 def fn05(t):
     return t.routes_v.select("path", F.array_join(fn.path_params(F.col("path")), ",").alias("params"))
 
