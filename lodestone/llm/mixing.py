@@ -18,7 +18,7 @@ times the size of everything; a target stops at ``cap`` times its source's size
 the others by weight until none is above.  In closed form: sources sorted by cap * size / weight are
 full up to some place, all later ones share the rest by weight.
 
-Defined results: a null text has size 0; null ids are one id, repeated rows are separate documents;
+Defined results: a null text has size 0, a very long one counts whole; null ids are one id, repeated rows are separate documents;
 documents of size 0 count as documents of their source and take 0 words; a source with no words has
 target 0 and no copies; an empty table gives an empty table; columns other than the id, text and source are not carried by
 ``mix`` (``mixed_rows`` repeats whole rows, in a table of its own names).

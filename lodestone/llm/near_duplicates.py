@@ -4,7 +4,7 @@ A document's set is its distinct ``width``-word shingles (A-Z lower-cased; a tex
 one set are one node.  A node's signature is ``SYMBOLS`` minhash values of 16 bits.  Two sets of similarity 0.8
 differ in 12.8 of 64 values on average, with a standard deviation of 3.2; the join returns every pair that differs in
 ``DISTANCE`` = 27 at most, which misses a pair of similarity exactly 0.8 once in 60,000, and one of 0.85
-practically never.
+practically never.  That share is the method's: there is no other path beside the join.
 
 The join is exact for that distance: with ``CHUNKS`` = 14 chunks a pair within 27 has a chunk with one error at most, as
 14 chunks of two errors or more make 28.  Hence for each chunk and each place of an error the other values of the
@@ -21,7 +21,8 @@ many there are.
 
 Defined results: a document without words, or with a null text, has an empty set (``n_shingles`` 0), is linked with
 nothing and is its own component; a null id has component null unless its component holds an id; ``kept`` is whether the
-id is the component's least (null ids: false); rows that share an id are separate documents of one id; repeated
+id is the component's least (null ids: false); rows that share an id are separate documents of one id, so of a component's several rows
+with its least id all are ``kept`` by ``classes``, and ``one_of_each`` keeps the one whose text has the least digest; repeated
 rows get equal results; very long texts count whole; an empty table gives an empty table; columns other than the id and the text
 are carried by ``one_of_each`` only.
 """

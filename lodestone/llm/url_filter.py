@@ -9,7 +9,8 @@ host wins, then the one with the longest path; a tie between allow and block goe
 The trie is broadcast.  ``max_rules`` bounds it: more rules are an error, not a silent truncation.
 
 Defined results: a null url, or one without ``://``, has an empty host and an empty path, fits no rule
-and gets the default verdict, as does any url that fits no rule; an empty table gives an empty table.
+and gets the default verdict, as does any url that fits no rule; a very long url is judged whole, and only as far as the trie is deep are its labels and
+segments looked up; repeated rows give repeated results; an empty table gives an empty table.
 Columns of the input other than the id and the url are not carried over, so clashing names can't occur.
 """
 

@@ -173,3 +173,11 @@ def test_pipeline_runs(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     assert kept and sum(labels.get(d) == 0 for d in kept) <= 2
     assert out.filter(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_url_ties_repeats_and_long_urls(spark):
+    """Of an allow and a block rule for one place the block counts; repeated rows and urls of any length are judged like others."""
+    rules = [("a.org", "/x/", "allow"), ("a.org", "/x/", "block"), ("org", "/", "allow")]
+    urls = [(1, "http://a.org/x/y"), (1, "http://a.org/x/y"), (2, "http://" + "b." * 2000 + "org/" + "p/" * 5000), (3, "http://a.org/" + "x" * 100_000)]
+    out = url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in out) == [(1, "a.org/x/", "block"), (1, "a.org/x/", "block"), (2, "org/", "allow"), (3, "org/", "allow")]
