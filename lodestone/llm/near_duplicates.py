@@ -191,7 +191,7 @@ def _measured(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(2), 1 << 20):
+            for at, n in slices(batch.column(2), 1 << 19):
                 part = batch.slice(at, n)
                 found, first = shingle_sets(part.column(2).to_pylist(), width)
                 size = np.diff(first)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrays import words_of
-from lodestone.llm.common import n_words, slices
+from lodestone.llm.common import slices, written
 
 PASSAGE = 64
 SAMPLE = 6000
@@ -184,25 +184,31 @@ def train(
     )
     # a bounded number of ids
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    # one row an id, in the order of the hash while the passages fit; no more than the bounds come to the driver
-    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
-    rows = rows.withColumn("_n", F.greatest(F.lit(1), F.ceil(n_words(F.col("_text")) / PASSAGE))).filter(F.col("_n") <= MOST_PASSAGES)
-    upto = F.sum("_n").over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
-    fitting = rows.select("_id", "_n").withColumn("_upto", upto).filter(F.col("_upto") <= MOST_PASSAGES).select("_id")
-    rows = rows.join(F.broadcast(fitting), "_id", "left_semi").select("_text", "_label", "_id")
+    # one row an id: ids that are repeated, if there are any, give their least text
+    several = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
+    if not several.isEmpty():
+        once = rows.join(F.broadcast(several), "_id", "left_anti")
+        rows = once.unionByName(rows.join(F.broadcast(several), "_id", "left_semi").groupBy("_id", "_label").agg(F.min("_text").alias("_text")))
+    kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(0), 1 << 20):
+            for at, n in slices(batch.column(2), 1 << 20):
                 part = batch.slice(at, n)
-                passages, bags = encode(part.column(0).to_pylist())
+                passages, bags = encode(part.column(2).to_pylist())
                 ends = np.cumsum(bags)
-                held = [passages[e - b : e].tobytes() for e, b in zip(ends, bags, strict=True)]
+                held = [passages[e - b : e].tobytes() if b <= MOST_PASSAGES else b"" for e, b in zip(ends, bags, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(held, pa.binary()), part.column(1).cast(pa.int32()), part.column(2).cast(pa.string())], names=["bag", "label", "id"]
+                    [part.column(0), part.column(1).cast(pa.int32()), pa.array(bags, pa.int64()), pa.array(held, pa.binary())], names=["id", "label", "n", "bag"]
                 )
 
-    found = sorted(rows.mapInArrow(run, "bag binary, label int, id string").collect(), key=lambda r: (r["id"], bytes(r["bag"])))
+    # in the order of the hash while the passages fit; no more than the bounds come to the driver
+    held = written(docs.sparkSession, rows.select("_id", "_label", "_text").mapInArrow(run, f"id {kind}, label int, n long, bag binary"), "quality-bags")
+    fitting = held.filter(F.col("n") <= MOST_PASSAGES)
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = fitting.select("id", "n").withColumn("_upto", upto).filter(F.col("_upto") <= MOST_PASSAGES).select("id")
+    found = held.join(F.broadcast(fitting), "id", "left_semi").collect()
+    found.sort(key=lambda r: (str(r["id"]), bytes(r["bag"])))
     bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, WIDTH) for r in found]
     return fit(bags, np.array([r["label"] for r in found], float))
 

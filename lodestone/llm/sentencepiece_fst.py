@@ -43,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes from which a unit is composed by itself.
 LONG = 96
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Distinct units whose ids a task remembers.
 REMEMBERED = 1 << 19
 _SPACE, _LINE = 0x20, 0x0A
