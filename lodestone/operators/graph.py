@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.operators.storage import written
 
 WORD = 64
+#: Categories of sinks are kinds of weaknesses; a search carries each.
+MOST_CATEGORIES = 64
 
 
 def _numbered(seeds: DataFrame) -> DataFrame:
@@ -57,6 +59,37 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
     return _pairs(_levels(links, numbers, seeds, depth), numbers)
 
 
+def reach_within(edges: DataFrame, seeds: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """As ``reach`` with a depth, and the gap: ``origin``, ``node`` of what was found in the last step and leads on to nodes that were not found."""
+    links = written(edges.select("src", "dst").distinct(), "links")
+    found = written(reach(links, seeds, depth), "reach")
+    last = found.filter(F.col("dist") == depth).select("origin", "node")
+    onward = last.join(links, last["node"] == links["src"]).select("origin", "node", "dst")
+    open_ = onward.join(found.select("origin", F.col("node").alias("dst")), ["origin", "dst"], "left_anti")
+    return found, open_.select("origin", "node").distinct()
+
+
+def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame) -> DataFrame:
+    """``origin``, ``node``, ``category``, ``sanitized``, ``dist``: the best flow of each source to each sink, on paths of any length.
+
+    ``sources``: ``origin``, ``node``; ``sinks``: ``node``, ``category``; ``sanitizers``: ``node``, ``category`` (``*``: all), which stop flows that come in at the node for sinks of that
+    category.  A flow is sanitized only if every path to the sink is; of equal ones the shortest counts.  Categories are few; the search runs over (node, category,
+    met a sanitizer) at once."""
+    kinds = sorted(r["category"] for r in sinks.select("category").dropna().distinct().limit(MOST_CATEGORIES + 1).collect())
+    if not kinds or len(kinds) > MOST_CATEGORIES:
+        raise ValueError(f"sinks have 1 to {MOST_CATEGORIES} categories")
+    every = F.array(*map(F.lit, kinds))
+    stops = sanitizers.select(F.col("node").alias("dst"), F.explode(F.when(F.col("category") == "*", every).otherwise(F.array("category"))).alias("_c"), F.lit(True).alias("_stop")).distinct()
+    wide = edges.select("src", "dst").distinct().select("src", "dst", F.explode(every).alias("_c")).join(stops, ["dst", "_c"], "left")
+    twice = wide.select("src", "dst", "_c", F.coalesce("_stop", F.lit(False)).alias("_stop"), F.explode(F.array(F.lit(False), F.lit(True))).alias("_clean"))
+    at = lambda node, clean: F.struct(F.col(node).alias("node"), F.col("_c").alias("category"), clean.alias("clean"))
+    links = twice.select(at("src", F.col("_clean")).alias("src"), at("dst", F.col("_clean") | F.col("_stop")).alias("dst"))
+    seeds = sources.select("origin", "node", F.explode(every).alias("_c")).select("origin", at("node", F.lit(False)).alias("node"))
+    found = reach(links, seeds).select("origin", "node.node", "node.category", "node.clean", "dist").join(sinks.select("node", "category").distinct(), ["node", "category"])
+    best = found.groupBy("origin", "node", "category").agg(F.min(F.struct("clean", "dist")).alias("b"))
+    return best.select("origin", "node", "category", F.col("b.clean").alias("sanitized"), "b.dist")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

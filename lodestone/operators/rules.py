@@ -63,3 +63,20 @@ def blocks_without(lines: DataFrame, key: str, line: str, start: Column, end: Co
         F.min(line).alias("block_start"), F.max(line).alias("block_end"), F.bool_or(end).alias("_closed"), F.bool_or(missing).alias("_found")
     )
     return body.filter("_closed and not _found").select(key, "block_start", "block_end")
+
+
+def absent_before(lines: DataFrame, key: str, line: str, hit: Column, guard: Column, within: int) -> DataFrame:
+    """``key``, ``line`` of lines that ``hit`` without a ``guard`` on any of the ``within`` lines before them.
+
+    Guards are carried to the lines that they excuse, so it is an equi-join: a hot document is dealt out by its lines."""
+    excused = lines.filter(guard).select(key, F.explode(F.sequence(F.col(line) + 1, F.col(line) + within)).alias(line)).distinct()
+    return lines.filter(hit).select(key, line).join(excused, [key, line], "left_anti")
+
+
+def snippets(lines: DataFrame, hits: DataFrame, key: str, line: str, code: str, context: int) -> DataFrame:
+    """``hits`` (``key``, ``line``, distinct) with ``snippet``, the text from ``context`` lines before to as many behind, and ``start``, its first line.
+
+    Each hit asks for its lines by number, so nothing sorts a whole document."""
+    asked = hits.select(key, line).distinct().select(key, F.col(line).alias("_hit"), F.explode(F.sequence(F.greatest(F.col(line) - context, F.lit(1)), F.col(line) + context)).alias(line))
+    found = asked.join(lines.select(key, line, code), [key, line]).groupBy(key, "_hit").agg(F.array_sort(F.collect_list(F.struct(line, code))).alias("_of"))
+    return found.select(key, F.col("_hit").alias(line), F.array_join(F.col(f"_of.{code}"), "\n").alias("snippet"), F.get("_of", 0)[line].alias("start"))

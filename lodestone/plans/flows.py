@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import flow as op
-from lodestone.operators import joins
+from lodestone.operators import joins, rules
 from lodestone.plans.registry import query
 
 KIND = "case when n_chars % 7 = 0 then 'return' when role = 'user' then 'branch' when n_chars % 5 = 0 then 'loop' else 'plain' end"
@@ -245,9 +245,7 @@ def jn25(t):
 @query("rl05_absent_before", "select doc_id, line from (select doc_id, line, code, coalesce(max(case when contains(code, 'with') then 1 else 0 end) over (partition by doc_id order by line rows between 3 preceding and 1 preceding), 0) as guarded from source_lines_v) where contains(code, ' of ') and guarded = 0")
 def rl05(t):
     """A line whose window before it lacks the guard."""
-    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(-3, -1)
-    guarded = F.coalesce(F.max(F.contains("code", F.lit("with")).cast("int")).over(before), F.lit(0))
-    return t.source_lines_v.withColumn("g", guarded).filter((F.col("g") == 0) & F.contains("code", F.lit(" of "))).select("doc_id", "line")
+    return rules.absent_before(t.source_lines_v, "doc_id", "line", F.contains("code", F.lit(" of ")), F.contains("code", F.lit("with")), 3)
 
 
 @query("rl15_by_names", f"select fn_id, round(0.8 * case when exists (select 1 from edges_v where dst = fn_id and overlay = 'call' and src in (select fn_id from functions_v where name = 'f9')) then 0.6 else 1 end, 6) as confidence from functions_v where name in ('f1', 'f2', 'f3')")

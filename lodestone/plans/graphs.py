@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as op
@@ -197,3 +199,19 @@ def tn02_all(t):
 def tn09(t):
     first = t.calls_v.filter("callee = 'f1'").groupBy("file_path").agg(F.min("line").alias("source_line"))
     return t.calls_v.filter("callee = 'f7'").join(first, "file_path").filter("line > source_line").select("k_order", "k_line", "k_part", "k_supp", "k_price", "source_line")
+
+
+STOPPED = "(w.clean or exists (select 1 from functions_v s where s.fn_id = e.dst and (s.name = 'f5' or (s.name = 'f10' and w.category = 'sql') or (s.name = 'f15' and w.category = 'path'))))"
+
+
+@query(
+    "tn08_sink_flows",
+    f"""with recursive walk(origin, node, category, clean, dist) using key (origin, node, category, clean) as (select origin, node, category, false, 0 from ({SEEDS}), (values ('sql'), ('path')) v(category)
+      union select w.origin, e.dst, w.category, {STOPPED}, min(w.dist + 1) from walk w join edges_v e on e.src = w.node left join recurring.walk k on k.origin = w.origin and k.node = e.dst and k.category = w.category and k.clean = {STOPPED} where k.node is null group by 1, 2, 3, 4)
+    select origin, node, category, bool_and(clean) as sanitized, arg_min(dist, (clean, dist)) as dist from walk join functions_v f on f.fn_id = node where (category = 'sql' and name in ('f7', 'f8')) or (category = 'path' and name in ('f8', 'f9')) group by 1, 2, 3""",
+)
+def tn08(t):
+    """TN07, TN08: flows into sinks of two categories; sanitizers stop all, or one of them."""
+    named = lambda pairs: functools.reduce(lambda a, b: a.union(b), (t.functions_v.filter(F.col("name") == n).select(F.col("fn_id").alias("node"), F.lit(c).alias("category")) for n, c in pairs))
+    sinks = named([("f7", "sql"), ("f8", "sql"), ("f8", "path"), ("f9", "path")])
+    return op.flows(t.edges_v, _seeds(t), sinks, named([("f5", "*"), ("f10", "sql"), ("f15", "path")]))

@@ -113,11 +113,10 @@ def fn07(t):
 
 @query(
     "fn13_snippets",
-    """select doc_id, line, array_to_string(list(code) over (partition by doc_id order by line rows between 2 preceding and 2 following), chr(10)) as snippet from source_lines_v qualify contains(code, 'Licensed')""",
+    """select doc_id, line, array_to_string(list(code) over w, chr(10)) as snippet, min(line) over w as start from source_lines_v window w as (partition by doc_id order by line rows between 2 preceding and 2 following) qualify contains(code, 'Licensed')""",
 )
 def fn13(t):
-    around = F.collect_list("code").over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(-2, 2))
-    return t.source_lines_v.withColumn("snippet", F.array_join(around, "\n")).filter(F.contains("code", F.lit("Licensed"))).select("doc_id", "line", "snippet")
+    return op.snippets(t.source_lines_v, t.source_lines_v.filter(F.contains("code", F.lit("Licensed"))), "doc_id", "line", "code", 2)
 
 
 @query("fn14_scores", "select event_type, case when value / 10 >= 9 then 'critical' when value / 10 >= 7 then 'high' when value / 10 >= 4 then 'medium' else 'low' end as severity, count(*) as n from events group by 1, 2")

@@ -107,11 +107,16 @@ def openapi(files: DataFrame) -> DataFrame:
 
 
 def joern(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and findings of JSON-lines files of three kinds of records."""
-    rows = spark.read.schema("kind string, id string, label string, source string, target string, rule string, line int").json(path)
-    nodes = rows.filter("kind = 'node'").select("id", "label")
+    """Nodes, edges and findings of JSON-lines files of three kinds of records.
+
+    A node may carry its edges as a map from a label to the edges that leave it (``outE``, each with the ``inV`` it enters); they are edges like others."""
+    leaving = "outE map<string,array<struct<id:string,inV:string>>>"
+    rows = spark.read.schema(f"kind string, id string, label string, source string, target string, rule string, line int, {leaving}").json(path)
+    nodes = rows.filter("kind = 'node'")
     edges = rows.filter("kind = 'edge'").select("source", "target", "label")
-    return nodes, edges, rows.filter("kind = 'finding'").select("rule", "id", "line")
+    inner = nodes.select(F.col("id").alias("source"), F.explode("outE").alias("label", "es")).select("source", "label", F.explode("es").alias("e"))
+    edges = edges.union(inner.filter("e.inV is not null").select("source", F.col("e.inV").alias("target"), "label"))
+    return nodes.select("id", "label"), edges, rows.filter("kind = 'finding'").select("rule", "id", "line")
 
 
 def case_labels(spark: SparkSession, path: str) -> DataFrame:

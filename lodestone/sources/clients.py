@@ -90,6 +90,8 @@ def configured_routes(routes: DataFrame) -> DataFrame:
     return last.select("repository_id", "route_id", "patterns", "r.*")
 
 
+#: A filter of a route in code; its arguments are quoted texts and numbers.
+_FILTER = r"""\.(?:strip|set|rewrite|prefix)(?:Prefix|Path)\s*\(((?:"[^"]*"|'[^']*'|[^()"'])*)\)"""
 _ROUTE = r"""\.route\s*\(\s*["']([^"']+)["']"""
 
 
@@ -100,7 +102,7 @@ def coded_routes(files: DataFrame) -> DataFrame:
     rows = files.filter(F.col("language").isin("java", "kotlin") & F.col("text").rlike(_ROUTE))
     bodies = F.arrays_zip(F.regexp_extract_all("text", F.lit(_ROUTE), F.lit(1)).alias("id"), F.slice(F.split("text", _ROUTE, -1), 2, F.size(F.regexp_extract_all("text", F.lit(_ROUTE), F.lit(0)))).alias("body"))
     each = rows.select("file_path", F.explode(bodies).alias("b")).select("file_path", F.col("b.id").alias("route_id"), F.col("b.body").alias("body"))
-    calls = F.regexp_extract_all("body", F.lit(r"\.((?:strip|set|rewrite|prefix)(?:Prefix|Path))\s*\(([^)]*)\)"), F.lit(0))
-    filters = F.transform(calls, lambda c: _filters(F.concat(F.regexp_extract(c, r"\.(\w+)", 1), F.lit("="), F.regexp_extract(c, r"\(([^)]*)\)", 1))))
+    calls = F.regexp_extract_all("body", F.lit(_FILTER), F.lit(0))
+    filters = F.transform(calls, lambda c: _filters(F.concat(F.regexp_extract(c, r"\.(\w+)", 1), F.lit("="), F.regexp_extract(c, _FILTER, 1))))
     made = each.select("file_path", "route_id", F.regexp_extract("body", r"""\.uri\s*\(\s*["']([^"']+)["']""", 1).alias("uri"), F.regexp_extract_all("body", F.lit(r"""\.path\s*\(\s*["']([^"']+)["']"""), F.lit(1)).alias("patterns"), filters.alias("filters"))
     return made.filter((F.size("patterns") > 0) & (F.col("uri") != ""))
