@@ -121,3 +121,17 @@ def after(rows: DataFrame, key: str, cursor, size: int) -> DataFrame:
     found = rows.filter(F.col(key) > cursor).orderBy(key).limit(size + 1)
     marked = found.withColumn("_nth", F.row_number().over(Window.orderBy(key))).withColumn("more", F.max("_nth").over(Window.partitionBy()) > size)
     return marked.filter(F.col("_nth") <= size).drop("_nth")
+
+
+def gate(scans: DataFrame, findings: DataFrame, severities: Sequence[str]) -> DataFrame:
+    """``scan_id``, ``exit_code`` of every scan: 2 if it did not end, 3 if it covers only a part, 1 if it has a blocking finding of one of the severities, else 0."""
+    blocked = findings.filter((F.col("disposition") == "blocking") & F.col("severity").isin(*severities)).select("scan_id").distinct().withColumn("_blocked", F.lit(True))
+    code = F.when(~F.coalesce(F.col("status").isin("completed", "partial"), F.lit(False)), 2).when(F.col("status") == "partial", 3).when(F.col("_blocked"), 1).otherwise(0)
+    return scans.join(blocked, "scan_id", "left").select("scan_id", code.alias("exit_code"))
+
+
+def budgeted_batches(rows: DataFrame, key: str, order: Sequence[str], size: int, cost: str, budget: int) -> DataFrame:
+    """Batches of ``size`` rows of a key in their order: ``key``, ``batch``, ``cost``, ``run``: whether all batches up to this one fit the budget."""
+    placed = numbered(rows, [key], order[0], 4096, list(order), "_nth")
+    batches = placed.groupBy(key, F.floor((F.col("_nth") - 1) / size).alias("batch")).agg(F.sum(cost).alias("cost"))
+    return running_sum(batches, [key], "batch", 1024, F.col("cost"), "_upto").select(key, "batch", "cost", (F.col("_upto") <= budget).alias("run"))

@@ -172,3 +172,32 @@ def dispatch_targets(wanted: DataFrame, methods: DataFrame, parents: DataFrame)
     of = written(asked.join(below.select(F.col("origin").alias("type"), F.col("node").alias("sub")), "type"), "subtypes")
     owners = dispatch_all(of.select(F.col("sub").alias("type"), "name"), methods, parents).filter("owner is not null")
     return of.join(owners.withColumnRenamed("type", "sub"), ["sub", "name"]).select("type", "name", "owner").distinct()
+
+
+def virtual_targets(wanted: DataFrame, methods: DataFrame, supers: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """``type``, ``name``, ``target``: the types whose method a virtual call on ``type`` runs.
+
+    The nearest class upwards that declares the name decides: its method if it is concrete, nothing of its own if it is abstract or static.  Without one, the classes below that one (all, if
+    none declares it) are asked for the defaults of their interfaces, the highest first; an interface that declares the name hides those it extends.  ``methods``: ``type``, ``name``,
+    ``kind`` (``concrete``, ``abstract``, ``static``, ``default``); ``supers``, ``interfaces``: ``type``, ``parent``.  Cycles end where they meet themselves."""
+    asked = written(wanted.select("type", "name").distinct(), "wanted")
+    known = written(methods.select(F.col("type").alias("at"), "name", "kind").dropDuplicates(["at", "name"]), "methods")
+    above = reach(supers.select(F.col("type").alias("src"), F.col("parent").alias("dst")), asked.select(F.col("type").alias("origin"), F.col("type").alias("node")))
+    chain = written(asked.join(above.select(F.col("origin").alias("type"), F.col("node").alias("at"), "dist"), "type").join(known, ["at", "name"], "left"), "chain")
+    stop = chain.filter("kind is not null").groupBy("type", "name").agg(F.min(F.struct("dist", "at", "kind")).alias("s"))
+    own = written(stop.filter("s.kind = 'concrete'").select("type", "name", F.col("s.at").alias("target")), "virtual")
+    below = chain.join(stop, ["type", "name"], "left").filter("s is null or dist < s.dist").join(own, ["type", "name"], "left_anti")
+    up = written(interfaces.select(F.col("type").alias("at"), "parent").distinct(), "interfaces")
+    step = lambda rows: rows.join(up, "at").select("type", "name", "dist", F.col("parent").alias("at")).distinct()
+    front = written(step(below.select("type", "name", "dist", "at")), "defaults")
+    seen, found = front, None
+    while True:
+        here = front.join(known, ["at", "name"], "left")
+        done = here.filter("kind = 'default'").select("type", "name", "dist", "at")
+        found = done if found is None else found.union(done)
+        front = written(step(here.filter("kind is null")).join(seen, ["type", "name", "dist", "at"], "left_anti"), "defaults")
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    highest = found.groupBy("type", "name").agg(F.max("dist").alias("dist"))
+    return own.union(found.join(highest, ["type", "name", "dist"]).select("type", "name", F.col("at").alias("target"))).distinct()

@@ -123,3 +123,28 @@ def reidentified(known: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
         (F.coalesce("revision", F.lit(0)) + (expired | again).cast("int")).alias("revision"),
         F.when(expired, "expired").when(again, "reappeared").alias("reason"),
     )
+
+
+def budget_state(reserved: DataFrame, settled: DataFrame, limit: int) -> DataFrame:
+    """``budget``, ``used``, ``held``, ``unknown``, ``open``: what a two-phase counter says after its reservations and settlements.
+
+    ``reserved``: ``call_id``, ``budget``, ``tokens``; ``settled``: ``call_id``, ``used`` (null: the outcome is unknown).  A settled call counts what it used; one that is open or unknown
+    keeps its whole reservation.  ``open`` is what may still be reserved of ``limit``; a call that is settled twice or was never reserved is an error."""
+    ends = settled.groupBy("call_id").agg(F.count(F.lit(1)).alias("_n"), F.max("used").alias("used"))
+    both = reserved.join(ends, "call_id", "full")
+    bad = (F.coalesce("_n", F.lit(0)) > 1) | F.col("tokens").isNull()
+    rows = both.withColumn("_ok", F.assert_true(~bad, "a call is settled twice or was never reserved")).filter("_ok is null")
+    used, held = F.coalesce(F.sum("used"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("used").isNull(), F.col("tokens"))), F.lit(0))
+    unknown = F.count_if(F.col("_n").isNotNull() & F.col("used").isNull())
+    return rows.groupBy("budget").agg(used.alias("used"), held.alias("held"), unknown.alias("unknown")).withColumn("open", F.greatest(F.lit(limit) - F.col("used") - F.col("held"), F.lit(0)))
+
+
+def lease_states(beats: DataFrame, now: Column, seconds: dict[str, int]) -> DataFrame:
+    """``job_id``, ``kind``, ``worker``, ``fence``, ``state`` (``held`` or ``expired``) of each job by its last lease.
+
+    ``beats``: ``job_id``, ``kind``, ``worker``, ``fence``, ``at``.  A job belongs to the greatest fence; beats under smaller ones came too late and count for nothing.  A lease lasts ``seconds`` of its kind
+    from its last beat."""
+    last = beats.groupBy("job_id", "kind").agg(F.max(F.struct("fence", "at", "worker")).alias("l"))
+    lasts = F.element_at(F.create_map(*(F.lit(x) for pair in seconds.items() for x in pair)), F.col("kind"))
+    held = F.unix_timestamp(now) - F.unix_timestamp("l.at") < lasts
+    return last.select("job_id", "kind", F.col("l.worker").alias("worker"), F.col("l.fence").alias("fence"), F.when(held, "held").otherwise("expired").alias("state"))

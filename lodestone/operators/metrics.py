@@ -39,3 +39,22 @@ def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
         F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{value}`)").alias("p95"),
         F.max(value).alias("most"),
     )
+
+
+def by_channel(rows: DataFrame, channel: str, kind: str, positive: Column, detected: Column) -> DataFrame:
+    """Confusion counts of each channel, and of each channel and kind (``kind`` null: all); one aggregate over both groupings."""
+    sets = rows.select(channel, positive.alias("_p"), detected.alias("_d"), F.explode(F.array(F.struct(F.col(kind).alias("k"), F.lit(False).alias("whole")), F.struct(F.lit(None).cast(rows.schema[kind].dataType).alias("k"), F.lit(True).alias("whole")))).alias("_g"))
+    counted = confusion(sets.select(channel, "_p", "_d", F.col("_g.k").alias(kind), F.col("_g.whole").alias("_whole")), [channel, kind, "_whole"], F.col("_p"), F.col("_d"))
+    return counted.drop("_whole")
+
+
+def outcome(positive: Column, detected: Column) -> Column:
+    return F.when(detected, F.when(positive, "TP").otherwise("FP")).otherwise(F.when(positive, "FN").otherwise("TN"))
+
+
+def transitions(rows: DataFrame, positive: Column, before: Column, after: Column) -> DataFrame:
+    """``transition`` (``FN->TP`` and so on), ``n``, ``kind``: ``same``, ``improvement`` (it is right now) or ``regression``."""
+    a, b = outcome(positive, before), outcome(positive, after)
+    counts = rows.groupBy(a.alias("_a"), b.alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("_a") == F.col("_b"), "same").when(F.col("_b").isin("TP", "TN"), "improvement").otherwise("regression")
+    return counts.select(F.concat("_a", F.lit("->"), "_b").alias("transition"), "n", kind.alias("kind"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import findings as op
+from lodestone.operators.digests import joined_sha256
 from lodestone.plans.registry import query
 
 RANK = "case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end"
@@ -100,7 +101,7 @@ def flt18(t):
 
 
 @query(
-    "flt19_gate",
+    "flt19_two_codes",
     """select scan_id, case when any_value(status) = 'partial' then 3 when bool_or(disposition = 'blocking' and severity in ('critical', 'high')) then 1 else 0 end as exit_code
     from scans_v join findings_v using (scan_id) group by scan_id""",
 )
@@ -239,7 +240,7 @@ def ag20(t):
     """A digest over the sorted lines of a scan, one line a distinct (path, content)."""
     line = F.concat("file_path", F.lit("\x01"), F.sha2(F.concat("rule_id", "message"), 256), F.lit("\n"))
     lines = t.findings_v.select("scan_id", line.alias("line")).distinct()
-    return lines.groupBy("scan_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("digest"))
+    return joined_sha256(lines, "scan_id", ["line"], F.col("line"))
 
 
 @query(
@@ -294,3 +295,30 @@ def so06(t):
 @query("so07_event_tail", "select event_id, event_type from events where event_id > 500 order by event_id limit 100")
 def so07(t):
     return t.events.filter("event_id > 500").orderBy("event_id").limit(100).select("event_id", "event_type")
+
+
+@query(
+    "flt19_gate",
+    """select scan_id, case when any_value(status) = 'running' then 2 when any_value(status) = 'partial' then 3 when coalesce(bool_or(disposition = 'blocking' and severity in ('critical', 'high')), false) then 1 else 0 end as exit_code
+    from scans_v left join findings_v using (scan_id) group by scan_id""",
+)
+def flt19_codes(t):
+    """2 for a scan that did not end, 3 for one that covers a part, 1 for blocking findings, 0 else; scans without findings too."""
+    return op.gate(t.scans_v, t.findings_v, ["critical", "high"])
+
+
+@query(
+    "flt22_batches",
+    f"""with r as (select {ROW}, file_path, length(message) as cost, (row_number() over (partition by file_path order by {ROW}) - 1) // 25 as batch from findings_v where confidence < 0.7),
+    b as (select file_path, batch, sum(cost) as cost from r group by 1, 2), u as (select *, sum(cost) over (partition by file_path order by batch) as upto from b) select file_path, batch, cost::bigint as cost, upto <= 3000 as run from u""",
+)
+def flt22(t):
+    """Batches of 25 of a file; once they cost more than the budget, this one and the later ones of the file are left."""
+    rows = t.findings_v.filter("confidence < 0.7").withColumn("cost", F.length("message"))
+    return op.budgeted_batches(rows, "file_path", op.ROW, 25, "cost", 3000)
+
+
+@query("so03_other_keys", f"select {ROW}, (select count(*) from findings_v) as total from findings_v order by file_path, line_start desc, {ROW} limit 40 offset 80")
+def so03(t):
+    rows = t.findings_v.select(*op.ROW, "file_path", "line_start")
+    return op.page(rows, ["file_path", F.desc("line_start"), *op.ROW], 3, 40).select(*op.ROW, "total")

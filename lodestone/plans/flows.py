@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import flow as op
 from lodestone.operators import joins, rules
+from lodestone.operators.digests import joined_sha256
 from lodestone.plans.registry import query
 
 KIND = "case when n_chars % 7 = 0 then 'return' when role = 'user' then 'branch' when n_chars % 5 = 0 then 'loop' else 'plain' end"
@@ -357,8 +358,7 @@ def fn25(t):
 def fn24(t):
     """Length-prefixed frames, so that no two sequences share a digest by chance of their joints."""
     frame = F.concat(F.length("role").cast("string"), F.lit(":"), "role", F.col("n_chars").cast("string"), F.lit(";"))
-    frames = F.array_sort(F.collect_list(F.struct("turn", frame.alias("f"))))["f"]
-    return t.turns_v.groupBy("conv_id").agg(F.sha2(F.array_join(frames, ""), 256).alias("digest"))
+    return joined_sha256(t.turns_v, "conv_id", ["turn"], frame)
 
 
 @query("fn30_verdict_binding", "with v as (select conv_id, n_chars % 6 as i from turns_v) select conv_id, case when count(*) = count(distinct i) and max(i) < count(*) then 'bound' else 'rejected' end as batch from v group by 1")
@@ -387,3 +387,30 @@ def jn19_matching(t):
     found = joins.matched_lines(rows.filter("confidence > 0.6"), labels, ["rule_id", "file_path"], "line_start")
     tp, given, wanted = (F.sum(c) for c in ("actual_matched", "actual", "expected"))
     return found.groupBy("rule_id").agg(tp.alias("tp"), (given - tp).alias("fp"), (wanted - tp).alias("fn"))
+
+
+@query(
+    "gr16_virtual_methods",
+    """with recursive c as (select a.p_partkey as type, b.p_partkey as super, case when a.p_partkey % 4 = 1 then 100000 + a.p_partkey % 10 end as iface from part a left join part b on b.p_partkey = a.p_partkey // 3 and b.p_partkey <> a.p_partkey),
+    m as (select p_partkey as type, 'm' || (p_partkey % 5) as name, case when p_partkey % 3 = 0 then 'abstract' when p_partkey % 7 = 0 then 'static' else 'concrete' end as kind from part where p_size % 2 = 0
+      union all select 100000 + i, 'm' || (i % 5), case when i % 4 = 0 then 'abstract' else 'default' end from range(10) r(i)),
+    ie(type, parent) as (select 100000 + i, 100000 + (i + 3) % 10 from range(10) r(i) where i % 2 = 0), w as (select distinct p_partkey as type, 'm' || (p_size % 5) as name from part),
+    up(type, anc, d) as (select p_partkey, p_partkey, 0 from part union all select up.type, c.super, d + 1 from up join c on c.type = up.anc where c.super is not null),
+    stop as (select w.type, w.name, min(d) as d from w join up on up.type = w.type join m on m.type = anc and m.name = w.name group by 1, 2),
+    own as (select s.type, s.name, anc as target from stop s join up on up.type = s.type and up.d = s.d join m on m.type = anc and m.name = s.name where m.kind = 'concrete'),
+    below as (select w.type, w.name, anc, up.d from w join up on up.type = w.type left join stop s on s.type = w.type and s.name = w.name left join own o on o.type = w.type and o.name = w.name where (s.d is null or up.d < s.d) and o.type is null),
+    fi(type, name, d, place) as (select b.type, b.name, b.d, iface from below b join c on c.type = b.anc where iface is not null union select fi.type, fi.name, fi.d, ie.parent from fi join ie on ie.type = fi.place left join m on m.type = fi.place and m.name = fi.name where m.type is null),
+    df as (select fi.type, fi.name, fi.d, place as target from fi join m on m.type = place and m.name = fi.name where m.kind = 'default')
+    select type, name, target from own union select type, name, target from df join (select type, name, max(d) as d from df group by type, name) using (type, name, d)""",
+)
+def gr16(t):
+    """The superclass chain first, nothing for abstract and static ones, interface defaults of the classes below the declaring one last."""
+    p, text = F.col("p_partkey"), lambda a, c: F.concat(F.lit(a), c.cast("string"))
+    faces = t.spark.range(10).select(F.col("id").alias("i"))
+    kind = F.when(p % 3 == 0, "abstract").when(p % 7 == 0, "static").otherwise("concrete")
+    methods = t.part.filter("p_size % 2 = 0").select(p.alias("type"), text("m", p % 5).alias("name"), kind.alias("kind"))
+    methods = methods.union(faces.select(F.col("i") + 100000, text("m", F.col("i") % 5), F.when(F.col("i") % 4 == 0, "abstract").otherwise("default")))
+    supers = t.part.select(p.alias("type"), F.floor(p / 3).alias("parent")).join(t.part.select(p.alias("parent")), "parent").select("type", "parent")
+    interfaces = t.part.filter("p_partkey % 4 = 1").select(p.alias("type"), (100000 + p % 10).alias("parent"))
+    extends = faces.filter("i % 2 = 0").select((F.col("i") + 100000).alias("type"), (100000 + (F.col("i") + 3) % 10).alias("parent"))
+    return op.virtual_targets(t.part.select(p.alias("type"), text("m", F.col("p_size") % 5).alias("name")), methods, supers, interfaces.union(extends))

@@ -131,7 +131,7 @@ def sm06(t):
     return t.scans_v.select("scan_id", F.when(expired, "reopened").otherwise(F.col("status")).alias("status"))
 
 
-@query("sm08_token_budget", "select conv_id, sum(n_chars) filter (role = 'assistant')::bigint as settled, coalesce(sum(n_chars) filter (role = 'user'), 0)::bigint as reserved, count(*) filter (n_chars > 500) as unknown from turns_v group by 1")
+@query("sm08_sums", "select conv_id, sum(n_chars) filter (role = 'assistant')::bigint as settled, coalesce(sum(n_chars) filter (role = 'user'), 0)::bigint as reserved, count(*) filter (n_chars > 500) as unknown from turns_v group by 1")
 def sm08(t):
     return t.turns_v.groupBy("conv_id").agg(
         F.sum(F.when(F.col("role") == "assistant", F.col("n_chars"))).alias("settled"),
@@ -166,3 +166,31 @@ def ag26(t):
     newest = t.scans_v.orderBy(F.desc("created_at"), F.desc("scan_id")).limit(100).select("scan_id")
     rows = newest.join(t.findings_v.select("scan_id", "rule_id", "file_path"), "scan_id", "left")
     return rows.groupBy("scan_id").agg(F.count("rule_id").alias("findings"), F.count_distinct("rule_id").alias("rules"), F.count_distinct("file_path").alias("files"))
+
+
+@query(
+    "sm08_token_budget",
+    """with r as (select conv_id * 1000 + turn as id, conv_id, n_chars as tokens from turns_v where role = 'user'), s as (select conv_id * 1000 + turn - 1 as id, case when n_chars % 5 > 0 then n_chars // 2 end as used from turns_v where role = 'assistant' and conv_id * 1000 + turn - 1 in (select id from r))
+    select conv_id as budget, coalesce(sum(used), 0)::bigint as used, coalesce(sum(tokens) filter (used is null), 0)::bigint as held, count(*) filter (s.id is not null and used is null) as unknown, greatest(2000 - coalesce(sum(used), 0) - coalesce(sum(tokens) filter (used is null), 0), 0)::bigint as open
+    from r left join s using (id) group by 1""",
+)
+def sm08_budget(t):
+    """A user's turn reserves, the answer settles; one answer in five has an unknown outcome."""
+    call = F.col("conv_id") * 1000 + F.col("turn")
+    reserved = t.turns_v.filter("role = 'user'").select(call.alias("call_id"), F.col("conv_id").alias("budget"), F.col("n_chars").alias("tokens"))
+    answers = t.turns_v.filter("role = 'assistant'").select((call - 1).alias("call_id"), F.when(F.col("n_chars") % 5 > 0, F.floor(F.col("n_chars") / 2)).alias("used"))
+    return op.budget_state(reserved, answers.join(reserved.select("call_id"), "call_id", "left_semi"), 2000)
+
+
+@query(
+    "sm02_leases",
+    """with b as (select user_id as job_id, case user_id % 3 when 0 then 'scan' when 1 then 'review' else 'rules' end as kind, 'w' || (event_id % 4) as worker, event_id // 50 as fence, ts from events),
+    l as (select job_id, kind, arg_max(worker, (fence, ts, worker)) as worker, max(fence) as fence, max(ts) as beat from (select *, max(fence) over (partition by job_id) as most from b) where fence = most group by 1, 2)
+    select job_id, kind, worker, fence::bigint as fence, case when epoch((select max(ts) from events)) - floor(epoch(beat)) < case kind when 'rules' then 60000 else 120000 end then 'held' else 'expired' end as state from l""",
+)
+def sm02_leases(t):
+    """The last fence holds a job, until its time without a beat is over; kinds of jobs have times of their own."""
+    kind = F.when(F.col("user_id") % 3 == 0, "scan").when(F.col("user_id") % 3 == 1, "review").otherwise("rules")
+    beats = t.events.select(F.col("user_id").alias("job_id"), kind.alias("kind"), F.concat(F.lit("w"), (F.col("event_id") % 4).cast("string")).alias("worker"), F.floor(F.col("event_id") / 50).alias("fence"), F.col("ts").cast("timestamp").alias("at"))
+    now = t.events.agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    return op.lease_states(beats, now, {"scan": 120_000, "review": 120_000, "rules": 60_000})

@@ -29,13 +29,13 @@ def ag12(t):
     return op.scores(op.confusion(t.labelled_v, ["lang"], F.col("positive"), F.col("detected")))
 
 
-@query("ag13_channels", f"with r as (select *, unnest(case when toxic = 1 then ['all', 'toxic'] else ['all', 'clean'] end) as channel from labelled_v) select channel, {COUNTS} from r group by 1")
+@query("ag13_two_channels", f"with r as (select *, unnest(case when toxic = 1 then ['all', 'toxic'] else ['all', 'clean'] end) as channel from labelled_v) select channel, {COUNTS} from r group by 1")
 def ag13(t):
     channels = F.when(F.col("toxic") == 1, F.array(F.lit("all"), F.lit("toxic"))).otherwise(F.array(F.lit("all"), F.lit("clean")))
     return op.confusion(t.labelled_v.withColumn("channel", F.explode(channels)), ["channel"], F.col("positive"), F.col("detected"))
 
 
-@query("ag14_transitions", "select case when detected = positive then 'right' else 'wrong' end as before, case when (toxic = 1) = positive then 'right' else 'wrong' end as after, count(*) as n from labelled_v group by 1, 2")
+@query("ag14_pairs", "select case when detected = positive then 'right' else 'wrong' end as before, case when (toxic = 1) = positive then 'right' else 'wrong' end as after, count(*) as n from labelled_v group by 1, 2")
 def ag14(t):
     state = lambda c: F.when(c == F.col("positive"), "right").otherwise("wrong")
     return t.labelled_v.groupBy(state(F.col("detected")).alias("before"), state(F.col("toxic") == 1).alias("after")).agg(F.count(F.lit(1)).alias("n"))
@@ -71,3 +71,24 @@ def fn21(t):
     k = t.turns_v.groupBy("role").agg(F.count(F.lit(1)).alias("k"))
     total = t.turns_v.agg(F.count(F.lit(1))).scalar()
     return k.withColumn("m", total).select("role", F.round(fn.wilson(F.col("k"), F.col("m"))[0], 6).alias("low"))
+
+
+@query(
+    "ag13_channels",
+    f"""with r as (select *, unnest(case when toxic = 1 then ['all', 'blocking'] else ['all', 'advisory'] end) as channel, doc_id % 5 + 20 as cwe from labelled_v) select channel, null::bigint as cwe, {COUNTS} from r group by channel union all select channel, cwe, {COUNTS} from r group by channel, cwe""",
+)
+def ag13_cwe(t):
+    """Every channel as a whole and by weakness."""
+    channels = F.array(F.lit("all"), F.when(F.col("toxic") == 1, "blocking").otherwise("advisory"))
+    rows = t.labelled_v.select("*", F.explode(channels).alias("channel"), (F.col("doc_id") % 5 + 20).alias("cwe"))
+    return op.by_channel(rows, "channel", "cwe", F.col("positive"), F.col("detected"))
+
+
+@query(
+    "ag14_transitions",
+    """with o as (select case when detected then case when positive then 'TP' else 'FP' end else case when positive then 'FN' else 'TN' end end as a, case when toxic = 1 then case when positive then 'TP' else 'FP' end else case when positive then 'FN' else 'TN' end end as b from labelled_v)
+    select a || '->' || b as transition, count(*) as n, case when a = b then 'same' when b in ('TP', 'TN') then 'improvement' else 'regression' end as kind from o group by a, b""",
+)
+def ag14_kinds(t):
+    """What became of every case between two reports, and which way it went."""
+    return op.transitions(t.labelled_v, F.col("positive"), F.col("detected"), F.col("toxic") == 1)

@@ -52,11 +52,13 @@ def rate_limited(events: DataFrame, seconds: int = 3600, limit: int = 2) -> Data
             state.remove()
             return
         seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        nth = seen + pd.Series(range(1, len(rows) + 1), index=rows.index)
-        state.update((seen + len(rows),))
+        for rows in batches:  # as they come; none is held
+            rows = rows.sort_values(["ts", "event_id"])
+            nth = seen + pd.Series(range(1, len(rows) + 1), index=rows.index)
+            seen += len(rows)
+            yield pd.DataFrame({"event_id": rows["event_id"], "admitted": nth <= limit})
+        state.update((seen,))
         state.setTimeoutTimestamp(max((int(key[1]) + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"], "admitted": nth <= limit})
 
     keyed = events.withWatermark("ts", LATE).withColumn("window_start", F.floor(F.unix_timestamp("ts") / seconds) * seconds)
     return keyed.groupBy("user_id", "window_start").applyInPandasWithState(
