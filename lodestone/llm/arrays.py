@@ -68,14 +68,14 @@ class Words:
         return mixed(np.add.reduceat(values, at) + size.astype(np.uint64))
 
 
-def words_of(texts: list[str | None], lower: bool = False) -> Words:
-    """Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return."""
+def words_of(texts: list[str | None], lower: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """Words are runs of bytes other than those that ``between`` marks: space, tab, line feed, vertical tab, form feed and carriage return, or more."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(data) and inside[0]:
         edge = np.concatenate(([0], edge))

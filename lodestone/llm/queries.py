@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import audio, language_id, mixing, near_duplicates, neighbours, quality, secrets, sentencepiece_fst, substrings, url_filter
+from lodestone.llm import audio, decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, sentencepiece_fst, substrings, url_filter
 from lodestone.llm.common import read, written
 
 URL_RULES = [
@@ -171,6 +171,40 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS width, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i + 9], ' '))) AS s
+  FROM items WHERE len(w) > 0),
+widths AS (SELECT DISTINCT width FROM windows),
+places AS (
+  SELECT doc_id, width, unnest(range(1, len(w) - width + 2)) AS i, w FROM words, widths WHERE len(w) >= width),
+found AS (
+  SELECT doc_id, item_id, i, width FROM (SELECT doc_id, width, i, array_to_string(w[i:i + width - 1], ' ') AS s FROM places) JOIN windows USING (width, s)),
+hits AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS j FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -183,8 +217,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_neighbours": op10_neighbours,
         "op8_telephony_audio": op8_telephony_audio,
+        "op11_decontamination": op11_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_source_mix": OP6_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_source_mix": OP6_SQL, "op11_decontamination": OP11_SQL}
