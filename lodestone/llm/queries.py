@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import audio, decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, sentencepiece_fst, substrings, url_filter
+from lodestone.llm import audio, decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, sentencepiece_fst, spelling, substrings, url_filter
 from lodestone.llm.common import read, written
 
 URL_RULES = [
@@ -205,6 +205,42 @@ FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted(read(spark, sf_dir, "documents")))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS before, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) GROUP BY 1, 2),
+bytes AS (
+  SELECT r, times, flatten(list_transform(string_split(before || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x) - 64::BIGINT] END)) AS b
+  FROM runs),
+summed AS (
+  SELECT r, times, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS h FROM bytes, crc),
+damaged AS (
+  SELECT times, CASE WHEN h % 97 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS word FROM summed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON s = words.word
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON s = words.word),
+best AS (
+  SELECT word, other, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+found AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 2 * words.n THEN other END AS form, CASE WHEN best.n >= 2 * words.n THEN best.n END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word AND k = 1),
+way(word, place, steps) AS (
+  SELECT word, word, 0 FROM found UNION ALL SELECT way.word, form, steps + 1 FROM way JOIN found ON place = found.word WHERE form IS NOT NULL),
+roots AS (SELECT word, arg_max(place, steps) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN roots USING (word)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -218,8 +254,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_neighbours": op10_neighbours,
         "op8_telephony_audio": op8_telephony_audio,
         "op11_decontamination": op11_decontamination,
+        "op12_spelling_variants": op12_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_source_mix": OP6_SQL, "op11_decontamination": OP11_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_source_mix": OP6_SQL, "op11_decontamination": OP11_SQL, "op12_spelling_variants": OP12_SQL}
