@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import audio, decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, sentencepiece_fst, spelling, substrings, url_filter
+from lodestone.llm import alignment, audio, decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, sentencepiece_fst, spelling, substrings, url_filter
 from lodestone.llm.common import read, written
 
 URL_RULES = [
@@ -241,6 +241,10 @@ SELECT word, form, root, n, n_near, form_n FROM found JOIN roots USING (word)
 """
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -255,6 +259,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_telephony_audio": op8_telephony_audio,
         "op11_decontamination": op11_decontamination,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
