@@ -12,7 +12,7 @@ that lies within any occurrence of a window is hit; a document with a hit is con
 Words are numbered by their bytes in every shard (a dictionary, no hashes), so a match is one of words.  Equal windows, of whatever items, are one search and one
 set of places: a passage that a third of the items share costs what one costs, but for the list of items that a row names.
 
-The benchmark is searched in chunks of about ``CHUNK_BYTES`` of text, one broadcast each (a longer text is a chunk of its own); one chunk is one pass
+The benchmark is searched in chunks of about ``CHUNK_BYTES`` of text, one broadcast each; one chunk is one pass
 over the corpus, without a shuffle.  With several, the documents are written once and a document's rows of all chunks are put together by key.
 
 Defined results: words are runs of digits, letters a-z (A-Z are lower-cased first) and characters beyond U+007F; a null or empty text has no words, in
@@ -24,6 +24,7 @@ benchmark finds nothing; other columns are carried over by ``clean`` only, whate
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -196,20 +197,18 @@ class Tests:
         return self.named[texts]
 
 
-def _chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """``benchmark`` in chunks, written: ``ids``, ``texts``, ``chunk``."""
+def _chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, list[int]]:
+    """``id``, ``text``, ``chunk`` of the distinct rows, written, and the chunks' numbers: dealt by hash, none beyond twice ``chunk_bytes`` and its longest text."""
     kept = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, rows in slices(batch.column(1), chunk_bytes, 1 << 30):
-                ids, texts = (batch.column(k).slice(at, rows).to_pylist() for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.string())), pa.array([texts], pa.list_(pa.string()))], names=["ids", "texts"])
-
-    # so many partitions that a chunk is filled, as far as texts are even
-    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cut = kept.repartition(max(1, round(size / chunk_bytes)), F.xxhash64("id", "text")).mapInArrow(run, "ids array<string>, texts array<string>")
-    return written(benchmark.sparkSession, cut.withColumn("chunk", F.monotonically_increasing_id()), "benchmark-chunks")
+    held = written(benchmark.sparkSession, kept, "benchmark-items")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    n = max(1, math.ceil((held.agg(F.sum(size)).first()[0] or 0) / chunk_bytes))
+    while True:
+        dealt = held.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+        sizes = dealt.groupBy("chunk").agg(F.sum(size).alias("all"), F.max(size).alias("most")).collect()
+        if all(r["all"] <= 2 * chunk_bytes + r["most"] for r in sizes):
+            return dealt, sorted(r.chunk for r in sizes)
+        n *= 2
 
 
 class _Searched:
@@ -217,13 +216,12 @@ class _Searched:
 
     def __init__(self, benchmark: DataFrame, width: int, item_col: str, text_col: str, chunk_bytes: int):
         self.context, self.width = benchmark.sparkSession.sparkContext, width
-        self.table = _chunks(benchmark, item_col, text_col, chunk_bytes)
-        self.names = [r.chunk for r in self.table.select("chunk").orderBy("chunk").toLocalIterator()]
+        self.table, self.names = _chunks(benchmark, item_col, text_col, chunk_bytes)
 
     def __iter__(self):
         for name in self.names or [None]:
-            row = self.table.filter(F.col("chunk") == name).first() if name is not None else None
-            yield self.context.broadcast(Tests(row.ids, row.texts, self.width) if row else Tests([], [], self.width))
+            rows = self.table.filter(F.col("chunk") == name).collect() if name is not None else []
+            yield self.context.broadcast(Tests([r.id for r in rows], [r.text for r in rows], self.width))
 
 
 def _judged(texts: list[str | None], tests: Tests) -> tuple[Shard, np.ndarray, np.ndarray]:
