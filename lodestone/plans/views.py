@@ -52,6 +52,7 @@ VIEWS = {
     "source_lines_v": r"""select doc_id, pos + 1 as line, txt as code from {documents} lateral view posexplode(split(text, '\\n')) t as pos, txt""",
     "routes_v": """select distinct 'repo0' as repository_id, 'ALL' as method, regexp_replace(path, '[0-9]+$', '{{id}}') as path from {endpoints_v}
         union select distinct 'repo1', 'GET', raw_url from {client_calls_v} where page_id % 2 = 0""",
+    "code_v": """select l_orderkey as fn, l_orderkey * 10 + l_linenumber as stmt, min(l_partkey % 6) as kind, min(l_suppkey) as k from {lineitem} group by 1, 2""",
     "client_paths_v": """select concat('p', cast(page_id as string)) as call_id, 'GET' as method, path as client_path from {endpoints_v}
         union all select concat('h', cast(page_id as string), '_', cast(ord as string)), 'GET', raw_url from {client_calls_v}""",
 }
