@@ -4,6 +4,9 @@ A state is which side leads and the bytes by which it leads; the next token is r
 the two, is made once and remembered under the state and the token.  A state without bytes closes a group.  The same bytes on both sides are a condition: where they differ a
 text has no tokens.
 
+Both tokenizers cut before a space between two characters that are not white space, so no side leads there: texts are split into such units, each distinct unit is encoded and run through the
+transducer once (many together, as one text), and its groups are remembered.  Tokenizers that don't cut there get whole texts.
+
 Links are all pairs of tokens of a group.  An id pair's count is the number of documents, of the whole corpus, in which it is linked:
 
 1. Documents are encoded and aligned in blocks of ``BLOCK_BYTES``.  A block keeps, of each document, the numbers of its pairs among the block's distinct
@@ -15,7 +18,7 @@ Links are all pairs of tokens of a group.  An id pair's count is the number of d
 Texts are encoded once and stay where they are.  There are at most vocabulary x vocabulary pairs, so ``MOST_BUCKETS`` buckets hold a bounded number each.
 
 Defined results: a null or an empty text has no tokens and no group (its digest is an empty string), nor has one whose joined tokens are not a space and the
-text; very long texts are encoded piece by piece, cut before a space between two characters that are not white space, where both tokenizers cut, too; repeated rows are documents
+text; very long texts are aligned whole, unit by unit; repeated rows are documents
 of their own, each counts; a null id is an id like others; an empty table gives an empty table; columns other than the id and the text are not carried over.
 """
 
@@ -27,6 +30,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
 
@@ -46,17 +50,16 @@ MARK = "▁"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
-#: Longer texts are encoded in pieces of about this length.
-PIECE_LENGTH = 1 << 18
+#: Letters of units that are encoded together.
+TOGETHER = 1 << 18
 SHELF = 256
 LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
-#: Transitions and units that are remembered.
+#: Transitions and units that are remembered, and letters of units.
 REMEMBERED = 1 << 19
-LONG_UNIT = 64
+REMEMBERED_LETTERS = 1 << 24
 #: Links of a group that are written out one by one; a larger group is counted by its distinct ids.
 WRITTEN_OUT = 1 << 12
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_UNIT = re.compile(r" +[^ ]*")
 
 
 class ByteTokens:
@@ -100,40 +103,21 @@ def _byte_letters() -> dict[str, int]:
 
 
 class PieceTokens:
-    """A ``sentencepiece`` model that puts a space before a text: ids of a text given with that space, bytes of ids.
-
-    Where no piece has a mark behind another character, texts are encoded unit by unit, cut before spaces, and units are remembered."""
+    """A ``sentencepiece`` model that puts a space before a text: ids of a text given with that space, bytes of ids."""
 
     def __init__(self, data: bytes):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
-        n = self.model.get_piece_size()
-        names = [self.model.id_to_piece(k) for k in range(n)]
+        names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(names)]
-        probe = "a  bé é ﬁ① Ａ "
+        probe = "a  bé e\u0301 ﬁ① Ａ "
         kept = b"".join(self.bytes[k] for k in self.model.encode(probe)) == b" " + probe.encode()
+        # no piece goes on over a space, and the text is taken as it is
         self.local = kept and not any(MARK in p.lstrip(MARK) for p in names)
-        self.mark = self.model.piece_to_id(MARK)
-        self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if not self.local:
-            return self.model.encode(text[1:])
-        units = _UNIT.findall(text)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        if new:
-            # the model's own space takes the place of a unit's first
-            made = dict(zip(new, self.model.encode([u[1:] for u in new], num_threads=1), strict=True))
-            if " " in made:
-                made[" "] = [self.mark]
-            long = {u: ids for u, ids in made.items() if len(u) > LONG_UNIT}
-            self.known.update((u, ids) for u, ids in made.items() if u not in long)
-            if long:
-                return list(itertools.chain.from_iterable(long.get(u) or self.known[u] for u in units))
-        return list(itertools.chain.from_iterable(map(self.known.__getitem__, units)))
+        return self.model.encode(text[1:])
 
 
 class State(dict):
@@ -204,80 +188,156 @@ class Transducer:
         return (ends_a, ends_b) if j == m else None
 
 
+@dataclass
+class Aligned:
+    """Of units or documents: ``stats`` (tokens of either side, groups, links; a row each), ``texts`` of their groups, and for each its distinct linked pairs
+    (first id << shift | second id, sorted) from ``first`` on and how often each is linked.  ``good``: whether the two sides have the same bytes, those of the text."""
+
+    stats: np.ndarray
+    texts: list[bytes]
+    first: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+    good: np.ndarray
+
+
 class Aligner:
-    """Both tokenizers and the transducer over their bytes."""
+    """Both tokenizers, the transducer over their bytes, and the units that were aligned."""
 
     def __init__(self, first: bytes, second: bytes):
         self.a, self.b = ByteTokens(first), PieceTokens(second)
         self.machine = Transducer(self.a.bytes, self.b.bytes)
         self.shift = max(1, (len(self.b.bytes) - 1).bit_length())
+        self.sizes = tuple(np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
         # what a token writes: its id and what follows it, within its side or at the end of it
         marks = [f"{k}{end}" for n, ends in ((len(self.a.bytes), ",|"), (len(self.b.bytes), ",;")) for k in range(n) for end in ends]
         self.written = np.array([len(m) for m in marks])
         self.marks = np.array(marks, dtype=f"S{self.written.max()}").view(np.uint8).reshape(len(marks), -1)
+        self.forget()
 
-    def pieces(self, text: str) -> Iterator[str]:
-        """A space and the text, cut where both tokenizers cut."""
-        text = " " + text
-        at = 0
-        while self.a.local and self.b.local and len(text) - at > 2 * PIECE_LENGTH and (cut := _CUT.search(text, at + PIECE_LENGTH)):
-            yield text[at : cut.start()]
-            at = cut.start()
-        yield text[at:] if at else text
-
-    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Both sides' ids, and where each group ends in them; empty where there are no tokens."""
-        none = (np.empty(0, np.int64),) * 4
-        if not text:
-            return none
-        parts, n, m = [], 0, 0
-        for piece in self.pieces(text):
-            a, b = self.a.encode(piece), self.b.encode(piece)
-            found = self.machine.groups(a, b)
-            if found is None or b"".join(map(self.a.bytes.__getitem__, a)) != piece.encode():
-                return none
-            ends_a, ends_b = (np.array(x, np.int64) for x in found)
-            parts.append((np.array(a, np.int64), np.array(b, np.int64), ends_a + n, ends_b + m))
-            n, m = n + len(a), m + len(b)
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
-
-    def digest(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3``: the ids of the groups; empty without tokens."""
-        if not len(ends_a):
-            return ""
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.letters = 0
+        self.known = self._none()
+
+    def _none(self) -> Aligned:
+        return Aligned(np.empty((0, 4), np.int64), [], np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+
+    def _units(self, units: list[str]) -> Aligned:
+        """Units, each without the space before it, as one text; each by itself where that is not the same."""
+        text = " " + " ".join(units)
+        data = text.encode()
+        a, b = self.a.encode(text), self.b.encode(text)
+        found = self.machine.groups(a, b) if b"".join(map(self.a.bytes.__getitem__, a)) == data else None
+        if found is None:
+            if len(units) > 1:
+                return self._joined([self._units([u]) for u in units])
+            out = self._none()
+            return Aligned(np.zeros((1, 4), np.int64), [b""], np.zeros(2, np.int64), out.pairs, out.times, np.zeros(1, bool))
+        a, b, ends_a, ends_b = (np.array(x, np.int64) for x in (a, b, *found))
+        # units of groups, by the bytes up to a group's end
+        at = np.cumsum(self.sizes[0][a])[ends_a - 1]
+        ends = np.cumsum([1 + len(u.encode()) for u in units])
+        unit = np.searchsorted(ends, at)
+        if not np.array_equal(at[np.searchsorted(at, ends)], ends):
+            raise ValueError("a tokenizer does not cut between units")
+        na, nb = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        count = lambda w: np.bincount(unit, w, len(units)).astype(np.int64)
+        stats = np.stack([count(na), count(nb), np.bincount(unit, minlength=len(units)), count(na * nb)], 1)
+        of, pairs, times = self._links(unit, a, b, ends_a, ends_b, na, nb)
+        texts = self._texts(a, b, ends_a, ends_b, np.cumsum(stats[:, 0] + stats[:, 1]))
+        return Aligned(stats, texts, np.searchsorted(of, np.arange(len(units) + 1)), pairs, times, np.ones(len(units), bool))
+
+    def _texts(self, a, b, ends_a, ends_b, ends) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` of every unit, whose tokens end at ``ends``."""
         last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         last_a[ends_a - 1] = last_b[ends_b - 1] = 1
         # the first side's tokens come behind the second's of earlier groups
         codes = np.empty(len(a) + len(b), np.int64)
         codes[np.arange(len(a)) + np.repeat(np.append(0, ends_b[:-1]), np.diff(ends_a, prepend=0))] = 2 * a + last_a
         codes[np.arange(len(b)) + np.repeat(ends_a, np.diff(ends_b, prepend=0))] = 2 * (len(self.a.bytes) + b) + last_b
-        held = hashlib.sha256()
-        width = np.arange(self.marks.shape[1])
-        for k in range(0, len(codes), 1 << 16):
-            part = codes[k : k + (1 << 16)]
-            text = self.marks[part][width < self.written[part, None]]
-            held.update(text[:-1] if k + (1 << 16) >= len(codes) else text)
-        return held.hexdigest()
-
-    def links(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct linked pairs (first id << shift | second id), sorted, and how often each is linked."""
-        na, nb = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        size = self.written[codes]
+        whole = self.marks[codes][np.arange(self.marks.shape[1]) < size[:, None]].tobytes()
+        cuts = [0, *np.cumsum(size)[ends - 1].tolist()]
+        return [whole[x : y - 1] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def _links(self, unit, a, b, ends_a, ends_b, na, nb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, pair, how often it is linked there), by unit and pair."""
         n = na * nb
         small = np.flatnonzero(n <= WRITTEN_OUT)
         each = n[small]
         group = np.repeat(small, each)
         k = np.arange(len(group)) - np.repeat(np.cumsum(each) - each, each)
         x, y = np.divmod(k, nb[group])
-        pairs = np.sort(a[(ends_a - na)[group] + x] << self.shift | b[(ends_b - nb)[group] + y])
-        starts = group_starts(pairs) if len(pairs) else np.empty(0, np.int64)
-        pairs, times = pairs[starts], np.diff(starts, append=len(pairs))
+        of, pairs = unit[group], a[(ends_a - na)[group] + x] << self.shift | b[(ends_b - nb)[group] + y]
+        times = np.ones(len(of), np.int64)
         for g in np.flatnonzero(n > WRITTEN_OUT).tolist():
             ia, ta = np.unique(a[ends_a[g] - na[g] : ends_a[g]], return_counts=True)
             ib, tb = np.unique(b[ends_b[g] - nb[g] : ends_b[g]], return_counts=True)
             pairs, times = np.append(pairs, (ia[:, None] << self.shift | ib).ravel()), np.append(times, (ta[:, None] * tb).ravel())
-        if (n > WRITTEN_OUT).any():
-            pairs, times = _summed(pairs, times)
-        return pairs, times
+            of = np.append(of, np.full(len(ia) * len(ib), unit[g]))
+        return _summed_within(of, pairs, times)
+
+    @staticmethod
+    def _joined(parts: list[Aligned]) -> Aligned:
+        first = np.append(0, np.cumsum(np.concatenate([np.diff(p.first) for p in parts])))
+        return Aligned(
+            np.concatenate([p.stats for p in parts]), list(itertools.chain.from_iterable(p.texts for p in parts)), first,
+            *(np.concatenate([getattr(p, n) for p in parts]) for n in ("pairs", "times", "good")),
+        )
+
+    def _learn(self, units: list[str]) -> None:
+        """Aligns the units that are not known."""
+        new = [u for u in dict.fromkeys(units) if u not in self.numbers]
+        if not new:
+            return
+        # a unit that ends in white space, or holds the mark that stands for a space, may read differently before another one
+        alone = [u for u in new if u[-1:].isspace() or MARK in u]
+        apart = set(alone)
+        groups, size = [[]], 0
+        for u in new:
+            if u not in apart:
+                if size > TOGETHER:
+                    groups.append([])
+                    size = 0
+                groups[-1].append(u)
+                size += len(u)
+        groups = [g for g in groups if g] + [[u] for u in alone]
+        self.known = self._joined([self.known, *(self._units(g) for g in groups)])
+        for u in itertools.chain.from_iterable(groups):
+            self.numbers[u] = len(self.numbers)
+            self.letters += len(u)
+
+    def align(self, texts: list[str | None]) -> Aligned:
+        """Documents; one without tokens has no groups."""
+        if len(self.numbers) > REMEMBERED or self.letters > REMEMBERED_LETTERS:
+            self.forget()
+        split = _CUT.split if self.a.local and self.b.local else lambda text: [text]
+        units = [split(t) if t else [] for t in texts]
+        self._learn(list(itertools.chain.from_iterable(units)))
+        known, n = self.known, len(texts)
+        numbers = [np.fromiter(map(self.numbers.__getitem__, u), np.int64, len(u)) for u in units]
+        good = np.array([bool(known.good[x].all()) for x in numbers])
+        numbers = [x if g else x[:0] for x, g in zip(numbers, good.tolist(), strict=True)]
+        texts = [b";".join(map(known.texts.__getitem__, x.tolist())) for x in numbers]
+        every, doc = np.concatenate([*numbers, np.empty(0, np.int64)]), np.repeat(np.arange(n), [len(x) for x in numbers])
+        stats = np.zeros((n, 4), np.int64)
+        np.add.at(stats, doc, known.stats[every])
+        counts = (known.first[1:] - known.first[:-1])[every]
+        at = np.repeat(known.first[every] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        of, pairs, times = _summed_within(np.repeat(doc, counts), known.pairs[at], known.times[at])
+        return Aligned(stats, texts, np.searchsorted(of, np.arange(n + 1)), pairs, times, good)
+
+
+def _summed_within(of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (owner, key) and the sums of their counts."""
+    if not len(keys):
+        return of, keys, counts
+    width = int(keys.max()).bit_length()
+    by = np.argsort(of << width | keys) if width + int(of.max()).bit_length() < 64 else np.lexsort((keys, of))
+    of, keys = of[by], keys[by]
+    starts = group_starts(of, keys)
+    return of[starts], keys[starts], np.add.reduceat(counts[by], starts)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,12 +350,16 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Differences of 64-bit numbers in planes of equal bytes, which compress well."""
-    return np.diff(numbers, prepend=0).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Differences of numbers, in as many bytes each as the largest needs, in planes of equal bytes, which compress well."""
+    steps = np.diff(numbers, prepend=0)
+    most = int(np.abs(steps).max()) if len(steps) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
+    return bytes([width]) + steps.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+    width = data[0]
+    return np.cumsum(np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T.copy().view(f"<i{width}").ravel(), dtype=np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -319,22 +383,15 @@ def _blocks(docs: DataFrame, first: str, second: str) -> DataFrame:
         for batch in batches:
             for at, rows in slices(batch.column(1), BLOCK_BYTES, 1 << 16):
                 part = batch.slice(at, rows)
-                stats, digests, pairs, times = [], [], [], []
-                for a, size in slices(part.column(1), SLICE_BYTES, 1 << 16):
-                    for text in part.column(1).slice(a, size).to_pylist():
-                        found = aligner.align(text)
-                        p, t = aligner.links(*found)
-                        stats.append((len(found[0]), len(found[1]), len(found[2]), int(t.sum())))
-                        digests.append(aligner.digest(*found))
-                        pairs.append(p)
-                        times.append(t)
+                found = [aligner.align(part.column(1).slice(a, size).to_pylist()) for a, size in slices(part.column(1), SLICE_BYTES, 1 << 16)]
+                stats, every = np.concatenate([x.stats for x in found]), np.concatenate([x.pairs for x in found])
+                digests = [hashlib.sha256(t).hexdigest() if t else "" for x in found for t in x.texts]
                 block = TaskContext.get().partitionId() << 32 | n
                 n += 1
-                every = np.concatenate(pairs)
                 distinct, numbers, held = np.unique(every, return_inverse=True, return_counts=True)
                 columns = [pa.array([block]), pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type))]
-                columns += [pa.array([list(c)], pa.list_(pa.int64())) for c in zip(*stats, strict=True)]
-                packed = [distinct, held, np.array([len(p) for p in pairs]), numbers, np.concatenate(times)]
+                columns += [pa.array([list(c)], pa.list_(pa.int64())) for c in stats.T]
+                packed = [distinct, held, np.concatenate([np.diff(x.first) for x in found]), numbers, np.concatenate([x.times for x in found])]
                 columns += [pa.array([digests], pa.list_(pa.string())), *(pa.array([_packed(x)], pa.binary()) for x in packed)]
                 names = ["block", "ids", *_STATS, "groups_sha256", "pairs", "docs", "many", "numbers", "times"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
