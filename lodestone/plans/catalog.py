@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.plans import registry
 
 FLAGSHIP = "s0_triage_report"
-MODULES = ["callrules", "evidence", "findings", "flows", "graphs", "joins", "lifecycle", "more", "programs", "quality", "relational", "resolution", "rules", "streams", "surface", "values"]
+MODULES = ["callrules", "evidence", "findings", "flows", "graphs", "joins", "lifecycle", "more", "programs", "quality", "relational", "resolution", "routes", "rules", "streams", "surface", "values"]
 for _name in MODULES:
     importlib.import_module(f"lodestone.plans.{_name}")
 
