@@ -45,9 +45,10 @@ FROM hosts
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two media tables are written and read back: the mu-law files, then the PCM at 4,000 Hz (a rate that keeps the disk in bounds)."""
+    """Two media tables are written and read back: the mu-law files, then their samples as PCM at 8,000 Hz, all of them."""
+    rate = 8000
     media = written(spark, audio.store(read(spark, sf_dir, "documents")), "audio-media")
-    found = written(spark, audio.measure(media, rate=4000), "audio-pcm")
+    found = audio.pcm_files(written(spark, audio.measure(media, rate=rate, samples=True), "audio-pcm"), rate)
     return found.select(*found.columns[:-1], F.length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
 
 

@@ -445,7 +445,7 @@ def test_audio_query_reads_its_tables_back(spark, sf_dir, texts):
     rows = {r.doc_id: r for r in queries.op8_telephony_audio(spark, sf_dir).collect()}
     assert rows.keys() == texts.keys()
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for r in audio.measure(audio.store(frame), rate=4000).collect():
+    for r in audio.measure(audio.store(frame), rate=8000).collect():
         own = rows[r.doc_id]
         assert (own.feature, own.pcm_bytes, own.pcm_sha256) == (r.feature, len(r.pcm), hashlib.sha256(r.pcm).hexdigest())
 
