@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage and survives lost executors."""
+def written(spark: SparkSession, df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage and survives lost executors; ``level``: of compression."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
