@@ -76,8 +76,11 @@ def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: Da
     category.  A flow is sanitized only if every path to the sink is; of equal ones the shortest counts.  Categories are few; the search runs over (node, category,
     met a sanitizer) at once."""
     kinds = sorted(r["category"] for r in sinks.select("category").dropna().distinct().limit(MOST_CATEGORIES + 1).collect())
-    if not kinds or len(kinds) > MOST_CATEGORIES:
-        raise ValueError(f"sinks have 1 to {MOST_CATEGORIES} categories")
+    if len(kinds) > MOST_CATEGORIES:
+        raise ValueError(f"sinks have {MOST_CATEGORIES} categories at most")
+    if not kinds:
+        none = sources.select("origin", "node").limit(0)
+        return none.select("*", F.lit("").alias("category"), F.lit(False).alias("sanitized"), F.lit(0).alias("dist"))
     every = F.array(*map(F.lit, kinds))
     stops = sanitizers.select(F.col("node").alias("dst"), F.explode(F.when(F.col("category") == "*", every).otherwise(F.array("category"))).alias("_c"), F.lit(True).alias("_stop")).distinct()
     wide = edges.select("src", "dst").distinct().select("src", "dst", F.explode(every).alias("_c")).join(stops, ["dst", "_c"], "left")

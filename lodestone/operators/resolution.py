@@ -18,6 +18,7 @@ SAME_TYPE = {
 #: The primitive types in the order in which they widen; a char widens like a short but not to it.
 WIDENING = ["byte", "short", "int", "long", "float", "double"]
 PRIMITIVES = [*WIDENING, "char", "boolean"]
+# Scores of a type and of the number of arguments.
 EXACT, CONVERTED = 4, 1
 ALL_ARGUMENTS, SOME_ARGUMENTS = 4, 2
 
@@ -27,12 +28,13 @@ def resolve(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataF
 
     The tiers: ``import`` (what the file binds the call's text to), ``qualified`` (receiver and name in the file), ``local`` (the name in the file),
     ``global`` (the name anywhere), ``suffix`` (the end of a qualified name).  A call whose first word the file imports, but to nothing that is
-    known, has no target: its tier is ``external``.
+    known, has no target: its tier is ``external``.  Each distinct (file, receiver, name) is looked up once and joined back to its calls.
 
     ``calls``: ``file_path``, ``receiver`` (null: none), ``callee``; ``functions``: ``fn_id``, ``file_path``, ``name``, ``qualified_name``;
     ``imports``: ``file_path``, ``binding``, ``fn_id`` (null: outside), where ``binding`` is the text as called, dots and all."""
+    shape = ["file_path", "receiver", "callee"]
     whole = F.concat_ws(".", "receiver", "callee")
-    asked = calls.withColumns({"_full": whole, "_owned": F.when(F.col("receiver").isNotNull(), whole), "_word": F.split_part(whole, F.lit("."), F.lit(1))})
+    asked = calls.select(*shape).distinct().withColumns({"_full": whole, "_owned": F.when(F.col("receiver").isNotNull(), whole), "_word": F.split_part(whole, F.lit("."), F.lit(1))})
     bound = imports.filter("fn_id is not null").select("file_path", F.col("binding").alias("_full"), "fn_id")
     parts = F.split("qualified_name", r"\.")
     owner = functions.select("file_path", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), ".").alias("_owned"), "fn_id")
@@ -45,9 +47,10 @@ def resolve(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataF
     found = tiered(asked, tiers, "fn_id")
     words = imports.select("file_path", F.split_part("binding", F.lit("."), F.lit(1)).alias("_word")).distinct().withColumn("_declared", F.lit(True))
     outside = F.coalesce("_declared", F.lit(False)) & ~F.coalesce(F.col("tier") == "import", F.lit(False))
-    return found.join(words, ["file_path", "_word"], "left").select(
-        *calls.columns, F.when(outside, "external").otherwise(F.col("tier")).alias("tier"), F.when(~outside, F.col("fn_id")).alias("fn_id")
+    answers = found.join(words, ["file_path", "_word"], "left").select(
+        *(F.col(c).alias(f"_{c}") for c in shape), F.when(outside, "external").otherwise(F.col("tier")).alias("tier"), F.when(~outside, F.col("fn_id")).alias("fn_id")
     )
+    return calls.join(answers, [calls[c].eqNullSafe(answers[f"_{c}"]) for c in shape], "left").select(calls["*"], "tier", "fn_id")
 
 
 def bare_type(name: Column) -> Column:

@@ -53,7 +53,7 @@ FRAMEWORKS = (
 #: What asks for a caller's identity, by the frameworks' own documentation: Django and Django REST, Flask extensions, FastAPI, NestJS, Spring and Jakarta.
 GUARDS = (
     "login_required", "permission_required", "staff_member_required", "user_passes_test", "IsAdminUser", "IsAuthenticated",
-    "auth_required", "fresh_login_required", "jwt_required", "roles_required", "token_required",
+    "auth_required", "fresh_login_required", "jwt_required", "roles_required",
     "Security(", "AuthGuard", "RolesGuard", "@PostAuthorize", "@PreAuthorize", "@RolesAllowed", "@Secured",
 )
 #: FastAPI has no word of its own for it: a dependency that is named after a user, a token or authentication.

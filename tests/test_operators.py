@@ -151,3 +151,12 @@ def test_every_row_has_a_place_in_the_final_order(spark):
     frame = spark.createDataFrame(rows, "r int, c double, scan_id long, k_line int, k_part int, k_supp int, k_price double")
     order = sorted(rows, key=lambda x: (x[0], x[1] is None, -(x[1] or 0), x[2:]))
     assert sorted((r.place, r.k_line) for r in findings.ordered(frame, ["r"], "c", 8, "place").collect()) == [(i + 1, x[3]) for i, x in enumerate(order)]
+
+
+def test_flows_without_sinks_are_none(spark):
+    from lodestone.operators import graph
+
+    edges, seeds = spark.createDataFrame([(1, 2)], "src long, dst long"), spark.createDataFrame([(1, 1)], "origin long, node long")
+    none = spark.createDataFrame([], "node long, category string")
+    found = graph.flows(edges, seeds, none, none)
+    assert found.columns == ["origin", "node", "category", "sanitized", "dist"] and found.count() == 0
