@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
 from lodestone.operators import rules as op
+from lodestone.operators import source_rules
 from lodestone.plans.registry import query
 
 RULES = [
@@ -150,3 +151,35 @@ def fn28(t):
 def fn29(t):
     tags = F.array_distinct(F.filter(F.transform(F.split(F.lower("p_type"), " "), lambda x: F.trim(x)), lambda x: x != ""))
     return t.part.select("p_partkey", F.array_join(F.slice(F.array_sort(tags), 1, 20), ",").alias("tags"))
+
+
+#: Line breaks before a place, and how far it is from the last one; strings are counted from 1.
+PLACED = "length(head) - length(replace(head, chr(10), '')) + 1 as line, start - coalesce(length(head) - instr(reverse(head), chr(10)) + 1, 0) * (instr(head, chr(10)) > 0)::int + 1 as col"
+
+
+@query(
+    "rl03_source_rules",
+    f"""with recursive d as (select doc_id, text from documents where text <> ''), one as (select doc_id, text, instr(text, 'tion') - 1 as start from d where instr(text, 'tion') > 0 and instr(text, 'ing') > 0 and instr(text, 'zzz') = 0),
+      two as (select doc_id, text, start + 4 + instr(substr(text, start + 5), 'tion') - 1 as start from one where instr(substr(text, start + 5), 'tion') > 0), f as (select * from one union all select * from two),
+      h as (select doc_id, start, substr(text, 1, start) as head from f)
+    select doc_id, 'R-pair' as rule_id, {PLACED}, start::int as start from h""",
+)
+def rl03(t):
+    """RL03, RL07: the first two places of one pattern in texts that also match another and not a third, with line and column."""
+    rule = source_rules.SourceRule("R-pair", primary=("tion", "ing"), excluded=("zzz",))
+    return source_rules.evaluate(t.documents, [rule], "doc_id", "text").select("doc_id", "rule_id", "line", "col", "start")
+
+
+@query(
+    "rl05_window_before",
+    """with recursive r(doc_id, text, start) as (select doc_id, text, instr(text, 'Th') from documents where instr(text, 'Th') > 0
+      union all select doc_id, text, start + 1 + instr(substr(text, start + 2), 'Th') from r where instr(substr(text, start + 2), 'Th') > 0),
+      b as (select doc_id, start, text, case when start > 2 and instr(substr(text, 1, start - 2), chr(10)) > 0 then start - 2 - instr(reverse(substr(text, 1, start - 2)), chr(10)) else -1 end as above from r),
+      w as (select doc_id, start, substr(text, (greatest(0, above - 500) + 1)::bigint, (start - 1 - greatest(0, above - 500))::bigint) as prefix from b),
+      k as (select *, row_number() over (partition by doc_id order by start) as nth from w where instr(prefix, 'ent') = 0)
+    select doc_id, (start - 1)::int as start from k where nth <= 2""",
+)
+def rl05(t):
+    """RL05: definitions without a guard in the 500 characters before the line above them."""
+    rule = source_rules.SourceRule("R-guard", definition="Th", guard="ent")
+    return source_rules.evaluate(t.documents, [rule], "doc_id", "text").select("doc_id", "start")
