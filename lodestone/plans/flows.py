@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import flow as op
-from lodestone.operators import joins, rules
+from lodestone.operators import joins, rules, ssa
 from lodestone.operators.digests import joined_sha256
 from lodestone.plans.registry import query
 
@@ -39,6 +39,24 @@ def gr20(t):
     return op.reaching_definitions(_edges(t), defs, "conv_id")
 
 
+@query(
+    "gr20_phi_nodes",
+    f"""with recursive {EDGES}, n as (select conv_id, turn as node from turns_v), s as (select conv_id, min(turn) as entry from turns_v group by 1), d as (select conv_id, role as variable, turn as node from turns_v where n_chars > 100),
+      r(conv_id, skipped, node) as (select n.conv_id, n.node, entry from n join s using (conv_id) where n.node <> entry union all select conv_id, -1, entry from s
+        union select r.conv_id, skipped, e.dst from r join e on e.conv_id = r.conv_id and e.src = r.node where e.dst <> skipped),
+      m as (select w.conv_id, w.node, n.node as dom from r w join n on n.conv_id = w.conv_id where w.skipped = -1 and not exists (select 1 from r x where x.conv_id = w.conv_id and x.skipped = n.node and x.node = w.node)),
+      f as (select distinct e.conv_id, m.dom as node, e.dst as frontier from e join m on m.conv_id = e.conv_id and m.node = e.src where not exists (select 1 from m y where y.conv_id = e.conv_id and y.node = e.dst and y.dom = m.dom and m.dom <> e.dst)),
+      p(conv_id, variable, node, phi) as (select conv_id, variable, node, false from d where (conv_id, node) in (select (conv_id, node) from m)
+        union select p.conv_id, variable, frontier, true from p join f on f.conv_id = p.conv_id and f.node = p.node)
+    select distinct conv_id, variable, node from p where phi""",
+)
+def gr20_phis(t):
+    """Where the definitions of a role meet: the iterated dominance frontiers of each conversation's control flow."""
+    entries = t.turns_v.groupBy("conv_id").agg(F.min("turn").alias("node"))
+    defs = t.turns_v.filter("n_chars > 100").select("conv_id", F.col("role").alias("variable"), F.col("turn").alias("at"))
+    return ssa.phi_nodes(_edges(t), entries, defs, "conv_id")
+
+
 @query(
     "gr20_def_use",
     """select a.conv_id, a.turn as def_at, min(b.turn) as use_at from turns_v a join turns_v b on a.conv_id = b.conv_id and a.role = b.role and b.turn > a.turn group by 1, 2""",
