@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import flow as op
-from lodestone.operators import joins, rules, ssa
+from lodestone.operators import joins, rules, ssa, structure
 from lodestone.operators.digests import joined_sha256
 from lodestone.plans.registry import query
 
@@ -26,6 +26,40 @@ def gr19(t):
     return _edges(t)
 
 
+@query(
+    "gr19_nested_flow",
+    """with a as (select s.fn, s.id, s.kind as own, x.id as up, x.kind, x.first from nested_v s join nested_v x on x.fn = s.fn and x.first < s.first and x.last > s.last),
+      t as (select n.*, p.parent, lead(n.id) over w as nxt, lag(n.id) over w is null as is_first, n.kind in ('then', 'otherwise', 'body', 'case', 'default', 'guarded', 'catch', 'finally') as clause
+        from nested_v n left join (select fn, id, arg_max(up, first) as parent from a group by 1, 2) p using (fn, id) window w as (partition by n.fn, parent order by n.first)),
+      fin as (select fn, parent as owner, id as fin from t where kind = 'finally'), cat as (select fn, parent as owner, id as cat from t where kind = 'catch'),
+      x as (select a.*, c.parent as owner, fin.fin, cat.cat from a left join t c on c.fn = a.fn and c.id = a.up and a.kind in ('guarded', 'catch') left join fin on fin.fn = a.fn and fin.owner = c.parent left join cat on cat.fn = a.fn and cat.owner = c.parent),
+      j as (select t.fn, t.id, t.kind, arg_max(a.up, a.first) as goal, coalesce(max(a.first), -1) as since from t left join a on a.fn = t.fn and a.id = t.id and (t.kind = 'break' and a.kind in ('loop', 'switch') or t.kind = 'continue' and a.kind = 'loop')
+        where t.kind in ('return', 'throw', 'break', 'continue') group by 1, 2, 3),
+      ways as (select fn, id, case when goal is null then 'terminal' else kind end as way, goal, case when goal is null then 'exit' when kind = 'break' then 'out' else 'in' end as goal_at, since, 99999 as upto from j where goal is not null or kind in ('return', 'throw')
+        union all select fn, id, 'uncaught', null, 'exit', -1, first from x where kind = 'guarded' and cat is null and own not in ('then', 'otherwise', 'body', 'case', 'default', 'guarded', 'catch', 'finally')),
+      hops as (select w.fn, w.id, way, upto, x.first as ord, x.fin as node, 'in' as spot from ways w join x on x.fn = w.fn and x.id = w.id and x.fin is not null and x.first > w.since and x.first <= w.upto union all select fn, id, way, upto, -2, goal, goal_at from ways),
+      h as (select *, lead(node) over v as node2, lead(spot) over v as spot2, row_number() over v as nth from hops window v as (partition by fn, id, way, upto order by ord desc)),
+      tails as (select *, case when kind in ('if', 'loop', 'switch', 'try') then 'out' else 'in' end as spot from t where not clause and id not in (select id from j where goal is not null or kind in ('return', 'throw'))),
+      ends as (select c.*, l.id as tail, l.spot as tail_at from t c join tails l on l.fn = c.fn and l.parent = c.id and l.nxt is null where c.clause),
+      e as (select fn, id as src, spot as src_at, nxt as dst, 'in' as dst_at, 'next' as edge from tails where nxt is not null
+        union all select fn, null, 'entry', id, 'in', 'next' from t where parent is null and is_first union all select fn, id, spot, null, 'exit', 'next' from tails where parent is null and nxt is null
+        union all select f.fn, case when c.kind in ('case', 'default', 'catch', 'finally') then c.id else c.parent end, 'in', f.id, 'in', case c.kind when 'otherwise' then 'false' when 'guarded' then 'try' when 'catch' then 'catch' when 'finally' then 'finally-body' when 'case' then 'case-body' when 'default' then 'case-body' else 'true' end
+          from t f join t c on c.fn = f.fn and c.id = f.parent where f.is_first and not f.clause
+        union all select fn, tail, tail_at, case kind when 'case' then nxt when 'guarded' then coalesce(fin, parent) else parent end, case when kind in ('case', 'body') or kind = 'guarded' and fin is not null then 'in' else 'out' end,
+          case kind when 'case' then 'fallthrough' when 'default' then 'case-complete' when 'body' then 'loop-back' when 'guarded' then case when fin is null then 'try-complete' else 'finally' end when 'catch' then 'try-complete' when 'finally' then 'finally-complete' else 'join' end
+          from (select ends.*, fin.fin from ends left join fin on fin.fn = ends.fn and fin.owner = ends.parent)
+        union all select fn, id, 'in', id, 'out', 'false' from t where kind = 'loop' union all select fn, parent, 'in', id, 'in', kind from t where kind in ('case', 'default')
+        union all select fn, owner, 'in', cat, 'in', 'exception-dispatch' from cat
+        union all select fn, id, 'in', cat, 'in', 'exception' from x where kind = 'guarded' and cat is not null and own not in ('then', 'otherwise', 'body', 'case', 'default', 'guarded', 'catch', 'finally')
+        union all select fn, id, 'in', node, spot, way || case when ord = -2 then '' else '-finally' end from h where nth = 1
+        union all select h.fn, tail, tail_at, node2, spot2, 'finally-resume' from h join ends on ends.fn = h.fn and ends.id = h.node and ends.kind = 'finally' where h.ord > -2)
+    select distinct * from e""",
+)
+def gr19_nested(t):
+    """Edges of nested statements with their joins; the SQL finds what holds what by comparing all intervals of a function."""
+    return structure.control_flow(t.nested_v, "fn")
+
+
 @query(
     "gr20_reaching_definitions",
     f"""with recursive {EDGES}, d as (select conv_id, role as variable, turn as at from turns_v where n_chars > 100), r(conv_id, variable, def_at, node, own) as (

@@ -53,6 +53,13 @@ VIEWS = {
     "routes_v": """select distinct 'repo0' as repository_id, 'ALL' as method, regexp_replace(path, '[0-9]+$', '{{id}}') as path from {endpoints_v}
         union select distinct 'repo1', 'GET', raw_url from {client_calls_v} where page_id % 2 = 0""",
     "code_v": """select l_orderkey as fn, l_orderkey * 10 + l_linenumber as stmt, min(l_partkey % 6) as kind, min(l_suppkey) as k from {lineitem} group by 1, 2""",
+    # each line of an order a statement with clauses; where the supplier is odd, the rest of the order lies in its last clause
+    "nested_v": """with c as (select fn, stmt, kind, k, stmt % 10 * 100 as pos, case when kind < 4 and k % 2 = 1 then 1000 - stmt % 10 * 2 else stmt % 10 * 100 + 100 end as upto from {code_v})
+        select fn, stmt * 10 as id, case kind when 0 then 'if' when 1 then 'loop' when 2 then 'switch' when 3 then 'try' else 'plain' end as kind, pos as first, upto as last from c
+        union all select fn, stmt * 10 + 1, case kind when 0 then 'then' when 2 then 'case' else 'guarded' end, pos + 10, pos + 20 from c where kind in (0, 2, 3)
+        union all select fn, stmt * 10 + 2, case floor(k / 10) % 5 when 0 then 'plain' when 1 then 'return' when 2 then 'break' when 3 then 'continue' else 'throw' end, pos + 11, pos + 12 from c where kind in (0, 2, 3)
+        union all select fn, stmt * 10 + 3, case kind when 0 then 'otherwise' when 1 then 'body' when 2 then 'default' else case when k % 4 < 2 then 'catch' else 'finally' end end, pos + 20, upto - 1 from c where kind < 4
+        union all select fn, stmt * 10 + 4, case floor(k / 2) % 5 when 0 then 'plain' when 1 then 'return' when 2 then 'break' when 3 then 'continue' else 'throw' end, pos + 21, pos + 22 from c where kind < 4""",
     "client_paths_v": """select concat('p', cast(page_id as string)) as call_id, 'GET' as method, path as client_path from {endpoints_v}
         union all select concat('h', cast(page_id as string), '_', cast(ord as string)), 'GET', raw_url from {client_calls_v}""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Iterator
 
@@ -9,10 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lodestone.operators.storage import shared_dir
 
 LATE = "1 hour"
+#: The state store that keeps timers.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_WITH_TIMERS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +31,12 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there now, through a file sink with a checkpoint in the shared folder."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/rows")
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _WITH_TIMERS)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/rows")
+    finally:
+        spark.conf.set(_PROVIDER, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
@@ -64,3 +74,103 @@ def rate_limited(events: DataFrame, seconds: int = 3600, limit: int = 2) -> Data
     return keyed.groupBy("user_id", "window_start").applyInPandasWithState(
         count, "event_id long, admitted boolean", "seen long", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def _micros(at: dt.datetime) -> int:
+    return int(pd.Timestamp(at).value // 1000)
+
+
+class _Leases(StatefulProcessor):
+    """One row of state for each job: the greatest fence, its worker, until when it holds, whether it has expired."""
+
+    def __init__(self, seconds: int, keep: int):
+        self.lasts, self.keep = seconds * 1_000_000, keep * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lease = handle.getValueState("lease", "fence long, worker string, until long, expired boolean")
+
+    def _timer(self, at: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(-(-at // 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        beats = sorted((_micros(a), int(f), w) for batch in rows for a, f, w in zip(batch["at"], batch["fence"], batch["worker"], strict=True))
+        lease = self.lease.get() if self.lease.exists() else None
+        fence, worker, until, expired = lease if lease else (None, None, 0, True)
+        out = []
+        for at, f, w in beats:
+            if fence is not None and not expired and at >= until:
+                out.append((fence, worker, "expired", until))
+                expired = True
+            if fence is None or f > fence:
+                fence, worker, until, expired = f, w, at + self.lasts, False
+                out.append((f, w, "claimed", at))
+            elif f == fence and w == worker and not expired:
+                until = max(until, at + self.lasts)
+                out.append((f, w, "renewed", at))
+            else:
+                out.append((f, w, "refused", at))
+        self.lease.update((fence, worker, until, expired))
+        self._timer(until + self.keep if expired else until)
+        yield self._changes(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fence, worker, until, expired = self.lease.get()
+        if expired:
+            self.lease.clear()
+            yield self._changes(key, [])
+        else:
+            self.lease.update((fence, worker, until, True))
+            self._timer(until + self.keep)
+            yield self._changes(key, [(fence, worker, "expired", until)])
+
+    @staticmethod
+    def _changes(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["fence", "worker", "change", "at"])
+        out.insert(0, "job_id", [key[0]] * len(rows))
+        out["at"] = pd.to_datetime(out["at"].astype("int64"), unit="us")
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def leases(beats: DataFrame, seconds: int = 120, keep: int = 86_400, late: str = LATE) -> DataFrame:
+    """``job_id``, ``fence``, ``worker``, ``change``, ``at``: what becomes of each beat (``claimed``, ``renewed``, ``refused``), and ``expired`` where a lease ran out.
+
+    ``beats``: ``job_id``, ``fence``, ``worker``, ``at``.  A greater fence takes the job; the holder's own beats renew it, as long as it has not run out; all else is refused, so fences only
+    grow.  A lease that nobody renews expires by a timer once the watermark has passed its end.  A job's state is one row and goes ``keep`` seconds after its lease has expired.  Beats later than the
+    watermark are dropped; beats of one batch count in the order of their times."""
+    kind = beats.schema["job_id"].dataType.simpleString()
+    return (
+        beats.withWatermark("at", late).groupBy("job_id")
+        .transformWithStateInPandas(_Leases(seconds, keep), f"job_id {kind}, fence long, worker string, change string, at timestamp", "append", "eventTime")
+    )
+
+
+class _Baselines(StatefulProcessor):
+    """One row of state for each project: when the newest scan that has been published began."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "began long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        scans = pd.concat(list(rows)).sort_values(["finished", "created_at", "scan_id"])
+        began = scans["created_at"].map(_micros)
+        known = self.latest.get()[0] if self.latest.exists() else began.iloc[0]
+        before = began.cummax().shift(fill_value=known).clip(lower=known)
+        self.latest.update((max(known, int(began.max())),))
+        yield pd.DataFrame({"scan_id": scans["scan_id"], "publishes": (before <= began).to_numpy()})
+
+    def close(self) -> None:
+        pass
+
+
+def baselines(scans: DataFrame) -> DataFrame:
+    """``scan_id``, ``publishes``: whether a scan that has finished becomes its project's baseline; one that began before the present baseline never does.
+
+    ``scans``: ``project_id``, ``scan_id``, ``created_at``, ``finished``, in the order in which batches bring them.  A project's state is one instant."""
+    kind = scans.schema["scan_id"].dataType.simpleString()
+    return scans.groupBy("project_id").transformWithStateInPandas(_Baselines(), f"scan_id {kind}, publishes boolean", "append", "none")
