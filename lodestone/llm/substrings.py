@@ -16,10 +16,11 @@ The index is spread over the cluster in two rounds, so that no task sees more th
 1. The anchor of a phrase is the least hash of its runs of ``ANCHOR`` words; equal phrases have equal anchors.  Each block
    sends the distinct anchors of its phrases, 4 bytes each, to buckets by hash; a bucket answers, a bit each, which
    occur in several documents.  Only phrases with such an anchor go on.  A false alarm costs a row in round 2.
-2. Each block sends the 64-bit hashes of those phrases, each with the least id it has in the block and its first place there; a
+2. Each block sends those phrases, each as a name and a proof (two hashes of 64 bits with weights of their own), with the least id it has in the block and its first place there; a
    bucket answers which have a smaller id in another block, and names the block and the place.  Blocks know the rest themselves.
 
-Words are compared by 64-bit hashes of phrases.  A phrase, however frequent, is one entry for each block.  Buckets number in proportion
+Phrases are equal if names and proofs are, 128 bits together: among 10^13 unlike phrases two are taken for one with a probability of 10^-13.  Names alone are never trusted (``name_bits`` shortens
+them, so that tests can force collisions).  A phrase, however frequent, is one entry for each block.  Buckets number in proportion
 to the corpus, so a bucket's size is steady; the entries of messages and answers are linear in the text, and a message holds one
 entry at least, so the messages are, too.
 
@@ -86,7 +87,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 class Block:
     """A block's documents in the order of their ids, their words and phrases."""
 
-    def __init__(self, payload: bytes, width: int):
+    def __init__(self, payload: bytes, width: int, name_bits: int = 64):
         table = pa.ipc.open_stream(payload).read_all()
         ids = table["id"].to_pylist()
         self.order = np.array([_NO_ID if i is None else i for i in ids], np.int64)
@@ -94,6 +95,8 @@ class Block:
         self.words: Words = words_of(self.texts)
         hashes = self.words.hashes()
         self.phrases, self.start = windows(hashes, self.words.first, width, 1)
+        self.phrases &= np.uint64((1 << name_bits) - 1 << 64 - name_bits)
+        self.proofs = windows(hashes, self.words.first, width, 5)[0]
         self.doc = self.words.doc[self.start]
         short = min(ANCHOR, width)
         small, at = windows(hashes, self.words.first, short, 2)
@@ -134,17 +137,24 @@ class Block:
         bucket, short = _places(self.anchors, n_buckets)
         return np.flatnonzero(np.isin(bucket.astype(np.uint64) << np.uint64(32) | short, np.concatenate(marked)))
 
-    def phrase_messages(self, n_buckets: int, chosen: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(bucket, sorted hashes, the least id of each, its first place under that id)."""
+    def _distinct(self, n_buckets: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen phrases' first rows, one for each distinct phrase in the order of messages, and the distinct phrase of each chosen one."""
+        hashes, proofs = self.phrases[chosen], self.proofs[chosen]
+        every = np.lexsort((self.start[chosen], self.order[self.doc[chosen]], proofs, hashes, _places(hashes, n_buckets)[0]))
+        starts = group_starts(hashes[every], proofs[every])
+        entry = np.empty(len(chosen), np.int64)
+        entry[every] = np.repeat(np.arange(len(starts)), np.diff([*starts, len(every)]))
+        return chosen[every[starts]], entry
+
+    def phrase_messages(self, n_buckets: int, chosen: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, sorted names, their proofs, the least id of each phrase, its first place under that id)."""
         if not len(chosen):
             return []
-        hashes, ids, at = self.phrases[chosen], self.order[self.doc[chosen]], self.start[chosen]
+        own, _ = self._distinct(n_buckets, chosen)
+        hashes, proofs, ids, at = self.phrases[own], self.proofs[own], self.order[self.doc[own]], self.start[own]
         bucket = _places(hashes, n_buckets)[0]
-        every = np.lexsort((at, ids, hashes, bucket))
-        every = every[group_starts(hashes[every])]
-        bucket, hashes, ids, at = bucket[every], hashes[every], ids[every], at[every]
         cuts = group_starts(bucket).tolist()
-        return [(int(bucket[a]), hashes[a:b], ids[a:b], at[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+        return [(int(bucket[a]), hashes[a:b], proofs[a:b], ids[a:b], at[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
 
     def sources(self, name: int, n_buckets: int, chosen: np.ndarray, answers: dict[int, Answer]) -> tuple[np.ndarray, np.ndarray]:
         """For each word the block and the place of the source of the phrase that starts there; -1: there is none under a smaller id."""
@@ -152,16 +162,15 @@ class Block:
         messages = self.phrase_messages(n_buckets, chosen)
         if not messages:
             return blocks, places
-        hashes, least, at = (np.concatenate([m[k] for m in messages]) for k in (1, 2, 3))
-        block, place = np.full(len(hashes), -1, np.int64), at.copy()
+        least, at = (np.concatenate([m[k] for m in messages]) for k in (3, 4))
+        block, place = np.full(len(least), -1, np.int64), at.copy()
         first = 0
-        for bucket, own, _, _ in messages:
+        for bucket, own, *_ in messages:
             if bucket in answers:
                 hit, known, found = answers[bucket].read(len(own))
                 block[first + hit], place[first + hit] = known, found
             first += len(own)
-        every = np.argsort(hashes)
-        entry = every[np.searchsorted(hashes, self.phrases[chosen], sorter=every)]
+        entry = self._distinct(n_buckets, chosen)[1]
         here = (block[entry] < 0) & (least[entry] < self.order[self.doc[chosen]])
         earlier = here | (block[entry] >= 0)
         words = self.start[chosen][earlier]
@@ -230,9 +239,9 @@ def _rows(columns: list[list], types: list[pa.DataType], names: list[str]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-_MESSAGE_NAMES = ["bucket", "block", "hashes", "more", "places"]
-_MESSAGE_SCHEMA = "bucket long, block long, hashes binary, more binary, places binary"
-_MESSAGE = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_MESSAGE_NAMES = ["bucket", "block", "hashes", "proofs", "more", "places"]
+_MESSAGE_SCHEMA = "bucket long, block long, hashes binary, proofs binary, more binary, places binary"
+_MESSAGE = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 _ANSWER_NAMES = ["block", "bucket", "bits", "blocks", "which", "places"]
 _ANSWER_SCHEMA = "block long, bucket long, bits binary, blocks binary, which binary, places binary"
 _ANSWER = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -280,8 +289,9 @@ def _first_sources(messages: pa.Table) -> list[Judged]:
     places = np.concatenate([np.frombuffer(p, np.uint32) for p in messages["places"].to_pylist()])
     blocks = np.repeat(messages["block"].to_numpy(), sizes)
     every = np.concatenate(each)
-    order = np.lexsort((blocks, ids, every))
-    starts = group_starts(every[order])
+    proofs = np.concatenate([np.frombuffer(p, np.uint64) for p in messages["proofs"].to_pylist()])
+    order = np.lexsort((blocks, ids, proofs, every))
+    starts = group_starts(every[order], proofs[order])
     first = np.empty(len(order), np.int64)  # of each entry, that of its hash's source
     first[order] = np.repeat(order[starts], np.diff([*starts, len(order)]))
     out = []
@@ -311,7 +321,7 @@ def _as_dict(answers: list[dict] | None) -> dict[int, Answer]:
     return {x["bucket"]: Answer(x["bits"], x["blocks"], x["which"], x["places"]) for x in answers or []}
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, reference: DataFrame | None = None) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, reference: DataFrame | None = None, name_bits: int = 64) -> DataFrame:
     """A row per document: the id, ``n_words``, ``n_removed``, ``kept_sha256``, ``spans``, ``factors`` and ``kept`` (with ``keep_text``).
 
     ``factors``: (first word, length, block, place in the block's words); ``spans``: the words they cover, (first word, end); ``kept``: the
@@ -327,7 +337,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = Block(payload.as_py(), width).anchor_messages(n_buckets)
                 yield _rows(
-                    [[b for b, _, _ in found], [block] * len(found), [s.astype(np.uint32).tobytes() for _, s, _ in found], [np.packbits(m).tobytes() for _, _, m in found], [b""] * len(found)],
+                    [[b for b, _, _ in found], [block] * len(found), [s.astype(np.uint32).tobytes() for _, s, _ in found], [b""] * len(found), [np.packbits(m).tobytes() for _, _, m in found], [b""] * len(found)],
                     _MESSAGE,
                     _MESSAGE_NAMES,
                 )
@@ -338,10 +348,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     def send_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, block in enumerate(batch.column(0).to_pylist()):
-                own = Block(batch.column(1)[k].as_py(), width)
+                own = Block(batch.column(1)[k].as_py(), width, name_bits)
                 found = own.phrase_messages(n_buckets, own.candidates(n_buckets, _as_dict(batch.column(2)[k].as_py())))
                 yield _rows(
-                    [[m[0] for m in found], [block] * len(found), [m[1].tobytes() for m in found], [_packed(m[2]) for m in found], [m[3].astype(np.uint32).tobytes() for m in found]],
+                    [[m[0] for m in found], [block] * len(found), [m[1].tobytes() for m in found], [m[2].tobytes() for m in found], [_packed(m[3]) for m in found], [m[4].astype(np.uint32).tobytes() for m in found]],
                     _MESSAGE,
                     _MESSAGE_NAMES,
                 )
@@ -360,7 +370,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                own = Block(batch.column(1)[k].as_py(), width)
+                own = Block(batch.column(1)[k].as_py(), width, name_bits)
                 chosen = own.candidates(n_buckets, _as_dict(batch.column(2)[k].as_py()))
                 sources, places = own.sources(batch.column(0)[k].as_py(), n_buckets, chosen, _as_dict(batch.column(3)[k].as_py()))
                 out = []

@@ -131,6 +131,17 @@ def test_substrings_equal_brute_force(spark):
         assert out == removed(docs, width)
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_substrings_with_names_that_collide(spark, bits):
+    """Names of a few bits are alike for unlike phrases; the proofs keep them apart."""
+    rng = random.Random(17)
+    docs = {k: " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40))) for k in range(60)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.n_removed for r in substrings.dedup(frame, width=4, name_bits=bits).collect()}
+    want = {k: v[1] for k, v in removed(docs, 4).items()}
+    assert out == want and any(want.values()) and out != {k: len(t.split()) for k, t in docs.items()}
+
+
 def test_factors_are_greedy():
     """Two runs of phrases, the second from another source and across the first one's end; then one by itself."""
     source = np.array([5, 5, -1, 6, 6, -1, -1, -1, -1, 5, -1, -1, -1])
