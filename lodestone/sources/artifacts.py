@@ -26,7 +26,7 @@ METHODS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``body`` of every text file below ``path``."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
 def problems(files: DataFrame, kind: str) -> DataFrame:
