@@ -4,14 +4,15 @@ A payload is stored as the samples of a mu-law WAV file (one byte a sample, 8,00
 codes are kept as they are, so the file is lossless for any bytes (``store``).  ``measure`` reads a stored file back: its codes
 are the payload and expand to linear PCM by lookup tables (mu-law and A-law), and the same bytes can be
 read as IMA ADPCM blocks, which are decoded by numpy across blocks: one step of the predictor runs over
-all blocks at once.  The expanded samples are resampled to any rate and kept as a 16-bit PCM file.
+all blocks at once.  The expanded samples are resampled to any rate and kept as a 16-bit PCM file, which may be packed without loss
+(``packed``).  ``measure_pcm`` reads kept files back and measures the resampled samples.
 
-Work is done row by row within Arrow batches and in bounded slices of blocks, so memory does not grow
+Work is done row by row within Arrow batches and in bounded slices of blocks and samples, so memory does not grow
 with a text's length beyond a few copies of that text.  There is no shuffle: media tables are written, read and measured where they lie.
 
 Defined results: a null or an empty text is one block of zero bytes; a very long text is one file; equal payloads give equal files
 and features; repeated rows and rows that share an id (null ids too) give a row each; an empty table gives an empty table; other
-columns of the input are not carried over.
+columns of the input of ``store`` and ``measure`` are not carried over.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,12 @@ RATE = 8000
 #: Samples a second of the PCM that is kept, unless another rate is asked for.
 PCM_RATE = 16_000
 MULAW_TAG, PCM_TAG = 7, 1
+#: WAVE_FORMAT_DEVELOPMENT: the tag that is left free for forms without a registered one.
+PACKED_TAG = 0xFFFF
 #: ADPCM blocks decoded at once: 120 samples of 4 bytes for each.
 BLOCKS_AT_ONCE = 8192
+#: Samples resampled or summed up at once: some arrays of 8 bytes for each.
+SAMPLES_AT_ONCE = 1 << 18
 
 # Fixed values of the IMA ADPCM format: how a code moves the step index.
 INDEX_MOVES = [-1, -1, -1, -1, 2, 4, 6, 8]
@@ -93,6 +98,11 @@ def wav_samples(file: bytes) -> tuple[int, bytes]:
     raise ValueError("no data chunk")
 
 
+def rate_of(file: bytes) -> int:
+    """Samples a second of a file of ``wav``, where the format comes first."""
+    return struct.unpack_from("<I", file, 24)[0]
+
+
 def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     """IMA ADPCM (mono): ``blocks`` is blocks x bytes; a block's first sample stands in its header.
 
@@ -118,11 +128,45 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 def resample(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
     """Samples at ``target`` a second of samples at ``source`` a second: on the line between the two neighbours, the last one is held."""
-    at = np.arange(-(-len(pcm) * target // source), dtype=np.int64) * source
-    left, part = at // target, at % target
-    wide = pcm.astype(np.int64)
-    after = wide[np.minimum(left + 1, len(pcm) - 1)]
-    return ((wide[left] * (target - part) + after * part) // target).astype(np.int16)
+    out = np.empty(-(-len(pcm) * target // source), np.int16)
+    for first in range(0, len(out), SAMPLES_AT_ONCE):
+        at = np.arange(first, min(first + SAMPLES_AT_ONCE, len(out)), dtype=np.int64) * source
+        left, part = at // target, at % target
+        before, after = pcm[left].astype(np.int64), pcm[np.minimum(left + 1, len(pcm) - 1)]
+        out[first : first + len(at)] = (before * (target - part) + after * part) // target
+    return out
+
+
+def between(even: np.ndarray, n: int) -> np.ndarray:
+    """The means, rounded down, of ``n`` samples and the ones after them; the last one's is itself."""
+    after = np.append(even[1:], even[-1:])[:n]
+    return (even[:n].astype(np.int32) + after >> 1).astype(np.int16)
+
+
+def packed(file: bytes) -> bytes:
+    """A 16-bit PCM file as samples at even places, then differences (modulo 2^16) of the others from the mean of their neighbours.
+
+    Any samples come back (``unpacked``); smooth ones, such as those of a doubled rate, give small differences, which compress well."""
+    tag, samples = wav_samples(file)
+    if tag != PCM_TAG:
+        raise ValueError("not a PCM file")
+    pcm = np.frombuffer(samples, "<i2")
+    even, odd = pcm[0::2], pcm[1::2]
+    return wav(even.tobytes() + (odd - between(even, len(odd))).astype("<i2").tobytes(), PACKED_TAG, rate_of(file), 16)
+
+
+def unpacked(file: bytes) -> bytes:
+    """The 16-bit PCM file of a packed one; a PCM file stays as it is."""
+    tag, samples = wav_samples(file)
+    if tag == PCM_TAG:
+        return file
+    if tag != PACKED_TAG:
+        raise ValueError("not a PCM file")
+    held = np.frombuffer(samples, "<i2")
+    even, odd = np.split(held, [-(-len(held) // 2)])
+    pcm = np.empty(len(held), "<i2")
+    pcm[0::2], pcm[1::2] = even, odd + between(even, len(odd))
+    return wav(pcm.tobytes(), PCM_TAG, rate_of(file), 16)
 
 
 def payload_of(text: str | None, block: int = BLOCK) -> tuple[int, bytes]:
@@ -133,8 +177,13 @@ def payload_of(text: str | None, block: int = BLOCK) -> tuple[int, bytes]:
 
 
 def summary(pcm: np.ndarray) -> str:
-    wide = pcm.astype(np.int64)
-    return f"{len(pcm)}:{np.abs(wide).sum() // max(1, len(pcm))}:{int((wide[1:] * wide[:-1] < 0).sum())}"
+    """Samples, mean magnitude and sign changes."""
+    loud = turns = 0
+    for at in range(0, len(pcm), SAMPLES_AT_ONCE):
+        wide = pcm[at : at + SAMPLES_AT_ONCE + 1].astype(np.int64)
+        loud += int(np.abs(wide[:SAMPLES_AT_ONCE]).sum())
+        turns += int((wide[1:] * wide[:-1] < 0).sum())
+    return f"{len(pcm)}:{loud // max(1, len(pcm))}:{turns}"
 
 
 def adpcm_stats(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,22 +213,28 @@ def features(payloads: list[bytes], block: int = BLOCK) -> list[str]:
     return out
 
 
-def _mapped(rows: DataFrame, id_col: str, made: dict[str, pa.DataType], work: Callable[[list[list]], Iterator[tuple]]) -> DataFrame:
-    """The id and new columns for slices of ``rows``: its first column is the id, its second one holds what a slice is cut by."""
-    kind = rows.schema[id_col].dataType.simpleString()
+def _mapped(
+    rows: DataFrame, id_col: str, made: dict[str, pa.DataType], work: Callable[[list[list]], Iterator[tuple]], kept: Sequence[str] = ()
+) -> DataFrame:
+    """The id, the ``kept`` columns and new ones for slices of ``rows``.
+
+    Its first column is the id, its second one holds what a slice is cut by, its last ones are those kept, which ``work`` does not see."""
     named = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    end = len(rows.columns) - len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n in slices(batch.column(1)):
                 part = batch.slice(at, n)
-                columns = zip(*work([c.to_pylist() for c in part.columns[1:]]), strict=True)
+                columns = zip(*work([c.to_pylist() for c in part.columns[1:end]]), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(x, t) for x, t in zip(columns, made.values(), strict=True))], names=[id_col, *made]
+                    [part.column(0), *part.columns[end:], *(pa.array(x, t) for x, t in zip(columns, made.values(), strict=True))],
+                    names=[id_col, *kept, *made],
                 )
             pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} {named[t]}" for n, t in made.items())]))
+    same = [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in (id_col, *kept)]
+    return rows.mapInArrow(run, ", ".join([*same, *(f"{n} {named[t]}" for n, t in made.items())]))
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -193,11 +248,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     return _mapped(docs.select(id_col, text_col), id_col, {"n_bytes": pa.int64(), "media": pa.binary()}, work)
 
 
-def measure(stored: DataFrame, rate: int = PCM_RATE, id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def measure(stored: DataFrame, rate: int = PCM_RATE, id_col: str = "doc_id", block: int = BLOCK, pack: bool = False) -> DataFrame:
     """What is read back from stored files (``n_bytes``, ``media``), a row each.
 
     Columns: the id, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32``, ``media_bytes``, ``media_sha256``, ``feature`` and
-    ``pcm``, a 16-bit PCM file at ``rate``.  A file of another kind is an error."""
+    ``pcm``, a 16-bit PCM file at ``rate``, with ``pack`` a packed one.  A file of another kind is an error."""
     made = {
         "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
         "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "pcm": pa.binary(),
@@ -214,7 +269,29 @@ def measure(stored: DataFrame, rate: int = PCM_RATE, id_col: str = "doc_id", blo
             pcm = wav(linear.astype("<i2").tobytes(), PCM_TAG, rate, 16)
             yield (
                 n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-block:]),
-                len(file), hashlib.sha256(file).hexdigest(), feature, pcm,
+                len(file), hashlib.sha256(file).hexdigest(), feature, packed(pcm) if pack else pcm,
             )
 
     return _mapped(stored.select(id_col, "media", "n_bytes"), id_col, made, work)
+
+
+def measure_pcm(measured: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """What is read back from kept PCM files (``pcm``, packed or not), a row each; the other columns are carried over.
+
+    ``resampled_bytes``, ``resampled_sha256`` and ``resampled_feature`` (samples, mean magnitude, sign changes) are those of the file at the
+    rate it was kept at; ``pcm_bytes`` and ``pcm_sha256`` those of its samples brought back to 8,000 Hz (of a doubled rate: every second
+    one, so the expanded samples themselves)."""
+    made = {
+        "pcm_bytes": pa.int64(), "pcm_sha256": pa.string(),
+        "resampled_bytes": pa.int64(), "resampled_sha256": pa.string(), "resampled_feature": pa.string(),
+    }
+
+    def work(columns: list[list]) -> Iterator[tuple]:
+        for held in columns[0]:
+            file = unpacked(held)
+            pcm = np.frombuffer(wav_samples(file)[1], "<i2")
+            narrow = wav(resample(pcm, rate_of(file), RATE).astype("<i2").tobytes(), PCM_TAG, RATE, 16)
+            yield len(narrow), hashlib.sha256(narrow).hexdigest(), len(file), hashlib.sha256(file).hexdigest(), summary(pcm)
+
+    kept = [c for c in measured.columns if c not in (id_col, "pcm")]
+    return _mapped(measured.select(id_col, "pcm", *kept), id_col, made, work, kept)

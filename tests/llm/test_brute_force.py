@@ -461,6 +461,32 @@ def test_audio_query_reads_its_tables_back(spark, sf_dir, texts):
         assert (own.feature, own.pcm_bytes, own.pcm_sha256) == (r.feature, len(r.pcm), hashlib.sha256(r.pcm).hexdigest())
 
 
+def test_audio_query_resamples(spark, sf_dir, texts):
+    rows = {r.doc_id: r for r in queries.op8_telephony_audio(spark, sf_dir).collect()}
+    assert rows.keys() == texts.keys()
+    for doc_id, text in texts.items():
+        data, own = (text or "").encode(), rows[doc_id]
+        linear = [mulaw(c) for c in data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")]
+        twice = [x for a, b in zip(linear, [*linear[1:], linear[-1]], strict=True) for x in (a, (a + b) // 2)]
+        file = audio.wav(np.array(twice, "<i2").tobytes(), 1, 16000, 16)
+        assert (own.resampled_bytes, own.resampled_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        turns = sum(a * b < 0 for a, b in zip(twice, twice[1:], strict=False))
+        assert own.resampled_feature == f"{len(twice)}:{sum(map(abs, twice)) // len(twice)}:{turns}"
+
+
+def test_packed_samples_come_back(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 3, 64, 1001):
+        for pcm in (rng.integers(-32768, 32768, n), rng.choice([-32768, 32767], n)):
+            file = audio.wav(pcm.astype("<i2").tobytes(), 1, 11025, 16)
+            assert audio.unpacked(audio.packed(file)) == file == audio.unpacked(file)
+    pcm = rng.integers(-32768, 32768, 1001).astype(np.int16)
+    whole = [audio.summary(pcm), *(audio.resample(pcm, 8000, r).tolist() for r in (6000, 8000, 11025, 16000))]
+    monkeypatch.setattr(audio, "SAMPLES_AT_ONCE", 10)
+    assert whole == [audio.summary(pcm), *(audio.resample(pcm, 8000, r).tolist() for r in (6000, 8000, 11025, 16000))]
+    assert audio.resample(audio.resample(pcm, 8000, 16000), 16000, 8000).tolist() == pcm.tolist()
+
+
 def adpcm(block):
     value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [value]
