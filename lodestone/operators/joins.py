@@ -141,3 +141,17 @@ def matched_lines(actual: DataFrame, expected: DataFrame, keys: Sequence[str], l
 
     met = parts.filter("_a and _e").drop("_a", "_e")
     return alone.union(met.groupBy(*keys, "_part").applyInPandas(match, alone.schema))
+
+
+#: Shares of a key's rows on the left.
+SHARES = 64
+
+
+def dealt_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """All pairs of rows of one ``key``, where keys are few and their pairs many: the left rows are dealt into ``SHARES`` shares, and each meets all right rows.
+
+    The tasks are as many as shares, whatever the rows weigh, since the pairs number more than they do."""
+    share = F.pmod(F.xxhash64(*(F.col(c) for c in left.columns)), F.lit(SHARES)).cast("int")
+    dealt = left.withColumn("_share", share).repartition(SHARES, key, "_share")
+    every = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).repartition(SHARES, key, "_share")
+    return dealt.join(every, [key, "_share"]).drop("_share")

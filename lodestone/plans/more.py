@@ -105,7 +105,8 @@ def gr23(t):
     """Injected calls from a container to the beans of its module, where the module has no explicit wiring."""
     wired = t.functions_v.filter("name = 'f3'").select("file_path").distinct()
     containers = t.functions_v.filter("name = 'f9'").join(wired, "file_path", "left_anti").select("file_path", F.col("fn_id").alias("src"))
-    return containers.join(t.functions_v.filter(F.col("name").isin("f1", "f29")).select("file_path", F.col("fn_id").alias("dst")), "file_path").select("src", "dst")
+    beans = t.functions_v.filter(F.col("name").isin("f1", "f29")).select("file_path", F.col("fn_id").alias("dst"))
+    return joins.dealt_pairs(containers, beans, "file_path").select("src", "dst")
 
 
 @query(
