@@ -168,12 +168,29 @@ def dispatch_all(wanted: DataFrame, methods: DataFrame, parents: DataFrame) -> D
 def dispatch_targets(wanted: DataFrame, methods: DataFrame, parents: DataFrame) -> DataFrame:
     """``type``, ``name``, ``owner``: the targets of a call over all subtypes of its declared type, itself among them (CHA)."""
     asked = written(wanted.select("type", "name").distinct(), "wanted")
-    below = reach(parents.select(F.col("parent").alias("src"), F.col("type").alias("dst")), asked.select(F.col("type").alias("origin"), F.col("type").alias("node")))
+    up = written(parents.select("type", "parent").dropna().distinct(), "parents")
+    if up.groupBy("type").count().filter("count > 1").isEmpty():
+        return _targets_of_trees(asked, methods, up)
+    below = reach(up.select(F.col("parent").alias("src"), F.col("type").alias("dst")), asked.select(F.col("type").alias("origin"), F.col("type").alias("node")))
     of = written(asked.join(below.select(F.col("origin").alias("type"), F.col("node").alias("sub")), "type"), "subtypes")
-    owners = dispatch_all(of.select(F.col("sub").alias("type"), "name"), methods, parents).filter("owner is not null")
+    owners = dispatch_all(of.select(F.col("sub").alias("type"), "name"), methods, up).filter("owner is not null")
     return of.join(owners.withColumnRenamed("type", "sub"), ["sub", "name"]).select("type", "name", "owner").distinct()
 
 
+def _targets_of_trees(asked: DataFrame, methods: DataFrame, up: DataFrame) -> DataFrame:
+    """``dispatch_targets`` where no type has two parents: what the type itself runs, and every subtype that declares the name.
+
+    A subtype that declares nothing up to the type runs what the type runs; any other one runs what a subtype declares, which is its own target.  So only declaring types are
+    followed, and upwards, where near types share what is above them."""
+    declared = methods.select("type", "name").dropna().distinct().join(asked.select("name").distinct(), "name", "left_semi")
+    declared = written(declared, "declaring")
+    own = declared.select(F.col("type").alias("origin"), F.col("type").alias("node")).distinct()
+    above = reach(up.select(F.col("type").alias("src"), F.col("parent").alias("dst")), own)
+    met = declared.withColumnRenamed("type", "owner").join(above.select(F.col("origin").alias("owner"), F.col("node").alias("type")), "owner").select("type", "name", "owner")
+    itself = dispatch_all(asked, methods, up).filter("owner is not null").select("type", "name", "owner")
+    return itself.union(met.join(asked, ["type", "name"], "left_semi")).distinct()
+
+
 def virtual_targets(wanted: DataFrame, methods: DataFrame, supers: DataFrame, interfaces: DataFrame) -> DataFrame:
     """``type``, ``name``, ``target``: the types whose method a virtual call on ``type`` runs.
 

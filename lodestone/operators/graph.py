@@ -63,12 +63,13 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, targets:
     """``origin``, ``node``, ``dist``: what each seed reaches in at most ``depth`` steps (None: all), itself at 0.
 
     ``edges``: ``src``, ``dst``; ``seeds``: ``origin``, ``node``; ``targets``: ``node``, those that are asked for (None: all).  Null ends and seeds take no part.  The rows number what is asked for, origins
-    times nodes at most.  Islands of at most ``most`` edges are searched whole where there are more origins than fit a word."""
+    times nodes at most.  Islands of at most ``most`` edges are searched whole where there are more origins than fit a word, but few beside the edges: where nearly every node is one, as in a hierarchy, sets
+    are small and steps cheap."""
     links = written(edges.select("src", "dst").distinct(), "links")
     seeds = written(seeds.select("origin", "node").dropna().distinct(), "seeds")
     wanted = None if targets is None else targets.select("node").dropna().distinct()
     asked = lambda rows: rows if wanted is None else rows.join(wanted, "node", "left_semi").select("origin", "node", "dist")
-    if not islands.fits(links, seeds) or seeds.select("origin").distinct().limit(WORD + 1).count() <= WORD:
+    if not islands.fits(links, seeds) or not WORD < seeds.select("origin").distinct().count() <= links.count() // 8:
         return asked(_far(links, seeds, depth))
     found, rest = islands.search(links.dropna(), seeds, islands.Search(depth, targets=wanted is not None), targets=wanted, most=most)
     return found if rest is None else found.union(asked(_far(*rest, depth)))

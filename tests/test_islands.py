@@ -35,8 +35,8 @@ def walk(edges, start, stop=frozenset(), depth=None):
 @pytest.fixture(scope="module")
 def tables(spark):
     rng = random.Random(5)
-    edges = world(rng, 4, 50, 2)
-    seeds = [(o, 50 * rng.randrange(4) + rng.randrange(50)) for o in range(90) for _ in range(1 + o % 2)]
+    edges = world(rng, 4, 60, 3)
+    seeds = [(o, 60 * rng.randrange(4) + rng.randrange(60)) for o in range(80) for _ in range(1 + o % 2)]
     return edges, seeds, spark.createDataFrame(edges, "src long, dst long").repartition(3), spark.createDataFrame(seeds, "origin long, node long")
 
 
@@ -48,21 +48,21 @@ def starts(seeds):
 
 
 #: All in one group; islands within and beyond the bound; all by joins.
-@pytest.mark.parametrize(("most", "depth"), [(islands.LINKS, None), (93, None), (10, 2)])
+@pytest.mark.parametrize(("most", "depth"), [(islands.LINKS, None), (172, None), (10, 2)])
 def test_reach_and_parents(spark, tables, most, depth):
     edges, seeds, e, s = tables
     expected = {(o, x): d for o, at in starts(seeds).items() for (x, _), d in walk(edges, at, depth=depth).items()}
     rows = graph.shortest_tree(e, s, depth, most).collect()
     assert {(r.origin, r.node): (r.dist, r.parent) for r in rows} == expected and len(rows) == len(expected)
     assert sorted((r.origin, r.node, r.dist) for r in graph.reach(e, s, depth, most=most).collect()) == sorted((*k, d) for k, (d, _) in expected.items())
-    wanted = spark.createDataFrame([(x,) for x in range(0, 200, 7)], "node long")
+    wanted = spark.createDataFrame([(x,) for x in range(0, 240, 7)], "node long")
     assert sorted((r.origin, r.node, r.dist) for r in graph.reach(e, s, depth, wanted, most).collect()) == sorted((*k, d) for k, (d, _) in expected.items() if k[1] % 7 == 0)
 
 
-@pytest.mark.parametrize("most", [islands.LINKS, 93])
+@pytest.mark.parametrize("most", [islands.LINKS, 172])
 def test_flows_and_facts(spark, tables, most):
     edges, seeds, e, s = tables
-    stop = {"a": set(range(0, 200, 3)), "b": set(range(0, 200, 5))}
+    stop = {"a": set(range(0, 240, 3)), "b": set(range(0, 240, 5))}
 
     def best(at, stops, depth=None):
         found = {}
@@ -74,7 +74,7 @@ def test_flows_and_facts(spark, tables, most):
     for depth in (None, 3) if most == islands.LINKS else (3,):
         got = sorted((r.origin, r.node, r.clean, r.dist) for r in graph.propagate(e, s, blocked, depth, most).collect())
         assert got == sorted((o, x, c, d) for o, at in starts(seeds).items() for x, (c, d) in best(at, stop["a"], depth).items())
-    sinks = {(x, "ab"[x % 2]) for x in range(0, 200, 2)} | {(x, "b") for x in range(0, 200, 4)}
+    sinks = {(x, "ab"[x % 2]) for x in range(0, 240, 2)} | {(x, "b") for x in range(0, 240, 4)}
     guards = [(x, "b") for x in stop["b"]] + [(x, "*") for x in stop["a"]] + [(1, "other")]
     found = graph.flows(e, s, spark.createDataFrame(list(sinks), "node long, category string"), spark.createDataFrame(guards, "node long, category string"), most)
     expected = [(o, x, k, c, d) for k in "ab" for o, at in starts(seeds).items() for x, (c, d) in best(at, stop["a"] | (stop["b"] if k == "b" else set())).items() if (x, k) in sinks]
@@ -82,7 +82,7 @@ def test_flows_and_facts(spark, tables, most):
 
 
 def test_texts_long_chains_and_many_words(spark):
-    chain = [(f"n{k:05}", f"n{k + 1:05}") for k in range(700)]
+    chain = [(f"n{k:05}", f"n{k + 1:05}") for k in range(700)] + [(f"m{k}", f"m{k + 1}") for k in range(4800)]
     e = spark.createDataFrame(chain, "src string, dst string")
     s = spark.createDataFrame([(f"o{k}", f"n{k:05}") for k in range(600)] + [("alone", "nowhere"), (None, "n00001")], "origin string, node string")
     rows = graph.reach(e, s).collect()

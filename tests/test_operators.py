@@ -160,3 +160,29 @@ def test_flows_without_sinks_are_none(spark):
     none = spark.createDataFrame([], "node long, category string")
     found = graph.flows(edges, seeds, none, none)
     assert found.columns == ["origin", "node", "category", "sanitized", "dist"] and found.count() == 0
+
+
+def test_pairs_of_one_key_are_made_by_many_tasks(spark):
+    left, right = spark.range(200).select(F.lit("k").alias("key"), F.col("id").alias("a")), spark.range(150).select(F.lit("k").alias("key"), F.col("id").alias("b"))
+    pairs = joins.dealt_pairs(left, right, "key")
+    rows = pairs.select("a", "b", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.a, r.b) for r in rows) == [(a, b) for a in range(200) for b in range(150)]
+    assert len({r.task for r in rows}) > 20
+
+
+def test_targets_over_trees_and_over_types_with_two_parents(spark):
+    rng = random.Random(4)
+    for two in (False, True):
+        up = [(k, rng.randrange(k)) for k in range(1, 40)] + ([(k, rng.randrange(k)) for k in range(20, 40, 3)] if two else [(50, 51), (51, 50), (52, 51)])
+        methods = [(k, rng.choice("mn")) for k in range(0, 40, 3)] + [(52, "m")]
+        wanted = [(k, n) for k in [*range(40), 50, 52] for n in "mn" if rng.random() < 0.7]
+        frame = lambda rows, names: spark.createDataFrame(sorted(set(rows)), names)
+        args = frame(wanted, "type int, name string"), frame(methods, "type int, name string"), frame(up, "type int, parent int")
+        owners = lambda pairs: {(r.type, r.name): r.owner for r in flow.dispatch_all(frame(pairs, "type int, name string"), *args[1:]).collect()}  # noqa: B023, E731
+        below = {t: {t} for t, _ in wanted}
+        for subs in below.values():
+            while more := {s for s, p in up if p in subs} - subs:
+                subs |= more
+        runs = owners([(s, n) for t, n in wanted for s in below[t]])
+        expected = {(t, n, runs[s, n]) for t, n in wanted for s in below[t] if runs.get((s, n)) is not None}
+        assert {tuple(r) for r in flow.dispatch_targets(*args).collect()} == expected
